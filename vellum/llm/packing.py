@@ -13,6 +13,8 @@ from . import common, tokens
 
 #: Costs in padded tokens: of a cut between sentences of a document, of one within a sentence, of each sequence.
 SENTENCE_CUT, INNER_CUT, PER_SEQUENCE = 2, 24, 64
+#: Sequences of a power of two from here on count as free of padding; shorter ones aren't worth a sequence.
+LEAST_POWER = 64
 #: Within longer sentences a cut may fall at each of so many tokens; at the end of a stream, anywhere.
 INNER_STEP = 256
 #: Tokens that are gathered before cuts are chosen; the last two sequences wait for the tokens that follow.
@@ -24,14 +26,14 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
     apart than ``limit``; ``penalty``: the cost of a cut there.
 
     A sequence of i..j costs limit - (pos[j] - pos[i]) padding, so the best i minimises cost[i] + pos[i] over a
-    sliding window: a monotone queue gives it. A sequence of a power of two isn't padded; its one possible start is
+    sliding window: a monotone queue gives it. A sequence of a power of two (LEAST_POWER at least) isn't padded; its one possible start is
     looked up.
     """
     m = len(pos)
     where = np.full(int(pos[-1]) + 1, -1, np.int64)
     where[pos] = np.arange(m)
     exact: dict[int, list[int]] = {}
-    p = 1
+    p = LEAST_POWER
     while p <= limit:
         j = np.flatnonzero(pos >= p)
         i = where[pos[j] - p]
@@ -83,14 +85,18 @@ class Packer:
         if not total:
             return []
         ends = np.cumsum([n for _, _, n, _ in self.docs])
-        pos = np.unique(np.concatenate([[0], np.flatnonzero(self.ends_sentence[self.ids]) + 1, ends]))
-        gaps = np.flatnonzero(np.diff(pos) > INNER_STEP)
-        more = [np.arange(pos[g] + INNER_STEP, pos[g + 1], INNER_STEP) for g in gaps]
-        inner = np.unique(np.concatenate([*more, np.arange(max(1, total - self.limit), total) if last else np.empty(0, np.int64)]).astype(np.int64)) if more or last else np.empty(0, np.int64)
-        both = np.union1d(pos, inner)
-        penalty = np.full(len(both), float(INNER_CUT))
-        penalty[np.searchsorted(both, pos)] = SENTENCE_CUT
-        penalty[np.searchsorted(both, ends)] = 0
+        kind = np.zeros(total + 1, np.uint8)  # 1: anywhere, 2: after a sentence, 3: after a document
+        if last:
+            kind[max(1, total - self.limit) :] = 1
+        kind[1:][self.ends_sentence[self.ids]] = 2
+        kind[0] = 2
+        kind[ends] = 3
+        pos = np.flatnonzero(kind > 1)
+        for g in np.flatnonzero(np.diff(pos) > INNER_STEP).tolist():
+            inner = np.arange(pos[g] + INNER_STEP, pos[g + 1], INNER_STEP)
+            kind[inner] = np.maximum(kind[inner], 1)
+        both = np.flatnonzero(kind)
+        penalty = np.array([0, INNER_CUT, SENTENCE_CUT, 0], float)[kind[both]]
         cuts = both[choose_cuts(both, penalty, self.limit)]
         if not last:
             cuts = cuts[:-2]

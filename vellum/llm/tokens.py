@@ -28,11 +28,12 @@ _PRETOKEN = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace
 
 _CUT = re.compile(r"\S(?= \S)")
 
-#: A comma or full stop is a pre-token of its own unless one of these is in the text.
-_RUNS = re.compile(r"[^\w\s][^\w\s]|_|\s[,.]|^[,.]")
+#: A comma or full stop is a pre-token of its own unless two such signs meet or one of these is in the text.
+_RUN = re.compile(r"[^\w\s][^\w\s]")
+_BEFORE = (" ,", " .", "\n,", "\n.", "_")
 
 #: Bound of the table that a worker keeps. When it is full, rarer entries are worked out each time.
-ENTRIES = 600_000
+ENTRIES = 1_000_000
 
 #: Longer texts are encoded in parts of about so many characters.
 PART = 1 << 20
@@ -176,7 +177,7 @@ class Encoder:
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _UNUSUAL.search(text):
             return [f"\x02{x}" for x in _PRETOKEN.findall(text)]
         marked = text.replace(" ", " \x01").replace("\n", " \n ")
-        if not _RUNS.search(text):
+        if not (_RUN.search(text) or any(x in text for x in _BEFORE) or text.startswith((",", "."))):
             marked = marked.replace(",", " ,").replace(".", " .")
         return marked.split(" ")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def doc_bucket(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4; bucket 2 is held out from every fit."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
@@ -56,27 +63,30 @@ def vector_sum(df: DataFrame, counts, size: int, chunks: int = 64):
     def partial(batches):
         v = counts(batches)
         for c in range(chunks):
-            part = v[c * step : (c + 1) * step].astype(np.uint32)
+            part = v[c * step : (c + 1) * step]
             at = np.flatnonzero(part).astype(np.uint32)
             if len(at):
-                sparse = len(at) * 2 < len(part)
-                body = at.tobytes() + part[at].tobytes() if sparse else part.tobytes()
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "sparse": [sparse], "body": pa.array([body], pa.binary())})
+                kind = np.uint8 if part.max() < 256 else np.uint16 if part.max() < 65536 else np.uint32
+                width = np.dtype(kind).itemsize
+                sparse = len(at) * (4 + width) < len(part) * width
+                body = at.tobytes() + part[at].astype(kind).tobytes() if sparse else part.astype(kind).tobytes()
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "sparse": pa.array([len(at) if sparse else 0], pa.int32()), "width": pa.array([width], pa.int32()), "body": pa.array([body], pa.binary())})
 
     def add(batches):
         total: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
                 v = total.setdefault(row["chunk"], np.zeros(step, np.uint64))
-                body = np.frombuffer(row["body"], np.uint32)
-                if row["sparse"]:
-                    v[body[: len(body) // 2]] += body[len(body) // 2 :]
+                n, kind = row["sparse"], f"<u{row['width']}"
+                if n:
+                    v[np.frombuffer(row["body"], np.uint32, n)] += np.frombuffer(row["body"], kind, n, 4 * n)
                 else:
-                    v[: len(body)] += body
+                    got = np.frombuffer(row["body"], kind)
+                    v[: len(got)] += got
         for c, v in total.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "body": pa.array([v.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(partial, "chunk int, sparse boolean, body binary")
+    parts = df.mapInArrow(partial, "chunk int, sparse int, width int, body binary")
     out = np.zeros(step * chunks, np.uint64)
     for row in parts.repartition("chunk").mapInArrow(add, "chunk int, body binary").toLocalIterator():
         out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.body, np.uint64)

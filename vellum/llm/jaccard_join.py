@@ -3,8 +3,8 @@
 Equal sets are one class and need no join. Small sets list subsets of fixed sizes that a linked set must contain
 too; larger sets are found by scanning inverted lists of each set's rarest shingles (as many as a linked set can't
 avoid). The boundary between small and large is where listing subsets begins to cost more than scanning. Short lists
-are opened to pairs; long ones first hang their sets on one pivot, then, block by block and as long as they hold
-unconnected sets, propose the best partners that a bitmap bound leaves possible. Every pair is verified on whole sets.
+are opened to pairs that a bitmap bound leaves possible; long ones first hang their sets on one pivot, then, block by block and as long as they hold
+unconnected sets, propose the best partners within that bound. Every pair is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ MOST_SMALL = 10
 COUNTERS = 1 << 22
 #: Longer lists are worked on in blocks.
 SHORT, BLOCK = 16, 1024
-BITMAP = 512
+#: Places of the bitmaps, and of those that sets of WIDE_FROM and more have besides.
+BITMAP, WIDE, WIDE_FROM = 512, 8192, 600
 
 
 def least_overlap(n: int) -> int:
@@ -54,9 +55,9 @@ def subset_rows(n: int, boundary: int) -> int:
     return sum(comb(n, c) for c in subset_sizes(n, boundary) if c <= n)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of BITMAP places: two sets differ in as many places at most as in shingles."""
-    return np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes()
+def bitmap(s: np.ndarray, places: int = BITMAP) -> bytes:
+    """Parity of the shingles in each place: two sets differ in as many places at most as in shingles."""
+    return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -64,21 +65,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, d1, d2 (the set's digest), bits; for sets up to MOST_SMALL also the shingles themselves."""
+    """id, n, d1, d2 (the set's digest), bits, wide (for large sets); for sets up to MOST_SMALL also the shingles themselves."""
 
     def run(batches):
         for b in batches:
-            n, d1, d2, bits, small = [], [], [], [], []
+            n, d1, d2, bits, wide, small = [], [], [], [], [], []
             for s in shingles.sets_of(b.column(1).to_pylist()):
                 x, y = shingles.digest(s)
                 n.append(len(s))
                 d1.append(x)
                 d2.append(y)
                 bits.append(bitmap(s))
+                wide.append(bitmap(s, WIDE) if len(s) >= WIDE_FROM else None)
                 small.append(_signed(s).tolist() if 0 < len(s) <= MOST_SMALL else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "bits", "small"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "bits", "wide", "small"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n int, d1 bigint, d2 bigint, bits binary, small array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n int, d1 bigint, d2 bigint, bits binary, wide binary, small array<bigint>")
 
 
 def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -181,8 +183,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _SIZES_FIT = f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)"
 
 
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b of the pairs, once each, whose bitmaps differ in no more places than linked sets may."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            for i, (p, q) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
+                if p and q:
+                    apart[i] = max(apart[i], int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * size))
+
+    own = nodes.select("c", "n", "bits", "wide")
+    rows = pairs.distinct().join(own.toDF("a", "n", "p", "wp"), "a").join(own.toDF("b", "m", "q", "wq"), "b")
+    return rows.select("a", "b", "n", "m", "p", "q", "wp", "wq").mapInArrow(run, "a bigint, b bigint")
+
+
 def _block_pairs(most: int):
-    """Pairs that the rows of one block propose: for each set the most promising partners of other components."""
+    """Pairs that the rows of one block propose: for each set the most promising partners of other components.
+
+    With ``most`` 0, each set that has any such partner, twice.
+    """
 
     def group(rows: pa.Table):
         part = rows.column("half").to_numpy()
@@ -196,6 +221,9 @@ def _block_pairs(most: int):
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
             at = np.flatnonzero(ok)
+            if not most:
+                found.update((x, x) for x in [*c[right[at]].tolist(), *([int(c[i])] if len(at) else [])])
+                continue
             taken = 0
             for k in at[np.argsort(apart[at] / size[at], kind="stable")].tolist():
                 x, y = int(c[i]), int(c[right[k]])
@@ -259,7 +287,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     info = common.written(describe(docs, id_col, text_col))
-    nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits")))
+    nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
     boundary = choose_boundary(info)
 
@@ -267,31 +295,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = postings(docs, text_col, order, boundary)
     rows = rows.withColumn("shared", (F.min("d1").over(by_key) != F.max("d1").over(by_key)) | (F.min("d2").over(by_key) != F.max("d2").over(by_key))).where("shared").select("key", "d1", "d2")
     rows = common.written(rows)
+    common.release(spark)
     lists = rows.distinct().join(nodes.select("d1", "d2", "c", "n"), ["d1", "d2"]).select("key", "c", "n").distinct()
     lists = common.written(lists.withColumn("k", F.count(F.lit(1)).over(by_key)).where("k > 1"))
-    sets = common.written(_sets(docs, lists.select("c").distinct(), id_col, text_col))
+    common.release(spark)
 
-    short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("c", "n"))).alias("s"))
+    # Pairs of short lists, and sets of long ones that any other may be near to: only these are looked at whole.
+    short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("s"))
     short = short.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
-    short = short.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).where(_SIZES_FIT).select("a", "b").distinct()
-    long = common.written(lists.where(F.col("k") > SHORT).select("key", "c", "n").join(nodes.select("c", "bits"), "c"))
+    short = short.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    short = common.written(_near(short.where(_SIZES_FIT).select("a", "b"), nodes))
+    long = lists.where(F.col("k") > SHORT).select("key", "c", "n").join(nodes.select("c", "bits"), "c").select("key", "c", "n", "bits")
+    alone = spark.createDataFrame([], "node long, component long")
+    none = spark.createDataFrame([], "a long, b long")
+    near = common.written(_long_pairs(long, alone, none, 0).select(F.col("a").alias("c")))
+    long = common.written(long.join(near, "c", "left_semi"))
+    wanted = near.union(short.select("a")).union(short.select("b")).distinct()
+    sets = common.written(_sets(docs, wanted, id_col, text_col))
+    common.release(spark)
+
+    # One pivot for each long list, its least id, joins most of what belongs together.
     pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
-    stars = long.join(pivots, "key").select("c", F.col("p.c").alias("a"), "n", F.col("p.n").alias("m")).where("a < c").where(_SIZES_FIT).select("a", F.col("c").alias("b")).distinct()
-
-    checked = common.written(verified(short.union(stars).distinct(), sets))
-    links = checked.where("linked").select("a", "b")
-    comp = common.written(components(links))
-    if not long.isEmpty():
-        most = 4
-        while True:
-            new = common.written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
-            if new.isEmpty():
-                break
-            checked = common.written(checked.union(new))
-            if not new.where("linked").isEmpty():
-                # what is linked so far is a forest's worth of edges: each node with its component
-                comp = common.written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
-            most *= 2
+    stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), "n", F.col("p.n").alias("m")).where("a < b").where(_SIZES_FIT).select("a", "b")
+    checked = common.written(verified(_near(stars, nodes).union(short).distinct(), sets))
+    comp = common.written(components(checked.where("linked").select("a", "b")))
+    most = 4
+    while not long.isEmpty():
+        new = common.written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
+        common.release(spark)
+        if new.isEmpty():
+            break
+        checked = common.written(checked.union(new))
+        if not new.where("linked").isEmpty():
+            # what is linked so far is a forest's worth of edges: each node with its component
+            comp = common.written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
+        most *= 4
 
     named = nodes.select("n", "d1", "d2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").select("n", "d1", "d2", "c", F.coalesce("component", "c").alias("component"))
     out = info.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")

@@ -1,5 +1,182 @@
 """Registered queries over the engine's operators and the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vellum.operators import fix, json_output, tables, validate
+from vellum.operators.query import Query
+from vellum.operators.resolve import resolve, with_path_type
+from vellum.sources import corpus
+from vellum.sources.schema import Schema, presets, schema
+from vellum.sources.store import materialise
+from vellum.streaming import revalidate
+
+TYPES = {
+    "order": """
+paths: ['orders/*.md']
+fields:
+  status: {type: enum, values: [F, O], required: true}
+  priority: {type: string, required: true}
+  cust: {type: integer}
+  rush: {type: bool}
+  note: {type: string}
+structure:
+  title: required
+  sections:
+    - {title: Items, bullets: unordered, properties: {quantity: {type: integer}, flag: {type: string}}}
+    - {title: Customer, template: '- [Name](path)', links: {target_type: customer, bidirectional: true}}
+""",
+    "customer": """
+paths: ['customers/*.md']
+fields:
+  name: {type: string, required: true}
+  segment: {type: enum, values: [BUILDING, MACHINERY, FURNITURE, HOUSEHOLD]}
+  nation: {type: integer, required: true}
+structure:
+  title: from_filename
+  sections:
+    - {title: Orders, links: {target_type: order}}
+""",
+    "log": """
+paths: ['log/*/????-??.md']
+fields:
+  user: {type: integer, required: true}
+structure:
+  title: from_date
+  date_headings: {sort: newest_first}
+""",
+    "prose": """
+fields:
+  lang: {type: string}
+structure:
+  size_warning: 4000
+""",
+}
+
+
+@cache
+def _schema() -> Schema:
+    return schema(TYPES)
+
+
+def _orders(spark, d):
+    return Query(corpus.orders(spark, d), _schema())
+
+
+def _docs(spark: SparkSession, files: DataFrame) -> DataFrame:
+    return materialise(resolve(tables.parse(files), _schema()))
+
+
+def _both(spark, d):
+    return _docs(spark, corpus.orders(spark, d).unionByName(corpus.customers(spark, d)))
+
+
+def _diag(rows: DataFrame) -> DataFrame:
+    return rows.select("rel_path", "code", F.col("line").cast("long").alias("line"), "message")
+
+
+O_PATH = "'orders/' || strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '.md'"
+C_PATH = "'customers/' || c_custkey || '.md'"
+PLAIN = r"text IS NOT NULL AND NOT regexp_matches(text, '[*&|!#_<>\[\]\\`~]')"
+NEWEST = f"CAST(o_orderdate AS DATE) DESC, {O_PATH} DESC"
+LOG_ORDER = "CASE WHEN user_id % 3 = 0 THEN event_id ELSE epoch_us(ts) END"
+TITLE = "CASE WHEN c_custkey % 7 = 0 THEN 'Customer ' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END"
+
+
+def _property_rows(spark, d):
+    p = tables.properties(tables.parse(corpus.orders(spark, d)))
+    return p.groupBy("section_title", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("try_cast(value AS BIGINT)")).alias("total"))
+
+
+def _fixed_logs(spark, d):
+    return fix.format_documents(with_path_type(corpus.logs(spark, d), _schema()), _schema())
+
+
+def _fixed_heads(spark, d):
+    again = corpus.with_path_columns(_fixed_logs(spark, d).select("rel_path", F.col("formatted").alias("content")))
+    return tables.parse(again).select("rel_path", F.posexplode(F.filter("blocks", lambda b: b.level == 2)).alias("n", "b")).select("rel_path", F.col("n").cast("long").alias("n"), F.left("b.text", F.lit(16)).alias("at"))
+
+
+def _not_idempotent(spark, d):
+    once = corpus.with_path_columns(_fixed_logs(spark, d).select("rel_path", F.col("formatted").alias("content")))
+    return fix.format_documents(with_path_type(once, _schema()), _schema()).where("changed").select("rel_path")
+
+
+def _fixed_titles(spark, d):
+    out = fix.format_documents(with_path_type(corpus.customers(spark, d), _schema()), _schema())
+    again = corpus.with_path_columns(out.select("rel_path", F.col("formatted").alias("content")))
+    return tables.parse(again).select("rel_path", "title")
+
+
+def _known(spark, d):
+    docs = _both(spark, d)
+    return docs.where("NOT (rel_path LIKE 'customers/%' AND CAST(stem AS BIGINT) % 10 = 3)")
+
+
+def _bfs(spark, d):
+    docs = _both(spark, d)
+    return json_output.reachable(docs, docs.where("rel_path = 'customers/1.md'").select("rel_path"), 2).select("rel_path", F.col("depth").cast("long").alias("depth"))
+
+
+def _stale(spark, d):
+    docs = _docs(spark, corpus.customers(spark, d))
+    found = validate.titles(docs, _schema())
+    return revalidate.stale(found, found.where("rel_path NOT LIKE '%7.md'"))
+
+
+def _types_of(spark, d):
+    files = corpus.orders(spark, d).unionByName(corpus.customers(spark, d)).unionByName(corpus.logs(spark, d)).unionByName(corpus.prose(spark, d))
+    return _docs(spark, files).groupBy("doc_type", "resolution").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _codes(spark, d):
+    return validate.check(_both(spark, d), _schema()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: name: (query, SQL)
+_ALL = {
+    "q_property_eq": (lambda s, d: _orders(s, d).type("order").property("status=F").last(10).paths(), f"SELECT {O_PATH} AS rel_path FROM orders WHERE o_orderstatus = 'F' ORDER BY {NEWEST} LIMIT 10"),
+    "q_property_multi": (lambda s, d: _orders(s, d).property("status=O").property("rush=yes").count(), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0"),
+    "q_property_number": (lambda s, d: _orders(s, d).property("cust=7").paths(), f"SELECT {O_PATH} AS rel_path FROM orders WHERE o_custkey = 7"),
+    "q_last_n": (lambda s, d: _orders(s, d).last(25).paths(), f"SELECT {O_PATH} AS rel_path FROM orders ORDER BY {NEWEST} LIMIT 25"),
+    "q_filename_glob": (lambda s, d: _orders(s, d).filename_glob("????-0[13]-*.md").paths(), f"SELECT {O_PATH} AS rel_path FROM orders WHERE month(o_orderdate) IN (1, 3)"),
+    "q_days_asof": (lambda s, d: _orders(s, d).days(90, "1998-01-01").count(), "SELECT count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-01-01' - 90"),
+    "q_count_cap": (lambda s, d: _orders(s, d).property("status=P").last(20).count(), "SELECT least(20, count(*)) AS n FROM orders WHERE o_orderstatus = 'P'"),
+    "q_grep_ci": (lambda s, d: Query(corpus.prose(s, d), _schema()).grep("The AND").paths(), f"SELECT 'documents/' || doc_id || '.md' AS rel_path FROM documents WHERE {PLAIN} AND contains(lower(replace(text, chr(10), ' ')), 'the and')"),
+    "q_has_link": (lambda s, d: _orders(s, d).has_link("customers/1").paths(), f"SELECT {O_PATH} AS rel_path FROM orders WHERE CAST(o_custkey AS VARCHAR) LIKE '1%'"),
+    "q_type_path": (lambda s, d: Query(corpus.customers(s, d), _schema()).type("customer").count(), "SELECT count(*) AS n FROM customer"),
+    "r_types": (_types_of, f"SELECT * FROM (SELECT 'order' AS doc_type, 'explicit' AS resolution, count(*) AS n FROM orders UNION ALL SELECT 'customer', 'path', count(*) FROM customer UNION ALL SELECT 'log', 'path', count(DISTINCT user_id) FROM events UNION ALL SELECT 'prose', 'explicit', count(*) FROM documents WHERE {PLAIN}) WHERE n > 0"),
+    "x_body_text": (lambda s, d: tables.parse(corpus.prose(s, d)).select("rel_path", "body_text"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, replace(text, chr(10), ' ') || chr(10) AS body_text FROM documents WHERE {PLAIN}"),
+    "x_fields": (lambda s, d: tables.fields(tables.parse(corpus.orders(s, d))).where("key IN ('cust', 'rush', 'status')").select("rel_path", "key", "kind", "json"), f"SELECT {O_PATH} AS rel_path, 'cust' AS key, 'int' AS kind, CAST(o_custkey AS VARCHAR) AS json FROM orders UNION ALL SELECT {O_PATH}, 'rush', 'bool', 'true' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT {O_PATH}, 'status', 'string', '\"' || o_orderstatus || '\"' FROM orders"),
+    "x_items": (lambda s, d: tables.items(tables.parse(corpus.orders(s, d))).where("depth = 0 AND section_title = 'Items'").select("rel_path", "text", "has_children"), f"SELECT {O_PATH} AS rel_path, 'Part ' || l_partkey AS text, true AS has_children FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
+    "x_properties": (_property_rows, "SELECT 'Items' AS section_title, 'quantity' AS key, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'Items', 'flag', count(*), CAST(NULL AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
+    "x_links": (lambda s, d: tables.links(tables.parse(corpus.orders(s, d))).select("rel_path", "section_title", "url", "target"), f"SELECT {O_PATH} AS rel_path, 'Customer' AS section_title, '../customers/' || o_custkey || '.md' AS url, 'customers/' || o_custkey || '.md' AS target FROM orders"),
+    "x_sections": (lambda s, d: tables.sections(tables.parse(corpus.orders(s, d))).select("rel_path", "heading", F.col("level").cast("long").alias("level")), f"SELECT {O_PATH} AS rel_path, h AS heading, CAST(2 AS BIGINT) AS level FROM orders, (VALUES ('Items'), ('Customer')) v(h)"),
+    "x_blocks": (lambda s, d: tables.blocks(tables.parse(corpus.logs(s, d))).where("kind = 'paragraph'").groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"), F.count("section_title").alias("inside")), "SELECT 'log/' || user_id || '/2024-01.md' AS rel_path, count(*) AS n, count(*) AS inside FROM events GROUP BY user_id"),
+    "j_title": (lambda s, d: tables.parse(corpus.customers(s, d)).select("rel_path", "title"), f"SELECT {C_PATH} AS rel_path, {TITLE} AS title FROM customer"),
+    "j_json": (lambda s, d: Query(corpus.prose(s, d), _schema()).json().select("rel_path", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.frontmatter.lang").alias("lang"), F.get_json_object("json", "$.intro").alias("intro")), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'prose' AS type, lang, text AS intro FROM documents WHERE {PLAIN}"),
+    "j_bfs_depth2": (_bfs, f"WITH c AS (SELECT {C_PATH} AS p, c_custkey FROM customer), o AS (SELECT {O_PATH} AS p, o_custkey FROM orders WHERE o_orderkey % 2 = 0) SELECT p AS rel_path, CAST(0 AS BIGINT) AS depth FROM c WHERE c_custkey = 1 UNION ALL SELECT o.p, 1 FROM o JOIN c ON o_custkey = c_custkey WHERE c_custkey = 1"),
+    "v_field_enum": (lambda s, d: _diag(validate.fields(_docs(s, corpus.orders(s, d)), _schema())), f"SELECT {O_PATH} AS rel_path, 'InvalidFieldType' AS code, CAST(1 AS BIGINT) AS line, 'field ''status'': invalid value ''P'' (allowed: F, O)' AS message FROM orders WHERE o_orderstatus = 'P'"),
+    "v_fields_customer": (lambda s, d: _diag(validate.fields(_docs(s, corpus.customers(s, d)), _schema())), f"""SELECT {C_PATH} AS rel_path, 'MissingRequiredField' AS code, CAST(1 AS BIGINT) AS line, 'missing required field ''nation''' AS message FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 11 <> 0
+UNION ALL SELECT {C_PATH}, 'InvalidFieldType', 1, 'field ''nation'': expected integer, got string' FROM customer WHERE c_custkey % 11 = 0
+UNION ALL SELECT {C_PATH}, 'InvalidFieldType', 1, 'field ''segment'': invalid value ''' || c_mktsegment || ''' (allowed: BUILDING, MACHINERY, FURNITURE, HOUSEHOLD)' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD')"""),
+    "v_title_mismatch": (lambda s, d: validate.titles(_docs(s, corpus.customers(s, d)), _schema()).select("rel_path", "code", "message"), f"SELECT {C_PATH} AS rel_path, 'H1Mismatch' AS code, 'H1 ''Customer ' || c_custkey || ''' does not match expected ''' || c_custkey || '''' AS message FROM customer WHERE c_custkey % 7 = 0"),
+    "v_entries_order": (lambda s, d: validate.date_headings(_docs(s, corpus.logs(s, d)), _schema()).select("rel_path", "code"), f"WITH h AS (SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS k, lag(strftime(ts, '%Y-%m-%d %H:%M')) OVER (PARTITION BY user_id ORDER BY {LOG_ORDER}, event_id) AS p FROM events) SELECT DISTINCT 'log/' || user_id || '/2024-01.md' AS rel_path, 'EntriesOutOfOrder' AS code FROM h WHERE p < k"),
+    "v_link_broken": (lambda s, d: validate.broken_links(_known(s, d)).where("rel_path LIKE 'orders/%'").select("rel_path", "message"), f"SELECT {O_PATH} AS rel_path, 'broken link: ''../customers/' || o_custkey || '.md''' AS message FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL OR c_custkey % 10 = 3"),
+    "v_backlink_missing": (lambda s, d: validate.section_links(_both(s, d), _schema()).select("rel_path", "code", "message"), f"SELECT {O_PATH} AS rel_path, 'MissingBacklink' AS code, 'link to ''../customers/' || o_custkey || '.md'' requires a backlink in section ''Orders''' AS message FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 1"),
+    "v_sections": (lambda s, d: validate.sections(_docs(s, corpus.orders(s, d)), _schema()).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "SELECT 'x' AS code, CAST(0 AS BIGINT) AS n WHERE false"),
+    "v_size_warning": (lambda s, d: validate.sizes_and_types(_docs(s, corpus.prose(s, d)), _schema()).select("rel_path", "code"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'FileTooLarge' AS code FROM documents WHERE {PLAIN} AND octet_length(encode(text)) + length('---' || chr(10) || 'type: prose' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10)) + 1 > 4000"),
+    "f_titles": (_fixed_titles, f"SELECT {C_PATH} AS rel_path, CAST(c_custkey AS VARCHAR) AS title FROM customer"),
+    "f_sort_entries": (_fixed_heads, "SELECT 'log/' || user_id || '/2024-01.md' AS rel_path, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M') DESC) - 1 AS n, strftime(ts, '%Y-%m-%d %H:%M') AS at FROM events"),
+    "f_idempotent": (_not_idempotent, "SELECT '' AS rel_path WHERE false"),
+    "l_stale_clear": (_stale, f"SELECT {C_PATH} AS rel_path FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 10 = 7"),
+    "agg_diagnostics": (_codes, None),
+    "s_presets": (lambda s, d: presets(s).select("name"), "SELECT * FROM (VALUES ('agent'), ('agents'), ('command'), ('journal'), ('journal-entry'), ('readme'), ('roadmap'), ('skill')) v(name)"),
+}
+
+QUERIES = {k: q for k, (q, _) in _ALL.items()}
+ORACLE_SQL = {k: sql for k, (_, sql) in _ALL.items() if sql}
+FLAGSHIP = "q_property_eq"

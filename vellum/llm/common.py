@@ -88,6 +88,6 @@ def vector_sum(df: DataFrame, counts, size: int, chunks: int = 64):
 
     parts = df.mapInArrow(partial, "chunk int, sparse int, width int, body binary")
     out = np.zeros(step * chunks, np.uint64)
-    for row in parts.repartition("chunk").mapInArrow(add, "chunk int, body binary").toLocalIterator():
+    for row in parts.repartition("chunk").mapInArrow(add, "chunk int, body binary").collect():
         out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.body, np.uint64)
     return out[:size]

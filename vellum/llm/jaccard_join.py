@@ -319,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), "n", F.col("p.n").alias("m")).where("a < b").where(_SIZES_FIT).select("a", "b")
     checked = common.written(verified(_near(stars, nodes).union(short).distinct(), sets))
     comp = common.written(components(checked.where("linked").select("a", "b")))
-    most = 4
+    most = 16
     while not long.isEmpty():
         new = common.written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
         common.release(spark)
@@ -329,7 +329,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not new.where("linked").isEmpty():
             # what is linked so far is a forest's worth of edges: each node with its component
             comp = common.written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
-        most *= 4
+        most *= 8
 
     named = nodes.select("n", "d1", "d2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").select("n", "d1", "d2", "c", F.coalesce("component", "c").alias("component"))
     out = info.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")

@@ -92,8 +92,9 @@ class Packer:
         kind[0] = 2
         kind[ends] = 3
         pos = np.flatnonzero(kind > 1)
-        for g in np.flatnonzero(np.diff(pos) > INNER_STEP).tolist():
-            inner = np.arange(pos[g] + INNER_STEP, pos[g + 1], INNER_STEP)
+        step = min(INNER_STEP, self.limit)
+        for g in np.flatnonzero(np.diff(pos) > step).tolist():
+            inner = np.arange(pos[g] + step, pos[g + 1], step)
             kind[inner] = np.maximum(kind[inner], 1)
         both = np.flatnonzero(kind)
         penalty = np.array([0, INNER_CUT, SENTENCE_CUT, 0], float)[kind[both]]

@@ -45,7 +45,8 @@ def path_of(url: Column) -> Column:
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     """Adds rule and rule_verdict (null if none fits) to rows with host and path.
 
-    A rule fits its host and all subdomains if the path starts with its path; the longest host wins, then the longest
+    A rule fits its host and all subdomains if the path starts with its path (so an empty path fits no rule, each of
+    whose paths starts with a slash); the longest host wins, then the longest
     path, and block before allow if a rule is given twice.
     """
     ordered = sorted(set(rules), key=lambda r: (-len(r[0]), r[0], r[1] != "block"))

@@ -58,6 +58,8 @@ def encode_frame(v: np.ndarray) -> np.ndarray:
     for s in range(15, -1, -1):
         if s != ESCAPE:
             ok = span(VALUES[s]) <= BITS[s]
+            if s < 15 and not ok.any():
+                break  # more values of fewer bits can't fit then
             best[ok], sel[ok] = VALUES[s], s
     step, starts, i = best.tolist(), [], 0
     while i < n:

@@ -14,7 +14,7 @@ import re
 import yaml
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML 1.2: dates, yes/no and base-60 numbers stay strings."""
 
 

@@ -78,11 +78,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt out by key to all shuffle partitions. Small rows, but much to parse: partitions must not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders/<date>-<key>.md: typed front matter, items with properties, a link to the customer."""
-    o = table(spark, sf_dir, "orders")
+    o = _spread(table(spark, sf_dir, "orders"), "o_orderkey")
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    items = _spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines")).hint("merge")
     o = o.join(items, o.o_orderkey == items.l_orderkey, "left")
     body = F.array_join(F.transform(F.coalesce("lines", F.array()), lambda x: F.concat(F.lit("- Part "), x.l_partkey.cast("string"), F.lit("\n  - Quantity: "), x.l_quantity.cast("int").cast("string"), F.lit("\n  - Flag: "), x.l_returnflag)), "\n")
     key = F.col("o_orderkey").cast("string")
@@ -93,9 +98,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customers/<key>.md: typed by path; the title is wrong for each seventh, links back to even orders only."""
-    c = table(spark, sf_dir, "customer")
+    c = _spread(table(spark, sf_dir, "customer"), "c_custkey")
     o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-    back = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- [Order](../orders/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit(".md)")))), "\n").alias("back"))
+    back = _spread(o, "o_custkey").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- [Order](../orders/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit(".md)")))), "\n").alias("back")).hint("merge")
     c = c.join(back, c.c_custkey == back.o_custkey, "left")
     key = F.col("c_custkey").cast("string")
     title = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("Customer "), key)).otherwise(key)

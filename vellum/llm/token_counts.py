@@ -28,9 +28,9 @@ def histogram(lengths_df: DataFrame, length_col: str = "length") -> DataFrame:
     """For each length that occurs: docs of it, docs and ids of it and above (suffix sums), docs up to it, all docs
     and ids, the ids left if every document is cut to it, and the ids in documents that fit into it whole.
 
-    Only the histogram is ordered. An empty table gives no rows.
+    Only the histogram is ordered. It is written first, so that no text is encoded twice. An empty table gives no rows.
     """
-    h = lengths_df.groupBy(F.col(length_col).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("docs"))
+    h = common.written(lengths_df.groupBy(F.col(length_col).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("docs")))
     h = h.withColumn("ids", F.col("length") * F.col("docs")).withColumn("stretch", F.floor(F.col("length") / STRETCH))
     high = W.orderBy(F.col("stretch").desc()).rowsBetween(W.unboundedPreceding, -1)
     above = h.groupBy("stretch").agg(F.sum("docs").alias("d"), F.sum("ids").alias("i"))

@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 A feature is the presence of an n-gram (lower case, hashed) in a text. Its ratio is the log of how much likelier it
-is in a toxic text than in another, from smoothed counts over all labelled rows. A logistic regression over features
-times ratios is fitted on a bounded sample of them.
+is in a toxic text than in another, from smoothed counts over a bounded sample of labelled rows. A logistic regression
+over features times ratios is fitted on the same sample.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from . import common
 GRAMS, HASH_BITS = (3, 4, 5), 19
 #: The features of the regression: those with the largest ratios, each weighed by how sure it is.
 SELECTED = 1 << 14
-#: Labelled rows that the regression is fitted on, at most, chosen by a hash of the id.
+#: Labelled rows that the classifier is fitted on, at most, chosen by a hash of the id.
 SAMPLE = 8000
 SMOOTH, PENALTY, STEPS, RATE = 1.0, 2e-4, 300, 0.05
 THRESHOLD = 0.3
+#: Places that ids are hashed to.
+PLACES = 1 << 40
 
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -100,11 +102,14 @@ def _regression(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nd
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled rows outside the held-out ids. Without labels every score is 0.5.
 
-    The counts behind the ratios cover all of those rows. Rows with a null label or text are left out; of repeated
-    labels of one id the largest holds.
+    SAMPLE labels are used at most, chosen by a hash of the id among all of them, so that they can be broadcast and
+    no text is moved. Rows with a null label or text are left out; of repeated labels of one id the largest holds.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").where(~common.held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").where(~common.held_out()).join(marks, "doc_id")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PLACES))
+    # the expected number lies five standard deviations under the bound
+    marks = marks.where(place < int(min(1.0, (SAMPLE - 5 * SAMPLE**0.5) / max(1, marks.count())) * PLACES))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").where(~common.held_out()).join(F.broadcast(marks), "doc_id")
     rows = common.written(rows)
     size = 1 << HASH_BITS
 
@@ -142,8 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found += [f[x:z].astype("<i4").tobytes() for x, z in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["doc_id", "f", "y"])
 
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < min(1.0, SAMPLE / (n0 + n1)) * (1 << 20))
-    got = some.select(F.col("doc_id").cast("string"), "text", "y").mapInArrow(features, "doc_id string, f binary, y int").toArrow().sort_by("doc_id")
+    got = rows.select(F.col("doc_id").cast("string"), "text", "y").mapInArrow(features, "doc_id string, f binary, y int").toArrow().sort_by("doc_id")
     each = [np.frombuffer(x, "<i4") for x in got.column("f").to_pylist()]
     y = (got.column("y").to_numpy() > 0).astype(np.float64)
     cols = np.concatenate(each).astype(np.int64) if each else np.empty(0, np.int64)

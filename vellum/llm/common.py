@@ -26,13 +26,40 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """The same rows read back from a table in the shared folder: cuts the lineage and survives lost executors.
+
+    With ``batch_rows``, Python functions on the way get batches of so many rows, which bounds a worker's memory.
+    """
+    path, conf, key = work_dir(df.sparkSession), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        if batch_rows:
+            conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int):
+    """The same batches in pieces of so many rows; what was freed goes back to the system at the end."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    trim()
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, so that idle workers stay small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
     gc.collect()

@@ -26,10 +26,16 @@ MOST_SMALL = 10
 COUNTERS = 1 << 22
 #: Longer lists are worked on in blocks.
 SHORT, BLOCK = 16, 1024
+#: Rows that Python functions take at once, so that whole sets of few documents are in memory together.
+ROWS = 1024
 #: Places of the bitmaps, and of those that sets of WIDE_FROM and more have besides.
 BITMAP, WIDE, WIDE_FROM = 512, 8192, 600
 
 
+def _written(df: DataFrame) -> DataFrame:
+    return common.written(df, ROWS)
+
+
 def least_overlap(n: int) -> int:
     """What any linked set shares with a set of n at least."""
     return -(-NUM * n // DEN)
@@ -68,7 +74,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n, d1, d2 (the set's digest), bits, wide (for large sets); for sets up to MOST_SMALL also the shingles themselves."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches, ROWS):
             n, d1, d2, bits, wide, small = [], [], [], [], [], []
             for s in shingles.sets_of(b.column(1).to_pylist()):
                 x, y = shingles.digest(s)
@@ -88,7 +94,7 @@ def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def counts(batches):
         v = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in common.slices(batches, ROWS):
             held, size = [], 0
             for s in shingles.sets_of(b.column(0).to_pylist()):
                 held.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
@@ -124,7 +130,7 @@ def postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame:
     def run(batches):
         rank = order.value
         seen: set = set()
-        for b in batches:
+        for b in common.slices(batches, ROWS):
             keys, x, y, times = [], [], [], []
             for s in shingles.sets_of(b.column(0).to_pylist()):
                 n = len(s)
@@ -155,7 +161,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     """c, set (8 bytes a shingle, sorted) of the wanted ids."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches, ROWS):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles.sets_of(b.column(1).to_pylist())], pa.binary())], ["c", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("c"), F.col(text_col).alias("text")).join(wanted, "c", "left_semi")
@@ -166,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked: whether their whole sets link."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches, ROWS):
             a, z = b.column(2).to_pylist(), b.column(3).to_pylist()
             ok = []
             for p, q in zip(a, z, strict=True):
@@ -286,49 +292,49 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are repeated in the result. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    info = common.written(describe(docs, id_col, text_col))
-    nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    info = _written(describe(docs, id_col, text_col))
+    nodes = _written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
     boundary = choose_boundary(info)
 
     by_key = W.partitionBy("key")
     rows = postings(docs, text_col, order, boundary)
     rows = rows.withColumn("shared", (F.min("d1").over(by_key) != F.max("d1").over(by_key)) | (F.min("d2").over(by_key) != F.max("d2").over(by_key))).where("shared").select("key", "d1", "d2")
-    rows = common.written(rows)
+    rows = _written(rows)
     common.release(spark)
     lists = rows.distinct().join(nodes.select("d1", "d2", "c", "n"), ["d1", "d2"]).select("key", "c", "n").distinct()
-    lists = common.written(lists.withColumn("k", F.count(F.lit(1)).over(by_key)).where("k > 1"))
+    lists = _written(lists.withColumn("k", F.count(F.lit(1)).over(by_key)).where("k > 1"))
     common.release(spark)
 
     # Pairs of short lists, and sets of long ones that any other may be near to: only these are looked at whole.
     short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("s"))
     short = short.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
     short = short.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    short = common.written(_near(short.where(_SIZES_FIT).select("a", "b"), nodes))
+    short = _written(_near(short.where(_SIZES_FIT).select("a", "b"), nodes))
     long = lists.where(F.col("k") > SHORT).select("key", "c", "n").join(nodes.select("c", "bits"), "c").select("key", "c", "n", "bits")
     alone = spark.createDataFrame([], "node long, component long")
     none = spark.createDataFrame([], "a long, b long")
-    near = common.written(_long_pairs(long, alone, none, 0).select(F.col("a").alias("c")))
-    long = common.written(long.join(near, "c", "left_semi"))
+    near = _written(_long_pairs(long, alone, none, 0).select(F.col("a").alias("c")))
+    long = _written(long.join(near, "c", "left_semi"))
     wanted = near.union(short.select("a")).union(short.select("b")).distinct()
-    sets = common.written(_sets(docs, wanted, id_col, text_col))
+    sets = _written(_sets(docs, wanted, id_col, text_col))
     common.release(spark)
 
     # One pivot for each long list, its least id, joins most of what belongs together.
     pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
     stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), "n", F.col("p.n").alias("m")).where("a < b").where(_SIZES_FIT).select("a", "b")
-    checked = common.written(verified(_near(stars, nodes).union(short).distinct(), sets))
-    comp = common.written(components(checked.where("linked").select("a", "b")))
+    checked = _written(verified(_near(stars, nodes).union(short).distinct(), sets))
+    comp = _written(components(checked.where("linked").select("a", "b")))
     most = 16
     while not long.isEmpty():
-        new = common.written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
+        new = _written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
         common.release(spark)
         if new.isEmpty():
             break
-        checked = common.written(checked.union(new))
+        checked = _written(checked.union(new))
         if not new.where("linked").isEmpty():
             # what is linked so far is a forest's worth of edges: each node with its component
-            comp = common.written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
+            comp = _written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
         most *= 8
 
     named = nodes.select("n", "d1", "d2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").select("n", "d1", "d2", "c", F.coalesce("component", "c").alias("component"))

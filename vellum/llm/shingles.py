@@ -47,7 +47,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(h + (stop - start).astype(np.uint64) * _M[1]), np.searchsorted(start, ends)
 
 
-def sets_of(texts: list[str | None], most: int = 1 << 21):
+def sets_of(texts: list[str | None], most: int = 1 << 19):
     """Yields the sorted distinct shingle hashes of each text.
 
     A text of fewer than five words has one shingle, the whole sequence; one without words has none.

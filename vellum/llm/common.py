@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,7 +40,16 @@ def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table whose successors have been written too."""
+    jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches, rows: int):
@@ -63,7 +73,10 @@ def trim() -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
     gc.collect()
+    # handles are let go of by another thread before the driver's garbage holds what they stood for
+    time.sleep(0.3)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.7)
 
 
 def doc_bucket(id_col: str = "doc_id"):

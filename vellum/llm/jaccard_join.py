@@ -304,6 +304,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     common.release(spark)
     lists = rows.distinct().join(nodes.select("d1", "d2", "c", "n"), ["d1", "d2"]).select("key", "c", "n").distinct()
     lists = _written(lists.withColumn("k", F.count(F.lit(1)).over(by_key)).where("k > 1"))
+    common.discard(rows)
     common.release(spark)
 
     # Pairs of short lists, and sets of long ones that any other may be near to: only these are looked at whole.
@@ -315,7 +316,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     alone = spark.createDataFrame([], "node long, component long")
     none = spark.createDataFrame([], "a long, b long")
     near = _written(_long_pairs(long, alone, none, 0).select(F.col("a").alias("c")))
+    common.release(spark)
     long = _written(long.join(near, "c", "left_semi"))
+    common.discard(lists)
     wanted = near.union(short.select("a")).union(short.select("b")).distinct()
     sets = _written(_sets(docs, wanted, id_col, text_col))
     common.release(spark)
@@ -324,6 +327,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
     stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), "n", F.col("p.n").alias("m")).where("a < b").where(_SIZES_FIT).select("a", "b")
     checked = _written(verified(_near(stars, nodes).union(short).distinct(), sets))
+    common.discard(short)
+    common.release(spark)
     comp = _written(components(checked.where("linked").select("a", "b")))
     most = 16
     while not long.isEmpty():

@@ -215,6 +215,16 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(spark.createDataFrame(labelled, "page_id long, url string"), rules).where("rule IS NULL").collect()} == {"allow"}
 
 
+def test_url_labels_reach_unlabelled_branches(spark):
+    at = lambda host, *kinds: [f"http://{host}/{k}/{i}" for k in kinds for i in range(10)]
+    urls = at("b.org", "p", "q", "r") + at("g.org", "p", "q", "r") + at("m.org", "p", "q", "r") + at("none.org", "r")
+    rules = (("b.org/p", "block"), ("b.org/q", "block"), ("g.org/p", "allow"), ("g.org/q", "allow"), ("m.org/p", "allow"), ("m.org/q", "block"))
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(rows) == len(urls)
+    assert {(r.host, r.verdict) for r in rows if r.rule is None} == {("b.org", "block"), ("g.org", "allow"), ("m.org", "allow"), ("none.org", "allow")}
+    assert {r.template for r in rows if r.host == "b.org"} == {"/{p}/*"} and len({r.template for r in rows if r.host == "m.org"}) == 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, page_id long, url string, vec_id long, embedding array<double>, toxic int")
     path = tokens.default_tokenizer()

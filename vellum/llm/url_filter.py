@@ -2,7 +2,8 @@
 
 A template is a path whose variable segments are wildcards. Segments with digits are wildcards by their form; beyond
 that, level by level from the root, a branch with many children that hardly repeat has them merged into one wildcard,
-and branches whose rows are alike in what follows and in their labels are merged with each other. Each template gets
+and branches whose rows are alike in what follows and in their labels are merged with each other. A branch without
+labels is merged with those alike in what follows if two of them or more have labels that agree. Each template gets
 the smoothed share of allowed rows among its labelled rows, and is rejected if that is low.
 """
 
@@ -83,9 +84,15 @@ def templates(rows: DataFrame) -> DataFrame:
         each = t.where("child IS NOT NULL").groupBy("host", "parent", "child").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"), (F.sum(F.col("leaf") * F.col("n")) / F.sum("n")).alias("leaves"))
         under = W.partitionBy("host", "parent")
         each = each.withColumn("many", (F.count(F.lit(1)).over(under) >= MANY) & (F.sum("n").over(under) < ROWS_EACH * F.count(F.lit(1)).over(under)))
-        # branches alike in labels and in what follows share a cell; the cell takes the name of its branches if it is one
-        share = (F.col("good") + PRIOR * PRIOR_SHARE) / (F.col("known") + PRIOR)
-        each = each.withColumn("cell", F.struct(F.round(share / ALIKE).alias("s"), (F.col("known") > 0).alias("k"), F.round(F.col("leaves") / ALIKE).alias("l"), F.col("child").startswith("*").alias("w")))
+        # branches alike in labels and in what follows share a cell; the cell takes the name of its branches if it is one.
+        # A branch without labels is compared by what follows alone: it joins where two labelled branches or more agree.
+        share = F.when(F.col("known") > 0, F.round((F.col("good") + PRIOR * PRIOR_SHARE) / (F.col("known") + PRIOR) / ALIKE))
+        each = each.withColumn("s", share).withColumn("l", F.round(F.col("leaves") / ALIKE)).withColumn("w", F.col("child").startswith("*"))
+        like, labelled = W.partitionBy("host", "parent", "l", "w"), F.col("known") > 0
+        pure = F.when(labelled, F.col("good") / F.col("known"))
+        agree = (F.count(F.when(labelled, 1)).over(like) > 1) & (F.max(pure).over(like) - F.min(pure).over(like) <= ALIKE)
+        most = F.max(F.when(labelled, F.struct("known", "s"))).over(like)
+        each = each.withColumn("cell", F.struct(F.coalesce("s", F.when(agree, most.s)).alias("s"), "l", "w"))
         alike = W.partitionBy("host", "parent", "cell")
         each = each.withColumn("to", F.when(F.col("many") & ~F.col("cell.w"), F.lit("*")).when(~F.col("cell.w") & (F.count(F.lit(1)).over(alike) > 1), F.concat(F.lit("{"), F.min("child").over(alike), F.lit("}"))).otherwise(F.col("child")))
         moves = each.where("to <> child").select("host", "parent", "child", "to")

@@ -68,3 +68,36 @@ def test_registered_queries_hold_against_sql(spark):
         names = [c[0] for c in cur.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall()), name
+
+
+def test_every_document_is_rendered(spark):
+    texts = [None, "", "Plain text.\nTwo lines.", "A *b* _c_ & <d> [e](f) `g` ~h~ \\ !i #j | k", "Half\n\n- list\n# head", " led", "A ```` fence\n\n```\nx", "one\r\ntwo", "Ends\n", "1. one", "&amp; x", "Über # äh\nÉté | *"]
+    rows = [(k, t, "en" if k % 2 else None, None if k == 3 else "web") for k, t in enumerate(texts)]
+    docs = tables.parse(corpus.rendered(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    got = {int(r.stem): r.body_text for r in docs.collect()}
+    # a paragraph's lines are joined by spaces; a fence keeps them, but body_text ends each block with one line break
+    assert got == {k: "" if not t else (t.replace("\n", " ") if k in (2, 3, 11) else t.rstrip("\n")) + "\n" for k, t in enumerate(texts)}
+
+
+def test_queries_over_all_documents(spark):
+    import duckdb
+
+    from vellum.functions.markdown import Document
+    from vellum.plans.registry import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    for name in ("x_body_text_all", "q_grep_ci_all", "r_types_all", "v_size_warning_all"):
+        df = QUERIES[name](spark, d)
+        cur = con.execute(ORACLE_SQL[name])
+        names = [c[0] for c in cur.description]
+        assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall()), name
+    raw = {f"documents/{i}.md": (t, lang) for i, t, lang in con.execute("select doc_id, text, lang from documents").fetchall()}
+    json = {r.rel_path: r for r in QUERIES["j_json_all"](spark, d).collect()}
+    assert {p: (Document(r.intro).blocks[0]["kind"], r.type, r.lang) for p, r in json.items()} == {p: ("paragraph", "prose", lang) for p, (_, lang) in raw.items()}
+    from vellum.operators.tables import _parsed
+
+    assert {p: _parsed(r.intro)["body_text"] for p, r in json.items()} == {p: t.replace("\n", " ") + "\n" for p, (t, _) in raw.items()}

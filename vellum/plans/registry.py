@@ -81,6 +81,9 @@ def _diag(rows: DataFrame) -> DataFrame:
 O_PATH = "'orders/' || strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '.md'"
 C_PATH = "'customers/' || c_custkey || '.md'"
 PLAIN = r"text IS NOT NULL AND NOT regexp_matches(text, '[*&|!#_<>\[\]\\`~]')"
+#: Every text of the test tables is one paragraph once it is escaped.
+BODY = "replace(text, chr(10), ' ') || chr(10)"
+MARKED = r"'[*&|!#_<>\[\]\\`~]'"
 NEWEST = f"CAST(o_orderdate AS DATE) DESC, {O_PATH} DESC"
 LOG_ORDER = "CASE WHEN user_id % 3 = 0 THEN event_id ELSE epoch_us(ts) END"
 TITLE = "CASE WHEN c_custkey % 7 = 0 THEN 'Customer ' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END"
@@ -150,6 +153,11 @@ _ALL = {
     "q_type_path": (lambda s, d: Query(corpus.customers(s, d), _schema()).type("customer").count(), "SELECT count(*) AS n FROM customer"),
     "r_types": (_types_of, f"SELECT * FROM (SELECT 'order' AS doc_type, 'explicit' AS resolution, count(*) AS n FROM orders UNION ALL SELECT 'customer', 'path', count(*) FROM customer UNION ALL SELECT 'log', 'path', count(DISTINCT user_id) FROM events UNION ALL SELECT 'prose', 'explicit', count(*) FROM documents WHERE {PLAIN}) WHERE n > 0"),
     "x_body_text": (lambda s, d: tables.parse(corpus.prose(s, d)).select("rel_path", "body_text"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, replace(text, chr(10), ' ') || chr(10) AS body_text FROM documents WHERE {PLAIN}"),
+    "x_body_text_all": (lambda s, d: tables.parse(corpus.documents(s, d)).select("rel_path", "body_text"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, {BODY} AS body_text FROM documents"),
+    "q_grep_ci_all": (lambda s, d: Query(corpus.documents(s, d), _schema()).grep("The AND").paths(), f"SELECT 'documents/' || doc_id || '.md' AS rel_path FROM documents WHERE contains(lower({BODY}), 'the and')"),
+    "r_types_all": (lambda s, d: _docs(s, corpus.documents(s, d)).groupBy("doc_type", "resolution").agg(F.count(F.lit(1)).alias("n")), "SELECT 'prose' AS doc_type, 'explicit' AS resolution, count(*) AS n FROM documents"),
+    "v_size_warning_all": (lambda s, d: validate.sizes_and_types(_docs(s, corpus.documents(s, d)), _schema()).select("rel_path", "code"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'FileTooLarge' AS code FROM documents WHERE octet_length(encode(text)) + length(text) - length(regexp_replace(text, {MARKED}, '', 'g')) + length('---' || chr(10) || 'type: prose' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10)) + 1 > 4000"),
+    "j_json_all": (lambda s, d: Query(corpus.documents(s, d), _schema()).json().select("rel_path", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.frontmatter.lang").alias("lang"), F.get_json_object("json", "$.intro").alias("intro")), None),
     "x_fields": (lambda s, d: tables.fields(tables.parse(corpus.orders(s, d))).where("key IN ('cust', 'rush', 'status')").select("rel_path", "key", "kind", "json"), f"SELECT {O_PATH} AS rel_path, 'cust' AS key, 'int' AS kind, CAST(o_custkey AS VARCHAR) AS json FROM orders UNION ALL SELECT {O_PATH}, 'rush', 'bool', 'true' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT {O_PATH}, 'status', 'string', '\"' || o_orderstatus || '\"' FROM orders"),
     "x_items": (lambda s, d: tables.items(tables.parse(corpus.orders(s, d))).where("depth = 0 AND section_title = 'Items'").select("rel_path", "text", "has_children"), f"SELECT {O_PATH} AS rel_path, 'Part ' || l_partkey AS text, true AS has_children FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
     "x_properties": (_property_rows, "SELECT 'Items' AS section_title, 'quantity' AS key, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'Items', 'flag', count(*), CAST(NULL AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),

@@ -120,8 +120,35 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKED = r"[*&|!#_<>\[\]\\`~]"
 
 
+def _prose_file(d: DataFrame, body) -> DataFrame:
+    """Source and language in front matter, empty where null, then the body."""
+    front = F.concat(F.lit("---\ntype: prose\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\nsource: "), F.coalesce("source", F.lit("")), F.lit("\n---\n"))
+    return with_path_columns(d.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.concat(front, body, F.lit("\n")).alias("content")))
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents/<id>.md: source and language in front matter, the text as a paragraph; texts without markup alone."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(MARKED))
-    front = F.concat(F.lit("---\ntype: prose\nlang: "), "lang", F.lit("\nsource: "), "source", F.lit("\n---\n"))
-    return with_path_columns(d.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.concat(front, "text", F.lit("\n")).alias("content")))
+    """documents/<id>.md: source and language in front matter, the text as a paragraph; texts without markup alone.
+
+    The SQL of the queries over it is as narrow; ``documents`` leaves nothing out.
+    """
+    return _prose_file(table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(MARKED)), F.col("text"))
+
+
+#: Texts whose lines all begin with a letter and end without a space are one paragraph once their markup is escaped.
+LINES = r"^\p{L}([^\n\r]*\S)?(\n\p{L}([^\n\r]*\S)?)*$(?!\n)"
+
+
+def rendered(docs: DataFrame) -> DataFrame:
+    """Each document, whatever its text: as a paragraph with escaped markup, or in a fence longer than any in it.
+
+    Null texts are empty ones, which have no block.
+    """
+    text = F.coalesce("text", F.lit(""))
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.array_max(F.transform(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit("`+"), F.lit(0))), F.length)) + 1))
+    body = F.when(text == "", "").when(text.rlike(LINES), F.regexp_replace(text, MARKED, r"\\$0")).otherwise(F.concat(fence, F.lit("\n"), text, F.lit("\n"), fence))
+    return _prose_file(docs, body)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents/<id>.md of every row of documents."""
+    return rendered(table(spark, sf_dir, "documents"))

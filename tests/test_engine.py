@@ -101,3 +101,82 @@ def test_queries_over_all_documents(spark):
     from vellum.operators.tables import _parsed
 
     assert {p: _parsed(r.intro)["body_text"] for p, r in json.items()} == {p: t.replace("\n", " ") + "\n" for p, (t, _) in raw.items()}
+
+
+def test_json_sections(spark):
+    import json
+
+    s = schema({"t": "structure:\n  strict_sections: false\n  sections:\n    - {title: A, properties: {n: {type: integer}, f: {type: float}, b: {type: bool}}}\n    - {title: '*', properties: {n: {type: integer}}}\n    - {title: None}\n"})
+    text = """---
+type: t
+---
+## Before
+
+# T
+
+in
+
+## A
+
+- one
+  - N: 5
+  - b: yes
+  - f: 1.5
+  - x: q
+  - x: r
+- two
+  - plain
+    - deep
+
+### A1
+
+para [l](u.md)
+
+#### A11
+
+- k: v
+
+##### A111
+
+end
+
+### A2
+
+## Flat
+
+- n: 7
+- m: 8
+- note
+
+## None
+
+- n: 7
+"""
+    got = json.loads(Query(_files(spark, [("a.md", text)]), s).json().first().json)
+    assert got["title"] == "T" and got["intro"] == "in"
+    assert got["sections"] == [
+        {"heading": "A", "items": [{"text": "one", "properties": {"n": 5, "b": True, "f": 1.5, "x": ["q", "r"]}}, {"text": "two", "items": [{"text": "plain", "items": [{"text": "deep"}]}]}], "subsections": [
+            {"heading": "A1", "content": "para [l](u.md)", "links": [{"text": "l", "url": "u.md"}], "subsections": [{"heading": "A11", "items": [{"text": "k: v"}]}]},
+            {"heading": "A2"},
+        ]},
+        {"heading": "Flat", "properties": {"n": 7, "m": "8"}},
+        {"heading": "None", "items": [{"text": "n: 7"}]},
+    ]
+
+
+def test_json_of_orders(spark):
+    import duckdb
+
+    from vellum.plans.registry import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "documents"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name in ("j_sections", "j_json"):
+        df = QUERIES[name](spark, d)
+        cur = con.execute(ORACLE_SQL[name])
+        names = [c[0] for c in cur.description]
+        assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall()), name

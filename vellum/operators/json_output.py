@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.operators import tables
+from vellum.sources.schema import Schema
 
 
 def _object(pairs: list[tuple[str, object, object]]):
@@ -18,34 +22,104 @@ def _quoted(c):
     return F.coalesce(F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null"))
 
 
-def document_json(docs: DataFrame) -> DataFrame:
-    """(rel_path, json) of resolved documents: path, type, frontmatter, title, intro, sections with content, items, links.
+def _coerced(value: str, d: dict):
+    """A property's text as its declared type, or as it is."""
+    if d.get("type") == "integer" and re.fullmatch(r"[+-]?[0-9]+", value, re.ASCII) and -(2**63) <= int(value) < 2**63:
+        return int(value)
+    if d.get("type") == "float" and re.fullmatch(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", value, re.ASCII) and abs(float(value)) != float("inf"):
+        return float(value)
+    if d.get("type") == "bool" and value in ("true", "yes", "false", "no"):
+        return value in ("true", "yes")
+    return value
+
+
+def _properties(texts, declared: dict) -> dict:
+    """Typed values of Key: Value texts; a repeated key has an array."""
+    out: dict = {}
+    for text in texts:
+        key, colon, value = text.partition(": ")
+        if colon:
+            out.setdefault(key.strip().lower(), []).append(_coerced(value.strip(), declared.get(key.strip().lower()) or {}))
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def _sections(blocks: list, items: list, links: list, declared: dict) -> list[dict]:
+    """Level-2 sections with subsections down to level 4; deeper headings are content.
+
+    ``declared``: properties by section title, of level 2 alone; * stands for titles without a definition.
+    """
+    below: dict = {}
+    for x in items:
+        below.setdefault((x["block_idx"], x["parent"]), []).append(x)
+
+    def item(x, props):
+        inner = below.get((x["block_idx"], x["item_id"]), [])
+        found = {} if props is None else _properties((y["text"] for y in inner), props)
+        return {"text": x["text"]} | ({"properties": found} if found else {"items": [item(y, None) for y in inner]} if inner else {})
+
+    def build(part, level, titles):
+        out, n = [], 0
+        while n < len(part):
+            head, n = part[n], n + 1
+            if head["kind"] != "heading" or head["level"] != level:
+                continue
+            start = n
+            while n < len(part) and not (part[n]["kind"] == "heading" and part[n]["level"] <= level):
+                n += 1
+            inside = part[start:n]
+            direct = inside if level == 4 else inside[: next((k for k, b in enumerate(inside) if b["kind"] == "heading" and b["level"] == level + 1), len(inside))]
+            props = titles.get(head["text"], titles.get("*"))
+            own = [item(x, props) for b in direct for x in below.get((b["idx"], None), [])]
+            content = "\n\n".join(b["md"] for b in direct).strip("\n")
+            flat = _properties((x["text"] for x in own), props) if props is not None and all(len(x) == 1 for x in own) else {}
+            at = {b["idx"] for b in direct}
+            urls = [{"text": x["text"], "url": x["url"]} for x in links if x["block_idx"] in at]
+            deeper = build(inside, level + 1, {}) if level < 4 else []
+            pairs = {"content": content if not own else "", "properties": flat, "items": [] if flat else own, "links": urls, "subsections": deeper}
+            out.append({"heading": head["text"]} | {k: v for k, v in pairs.items() if v})
+        return out
+
+    return build(blocks, 2, declared)
+
+
+def _sections_json(schemas):
+    """A function of schema folder, type, blocks, items and links."""
+    schemas = {".": schemas} if isinstance(schemas, Schema) else schemas or {}
+    declared: dict = {}
+    for folder, s in schemas.items():
+        for name, t in s.types.items():
+            titles = declared.setdefault((folder, name), {})
+            for d in (t.get("structure") or {}).get("sections") or []:
+                titles.setdefault(d["title"], d.get("properties"))
+
+    def run(folder, name, blocks, items, links):
+        return json.dumps(_sections(blocks, items, links, declared.get((folder, name), {})), ensure_ascii=False, separators=(",", ":"))
+
+    return F.udf(run, "string", useArrow=True)
+
+
+def document_json(docs: DataFrame, schemas=None) -> DataFrame:
+    """(rel_path, json) of resolved documents: path, type, frontmatter, title, intro, sections with content, typed
+    properties, items, links and subsections.
 
-    An empty intro, links and items are left out; type and title are null if there is none. Content is left out where
-    a section has items.
+    An empty intro and empty parts of sections are left out; type and title are null if there is none. Content is left
+    out where a section has items, items where they are the section's properties, sub-items where they are the item's.
     """
     fm = F.concat(F.lit("{"), F.array_join(F.concat(F.when(F.coalesce("fm_type", "doc_type").isNotNull(), F.array(F.concat(F.lit('"type":'), _quoted(F.coalesce("fm_type", "doc_type"))))).otherwise(F.array().cast("array<string>")), F.transform("fm", lambda e: F.concat(_quoted(e.key), F.lit(":"), e.json))), ","), F.lit("}"))
-    heads = F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2))
-    first = F.coalesce(F.get(heads, F.lit(0)).idx, F.size("blocks"))
     start = F.coalesce(F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 1)), F.lit(0)).idx, F.lit(-1))
+    first = F.coalesce(F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2) & (b.idx > F.col("__start"))), F.lit(0)).idx, F.size("blocks"))
     intro = F.array_join(F.transform(F.filter("blocks", lambda b: (b.idx > F.col("__start")) & (b.idx < F.col("__first"))), lambda b: b.md), "\n\n")
+    # only what follows the first section's heading goes to Python
+    body = F.transform(F.filter("blocks", lambda b: b.idx >= F.col("__first")), lambda b: F.struct(b.idx.alias("idx"), b.kind.alias("kind"), b.level.alias("level"), F.when(b.kind == "heading", b.text).alias("text"), b.md.alias("md")))
+    items = F.transform(F.filter("items", lambda x: x.block_idx > F.col("__first")), lambda x: F.struct(x.block_idx.alias("block_idx"), x.item_id.alias("item_id"), x.parent.alias("parent"), x.text.alias("text")))
+    links = F.transform(F.filter("links", lambda x: (x.block_idx > F.col("__first")) & ~x.is_image), lambda x: F.struct(x.block_idx.alias("block_idx"), x.text.alias("text"), x.url.alias("url")))
+    folder = F.col("schema_dir") if "schema_dir" in docs.columns else F.lit(".")
 
-    def section(h):
-        stop = F.coalesce(F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level <= 2) & (b.idx > h.idx)), F.lit(0)).idx, F.size("blocks"))
-        inside = lambda i: (i > h.idx) & (i < stop)
-        items = F.filter("items", lambda x: inside(x.block_idx) & (x.depth == 0))
-        links = F.filter("links", lambda x: inside(x.block_idx) & ~x.is_image)
-        content = F.array_join(F.transform(F.filter("blocks", lambda b: inside(b.idx)), lambda b: b.md), "\n\n")
-        return _object([
-            ("heading", _quoted(h.text), F.lit(True)), ("content", _quoted(content), (F.size(items) == 0) & (content != "")),
-            ("items", F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit('{"text":'), _quoted(x.text), F.lit("}"))), ","), F.lit("]")), F.size(items) > 0),
-            ("links", F.concat(F.lit("["), F.array_join(F.transform(links, lambda x: F.concat(F.lit('{"text":'), _quoted(x.text), F.lit(',"url":'), _quoted(x.url), F.lit("}"))), ","), F.lit("]")), F.size(links) > 0),
-        ])
-
-    rows = docs.withColumn("__first", first).withColumn("__start", start).withColumn("__intro", intro)
+    rows = docs.withColumn("__start", start).withColumn("__first", first).withColumn("__intro", intro)
+    rows = rows.withColumn("__sections", _sections_json(schemas)(folder, F.col("doc_type"), body, items, links))
     whole = _object([
         ("path", _quoted(F.col("rel_path")), F.lit(True)), ("type", _quoted(F.col("doc_type")), F.lit(True)), ("frontmatter", fm, F.col("fm_present")), ("title", _quoted(F.col("title")), F.lit(True)),
-        ("intro", _quoted(F.col("__intro")), F.col("__intro") != ""), ("sections", F.concat(F.lit("["), F.array_join(F.transform(heads, section), ","), F.lit("]")), F.lit(True)),
+        ("intro", _quoted(F.col("__intro")), F.col("__intro") != ""), ("sections", F.col("__sections"), F.lit(True)),
     ])
     return rows.select("rel_path", whole.alias("json"))
 

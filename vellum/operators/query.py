@@ -115,4 +115,4 @@ class Query:
     def json(self) -> DataFrame:
         from vellum.operators.json_output import document_json
 
-        return document_json(resolve(self.matches(("body",)), self.schemas))
+        return document_json(resolve(self.matches(("body",)), self.schemas), self.schemas)

@@ -166,6 +166,7 @@ _ALL = {
     "x_blocks": (lambda s, d: tables.blocks(tables.parse(corpus.logs(s, d))).where("kind = 'paragraph'").groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"), F.count("section_title").alias("inside")), "SELECT 'log/' || user_id || '/2024-01.md' AS rel_path, count(*) AS n, count(*) AS inside FROM events GROUP BY user_id"),
     "j_title": (lambda s, d: tables.parse(corpus.customers(s, d)).select("rel_path", "title"), f"SELECT {C_PATH} AS rel_path, {TITLE} AS title FROM customer"),
     "j_json": (lambda s, d: Query(corpus.prose(s, d), _schema()).json().select("rel_path", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.frontmatter.lang").alias("lang"), F.get_json_object("json", "$.intro").alias("intro")), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'prose' AS type, lang, text AS intro FROM documents WHERE {PLAIN}"),
+    "j_sections": (lambda s, d: _orders(s, d).json().select("rel_path", F.get_json_object("json", "$.sections[0].items").alias("items"), F.get_json_object("json", "$.sections[1].links[0].url").alias("url")), f"SELECT {O_PATH} AS rel_path, '[' || string_agg('{{\"text\":\"Part ' || l_partkey || '\",\"properties\":{{\"quantity\":' || CAST(l_quantity AS BIGINT) || ',\"flag\":\"' || l_returnflag || '\"}}}}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) || ']' AS items, '../customers/' || o_custkey || '.md' AS url FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_custkey"),
     "j_bfs_depth2": (_bfs, f"WITH c AS (SELECT {C_PATH} AS p, c_custkey FROM customer), o AS (SELECT {O_PATH} AS p, o_custkey FROM orders WHERE o_orderkey % 2 = 0) SELECT p AS rel_path, CAST(0 AS BIGINT) AS depth FROM c WHERE c_custkey = 1 UNION ALL SELECT o.p, 1 FROM o JOIN c ON o_custkey = c_custkey WHERE c_custkey = 1"),
     "v_field_enum": (lambda s, d: _diag(validate.fields(_docs(s, corpus.orders(s, d)), _schema())), f"SELECT {O_PATH} AS rel_path, 'InvalidFieldType' AS code, CAST(1 AS BIGINT) AS line, 'field ''status'': invalid value ''P'' (allowed: F, O)' AS message FROM orders WHERE o_orderstatus = 'P'"),
     "v_fields_customer": (lambda s, d: _diag(validate.fields(_docs(s, corpus.customers(s, d)), _schema())), f"""SELECT {C_PATH} AS rel_path, 'MissingRequiredField' AS code, CAST(1 AS BIGINT) AS line, 'missing required field ''nation''' AS message FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 11 <> 0

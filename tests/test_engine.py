@@ -180,3 +180,21 @@ def test_json_of_orders(spark):
         cur = con.execute(ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
         assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall()), name
+
+
+def test_check_reports_links_schema_intro_and_fallback(spark):
+    s = schema({"t": "structure:\n  strict_sections: false\n  intro: {bullets: unordered}\n  sections:\n    - {title: A, required: false}\n    - {title: '*', bullets: ordered, intro_text: Hi, links: {target_type: u}}\n", "u": "paths: ['u/*.md']\n"})
+    text = "---\ntype: t\nx: '[f](g h)'\n---\n# T\n\npara [x](a b.md)\n\n1. one\n\n## A\n\nfree `[c](d e)`\n\n## B\n\nHi there\n\n## C\n\n- [l](a.md)\n"
+    docs = resolve(tables.parse(_files(spark, [("a.md", text), ("o.md", "---\ntype: none\n---\n[x](y z)\n")])), s)
+    assert {(r.code, r.line, r.message) for r in validate.check(docs, s).collect()} == {
+        ("MalformedLink", 7, "link 'a b.md' contains an unencoded space (use %20 or rename the file)"),
+        ("SectionNotBullets", 7, "intro: only bullet lists are allowed here"),
+        ("WrongListType", 9, "intro: expected unordered list"),
+        ("SectionNotBullets", 17, "section 'B': only bullet lists are allowed here"),
+        ("WrongListType", 21, "section 'C': expected ordered list"),
+        ("SectionNeedsIntro", 19, "section is missing required intro paragraph starting with 'Hi'"),
+        ("LinkTargetTypeMismatch", None, "link 'a.md' must target type 'u', got 't'"),
+    }
+    bad = schema({"t": "fields:\n  a: {type: odd}\n"})
+    docs = resolve(tables.parse(_files(spark, [("a.md", "# x\n")])), bad)
+    assert [(r.rel_path, r.line, r.message) for r in validate.check(docs, bad).collect()] == [(".typedown", 0, "schema error: t: type 't', field 'a': unknown type 'odd'")]

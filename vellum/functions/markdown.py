@@ -390,6 +390,20 @@ def block_links(b: dict, line: int | None = None):
                 yield from ((line, *x) for x in inline_links(parse_inlines(c, {})))
 
 
+_SPACED = re.compile(r"\[([^\]]*)\]\(([^)<>\"']*[ \t][^)<>\"']*)\)")
+
+
+def malformed_links(content: str):
+    """(line, url) of links with an unencoded space or tab, outside front matter, fences and code spans."""
+    _, body, skipped = split_front_matter(content)
+    fenced = False
+    for n, line in enumerate(body.split("\n"), skipped + 1):
+        if re.match(r" {0,3}(```|~~~)", line):
+            fenced = not fenced
+        elif not fenced:
+            yield from ((n, m[2]) for m in _SPACED.finditer(line) if line.count("`", 0, m.start()) % 2 == 0)
+
+
 def render_block(b: dict, indent: str = "") -> list[str]:
     k = b["kind"]
     if k == "heading":

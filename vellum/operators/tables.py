@@ -9,7 +9,8 @@ PARSED = (
     "fm_present boolean, fm_error string, fm_type string, fm array<struct<pos:int,key:string,kind:string,json:string,vals:array<string>,kinds:array<string>>>, title string, h1_line int, body_text string, "
     "blocks array<struct<idx:int,kind:string,level:int,line:int,ordered:boolean,text:string,md:string>>, "
     "links array<struct<block_idx:int,line:int,text:string,url:string,is_image:boolean>>, "
-    "items array<struct<block_idx:int,item_id:int,parent:int,depth:int,ordered:boolean,text:string,md:string,has_children:boolean>>"
+    "items array<struct<block_idx:int,item_id:int,parent:int,depth:int,ordered:boolean,text:string,md:string,has_children:boolean>>, "
+    "malformed array<struct<line:int,url:string>>"
 )
 
 
@@ -40,7 +41,7 @@ def _parsed(content: str | None) -> dict:
     title, line = d.title()
     as_list = lambda v: v if isinstance(v, list) else [v]
     fm = [{"pos": n, "key": k, "kind": M.kind_of(v), "json": json.dumps(v, ensure_ascii=False), "vals": [word(x) for x in as_list(v)], "kinds": [M.kind_of(x) for x in as_list(v)]} for n, (k, v) in enumerate(d.fields.items())]
-    return {"fm_present": bool(d.front_present), "fm_error": d.front_error, "fm_type": d.doc_type, "fm": fm, "title": title, "h1_line": line, "body_text": "".join(t + "\n" for b in d.blocks for t in M.block_text(b)), "blocks": blocks, "links": links, "items": items}
+    return {"fm_present": bool(d.front_present), "fm_error": d.front_error, "fm_type": d.doc_type, "fm": fm, "title": title, "h1_line": line, "body_text": "".join(t + "\n" for b in d.blocks for t in M.block_text(b)), "blocks": blocks, "links": links, "items": items, "malformed": [{"line": n, "url": u} for n, u in M.malformed_links(content or "")]}
 
 
 def parse(corpus: DataFrame) -> DataFrame:

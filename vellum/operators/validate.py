@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.functions.columns import ENTRY_HEADING, entry_key, month_title, parse_date, parse_datetime, template_regex
 from vellum.operators import tables
-from vellum.sources.schema import Schema
+from vellum.sources.schema import SCHEMA_DIR, Schema
 
 FIXABLE = {"MissingH1", "H1Mismatch", "SectionOutOfOrder", "SectionsOutOfOrder", "SectionNotBullets", "WrongListType", "SectionNeedsIntro", "ManagedSectionNeedsUpdate", "EntriesOutOfOrder", "EmptyOptionalSection"}
 
@@ -44,6 +44,36 @@ def _titled(headings: Column, title: str) -> Column:
     return F.get(F.filter(headings, lambda b: b.text == title), F.lit(0))
 
 
+def _falls_to(title: Column, d: dict, defs: list[dict]) -> Column:
+    """Whether a section has this definition: by its title, or * if no other definition has that."""
+    return ~title.isin(*[x["title"] for x in defs]) if d["title"] == "*" else title == d["title"]
+
+
+def _mode(d: dict):
+    return d.get("bullets") or ("unordered" if d.get("template") else None)
+
+
+def _only_lists(rows: DataFrame, label: Column, mode) -> list[DataFrame]:
+    out = [_out(rows.where("kind <> 'list'"), "SectionNotBullets", F.concat(label, F.lit(": only bullet lists are allowed here")), F.col("line"))]
+    if mode in ("ordered", "unordered"):
+        out.append(_out(rows.where(f"kind = 'list' AND ordered = {'false' if mode == 'ordered' else 'true'}"), "WrongListType", F.concat(label, F.lit(f": expected {mode} list")), F.col("line")))
+    return out
+
+
+def intros(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Blocks between the title and the first section where only lists are allowed."""
+    out = []
+    for name, t in schema.types.items():
+        mode = _mode((t.get("structure") or {}).get("intro") or {})
+        if mode:
+            own = docs.where((F.col("doc_type") == name) & F.col("fm_present"))
+            at = lambda level: F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == level)), F.lit(0)).idx
+            own = own.withColumn("__h1", at(1)).withColumn("__h2", F.coalesce(at(2), F.size("blocks"))).where("__h1 IS NOT NULL")
+            rows = own.select("rel_path", F.explode(F.filter("blocks", lambda b: (b.idx > F.col("__h1")) & (b.idx < F.col("__h2")))).alias("b")).select("rel_path", "b.*")
+            out += _only_lists(rows, F.lit("intro"), mode)
+    return _union(docs, out)
+
+
 def fields(docs: DataFrame, schema: Schema) -> DataFrame:
     """Missing and badly typed front matter fields. Null values are accepted; undeclared fields ignored."""
     out = []
@@ -141,19 +171,18 @@ def sections(docs: DataFrame, schema: Schema) -> DataFrame:
             there = _titled(h2, d["title"]).isNotNull()
             if d.get("required", True) and d["title"] != "*":
                 out.append(_out(own.where(~there), "MissingSection", F.lit(f"required section '{d['title']}' is missing")))
-            mode = d.get("bullets") or ("unordered" if d.get("template") else None)
-            rows = tables.blocks(own).where((F.col("section_title") == d["title"]) & ~((F.col("kind") == "heading") & (F.col("level") == 2))) if mode or d.get("intro_text") else None
+            mode, label = _mode(d), F.concat(F.lit("section '"), F.col("section_title"), F.lit("'"))
             if mode:
-                out.append(_out(rows.where("kind <> 'list'"), "SectionNotBullets", F.lit(f"section '{d['title']}': only bullet lists are allowed here"), F.col("line")))
-                if mode in ("ordered", "unordered"):
-                    out.append(_out(rows.where(f"kind = 'list' AND ordered = {'false' if mode == 'ordered' else 'true'}"), "WrongListType", F.lit(f"section '{d['title']}': expected {mode} list"), F.col("line")))
+                rows = tables.blocks(own).where(_falls_to(F.col("section_title"), d, defs) & ~((F.col("kind") == "heading") & (F.col("level") == 2)))
+                out += _only_lists(rows, label, mode)
             if d.get("template"):
                 item = F.concat(F.lit("- "), "md")
-                bad = tables.items(own).where(F.col("section_title") == d["title"]).where(~item.rlike(template_regex(d["template"])))
-                out.append(_out(bad, "TemplateMismatch", F.concat(F.lit(f"section '{d['title']}': item doesn't match template '{d['template']}'"))))
+                bad = tables.items(own).where(_falls_to(F.col("section_title"), d, defs)).where(~item.rlike(template_regex(d["template"])))
+                out.append(_out(bad, "TemplateMismatch", F.concat(label, F.lit(f": item doesn't match template '{d['template']}'"))))
             if d.get("intro_text"):
                 first = F.get(F.filter("blocks", lambda b: (b.idx == F.col("h.idx") + 1)), F.lit(0))
-                at = own.withColumn("h", _titled(h2, d["title"])).where("h IS NOT NULL").withColumn("first", first)
+                heads = F.filter(h2, lambda b: _falls_to(b.text, d, defs))
+                at = own.withColumn("h", F.explode(heads if d["title"] == "*" else F.slice(heads, 1, 1))).withColumn("first", first)
                 out.append(_out(at.where(F.coalesce(~((F.col("first.kind") == "paragraph") & F.col("first.text").startswith(d["intro_text"])), F.lit(True))), "SectionNeedsIntro", F.lit(f"section is missing required intro paragraph starting with '{d['intro_text']}'"), F.col("h.line")))
         optional = [d["title"] for d in defs if not d.get("required", True)]
         if optional:
@@ -175,12 +204,13 @@ def section_links(docs: DataFrame, schema: Schema) -> DataFrame:
     out, edges = [], None
     kinds = docs.select(F.col("rel_path").alias("target"), F.col("doc_type").alias("target_type"), "fm_type")
     for name, t in schema.types.items():
-        for d in (t.get("structure") or {}).get("sections") or []:
+        defs = (t.get("structure") or {}).get("sections") or []
+        for d in defs:
             want = (d.get("links") or {}).get("target_type")
             if not want:
                 continue
             edges = tables.links(docs) if edges is None else edges
-            own = edges.where(F.col("section_title") == d["title"]).join(docs.where((F.col("doc_type") == name) & F.col("fm_present")).select("rel_path"), "rel_path", "left_semi")
+            own = edges.where(_falls_to(F.col("section_title"), d, defs)).join(docs.where((F.col("doc_type") == name) & F.col("fm_present")).select("rel_path"), "rel_path", "left_semi")
             own = own.join(kinds, "target")
             wrong = own.where(F.coalesce(F.col("target_type"), F.lit("")) != want)
             tail = F.when(F.col("target_type").isNull(), ", but target has no type").otherwise(F.concat(F.lit(", got '"), "target_type", F.lit("'")))
@@ -220,9 +250,21 @@ def sizes_and_types(docs: DataFrame, schema: Schema) -> DataFrame:
     return _union(docs, out)
 
 
+def spaced_links(docs: DataFrame) -> DataFrame:
+    """``malformed_links`` of parsed documents, front matter left out; documents without types opted out of it."""
+    hits = docs.where("resolution <> 'opted_out'").select("rel_path", F.explode("malformed").alias("x")).select("rel_path", "x.*")
+    return _out(hits, "MalformedLink", F.concat(F.lit("link '"), "url", F.lit("' contains an unencoded space (use %20 or rename the file)")), F.col("line"))
+
+
+def schema_errors(docs: DataFrame, schema: Schema) -> DataFrame:
+    """What is wrong with the schema itself, on its folder."""
+    rows = [(SCHEMA_DIR, "UnknownType", 0, e, False) for e in schema.errors]
+    return docs.sparkSession.createDataFrame(rows, "rel_path string, code string, line int, message string, fixable boolean")
+
+
 def check(docs: DataFrame, schema: Schema, known: DataFrame | None = None) -> DataFrame:
     """All diagnostics of resolved documents. Persist or write ``docs`` before: every rule reads it."""
-    return _union(docs, [sizes_and_types(docs, schema), fields(docs, schema), titles(docs, schema), date_headings(docs, schema), sections(docs, schema), broken_links(docs, known), section_links(docs, schema)])
+    return _union(docs, [schema_errors(docs, schema), sizes_and_types(docs, schema), fields(docs, schema), titles(docs, schema), intros(docs, schema), date_headings(docs, schema), sections(docs, schema), broken_links(docs, known), section_links(docs, schema), spaced_links(docs)])
 
 
 def report(diagnostics: DataFrame) -> DataFrame:

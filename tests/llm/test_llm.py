@@ -57,6 +57,16 @@ def test_exact_dedup(spark, docs, texts):
     assert {r.doc_id for r in exact_dedup.dedup(docs).collect()} == {max(g) for g in groups.values()}
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_exact_dedup_of_repeated_ids(spark, monkeypatch, clash):
+    if clash:  # every text has the same digest
+        monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.lit("x"))
+    rows = [(5, "A"), (5, "B"), (9, "A"), (5, "b"), (None, "n"), (None, "n"), (None, "A"), (7, None), (7, "")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = exact_dedup.dedup(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((str(r.doc_id), (r.text or "").lower()) for r in got) == [("5", "b"), ("7", ""), ("9", "a"), ("None", "n")]
+
+
 def test_jaccard_join(spark, docs, texts):
     sets = {}
     for i, t in texts.items():

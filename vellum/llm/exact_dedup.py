@@ -52,11 +52,22 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns, one for each distinct text (see ``membership``)."""
-    keep = groups(docs, id_col, text_col)
-    kept = docs.join(keep.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("__keep")), docs[id_col] == F.col("__keep"), "left_semi")
-    lone = docs.where(F.col(id_col).isNull()).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    lone = lone.join(keep.where("keep_id IS NULL").select(F.col("sha").alias("__sha")), "__sha", "left_semi").dropDuplicates(["__sha"])
-    return kept.dropDuplicates([id_col]).unionByName(lone.select(*docs.columns))
+    found = groups(docs, id_col, text_col)
+    by_digest = common.written(found.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id")))
+    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
+    one = by_digest.where("texts = 1")
+    # an id may be repeated with other texts: a row stays by its id and digest, both of which repeats are dropped by
+    own = one.where("keep_id IS NOT NULL").select(F.col("keep_id").alias(id_col), F.col("sha").alias("__sha"))
+    kept = rows.where(F.col(id_col).isNotNull()).join(own, [id_col, "__sha"], "left_semi").dropDuplicates([id_col, "__sha"])
+    lone = rows.where(F.col(id_col).isNull()).join(one.where("keep_id IS NULL").select(F.col("sha").alias("__sha")), "__sha", "left_semi").dropDuplicates(["__sha"])
+    out = kept.select(*docs.columns).unionByName(lone.select(*docs.columns))
+    clash = by_digest.where("texts > 1").select(F.col("sha").alias("__sha"))
+    if not clash.isEmpty():  # different texts of one digest are told apart by their full texts
+        apart = found.select(F.col("keep_id").alias("__keep"), F.col("sha").alias("__digest"), F.col("text").alias("__same"))
+        some = rows.join(clash, "__sha", "left_semi").withColumn("__text", normalised(F.col(text_col)))
+        hit = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__sha") == F.col("__digest")) & (F.col("__text") == F.col("__same"))
+        out = out.unionByName(some.join(apart, hit, "left_semi").dropDuplicates(["__text"]).select(*docs.columns))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

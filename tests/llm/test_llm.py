@@ -235,6 +235,14 @@ def test_url_labels_reach_unlabelled_branches(spark):
     assert {r.template for r in rows if r.host == "b.org"} == {"/{p}/*"} and len({r.template for r in rows if r.host == "m.org"}) == 3
 
 
+def test_deep_paths_have_templates_of_their_own(spark):
+    deep = "http://h.org/" + "/".join("abcdefgh")
+    urls = [f"{deep}/{k}/x/{i}" for k in ("p", "q", "r", "s") for i in range(10)] + ["http://z.org/" + "/".join("abcdefghijklmnopqrstuvwxyz" * 4)]
+    rules = ((deep[7:] + "/p", "block"), (deep[7:] + "/q", "block"), (deep[7:] + "/s", "allow"))
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert {r.template for r in rows} == {f"/a/b/c/d/e/f/g/h/{k}/x/*" for k in ("{p}", "r", "s")} | {"/" + "/".join("abcdefghijklmnopqrstuvwxyz" * 4)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, page_id long, url string, vec_id long, embedding array<double>, toxic int")
     path = tokens.default_tokenizer()

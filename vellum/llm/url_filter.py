@@ -18,8 +18,6 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 #: A branch is variable if it has so many children and each has so few rows on average.
 MANY, ROWS_EACH = 16, 3.0
-#: Levels that get branches of their own; what lies deeper is one tail segment.
-LEVELS = 8
 #: Branches are alike if their allowed shares (smoothed) and their shares of leaves differ by no more than this.
 ALIKE = 0.15
 #: Labelled rows that every template has beforehand, and the share of allowed ones among them; the least share allowed.
@@ -62,10 +60,9 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def segments(path: Column) -> Column:
-    """The path's parts, those with digits as wildcards that keep an ending; at most LEVELS and a tail."""
+    """The path's parts, those with digits as wildcards that keep an ending."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    form = F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(x, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(x))
-    return F.when(F.size(form) > LEVELS, F.concat(F.slice(form, 1, LEVELS), F.array(F.lit("**")))).otherwise(form)
+    return F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(x, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(x))
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -77,8 +74,11 @@ def templates(rows: DataFrame) -> DataFrame:
     # Counts by raw template; variable free-text segments are folded into wildcards level by level from the root.
     counts = rows.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"))
     t = common.written(counts.withColumn("template", F.col("raw")))
-    deepest = t.agg(F.coalesce(F.max(F.size("raw")), F.lit(0))).first()[0]
-    for level in range(min(LEVELS, deepest)):
+    # below the second deepest template of its host, a template has no branch to be merged with
+    by_depth = t.groupBy("host", F.size("raw").alias("depth")).agg(F.count(F.lit(1)).alias("many"))
+    below = F.sum("many").over(W.partitionBy("host").orderBy(F.col("depth").desc()))
+    deepest = by_depth.withColumn("below", below).where("below > 1").agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    for level in range(deepest):
         here = F.when(F.size("template") > level, F.get("template", F.lit(level)))
         t = t.withColumn("parent", F.slice("template", 1, level)).withColumn("child", here).withColumn("leaf", (F.size("template") == level + 1).cast("int"))
         each = t.where("child IS NOT NULL").groupBy("host", "parent", "child").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"), (F.sum(F.col("leaf") * F.col("n")) / F.sum("n")).alias("leaves"))

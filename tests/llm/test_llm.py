@@ -215,6 +215,13 @@ def test_nearest(spark):
     assert hits >= 54 and len(found) == 60
 
 
+def test_nearest_finds_k_where_there_are_k(spark):
+    x = np.random.default_rng(2).normal(size=(700, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest.search(df, lambda i: i % 50 == 0, k=12, probes=1).collect()  # a list holds 11 on average
+    assert sorted((r.query_id, r.rank) for r in found) == [(q, k) for q in range(0, 700, 50) for k in range(1, 13)]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/x?q"), (2, "https://www.example.com/en/1"), (3, "http://b.net/es/2"), (4, "http://b.net/en/2#t"), (5, None), (6, "no scheme"), (7, "http://c.com"), (8, "http://notexample.com/en/"), (9, "http://h.org/" + "/".join("abcdefghijklmn") + "?x")]
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

@@ -117,8 +117,7 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) <= min(1.0, SAMPLE / n) * (1 << 20)).orderBy("id").limit(2 * SAMPLE).toArrow()
     index = Index(_matrix(some.column("v").combine_chunks()))
     lists = len(index.centres)
-    # a few candidates in all: no list may be left out
-    probes = lists if n <= 50 * k else min(probes, lists)
+    probes = min(probes, lists)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(count: int):
@@ -134,8 +133,7 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
     held = common.written(rows.mapInArrow(assign(1), schema_in).select("id", "v", F.col("lists")[0].alias("list")))
     parts = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # a row for each list
     held = held.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "v")
-    queries = rows.where(is_query(F.col("id"))).dropDuplicates(["id"]).mapInArrow(assign(probes), schema_in)
-    queries = queries.select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(parts), "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "id", "v")
+    asked = common.written(rows.where(is_query(F.col("id"))).dropDuplicates(["id"]).mapInArrow(assign(lists), schema_in))
 
     def scan_part(key, queries_of, candidates):
         index = shared.value
@@ -154,7 +152,16 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
                 out[2].extend(near.tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = queries.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInArrow(scan_part, "query_id long, vec_id long, score double")
+    def scanned(queries: DataFrame, first: int, count: int) -> DataFrame:
+        queries = queries.select("id", "v", F.explode(F.slice("lists", first + 1, count)).alias("list")).join(F.broadcast(parts), "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "id", "v")
+        return queries.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInArrow(scan_part, "query_id long, vec_id long, score double")
+
+    found = common.written(scanned(asked, 0, probes))
+    if probes < lists:  # queries whose lists hold fewer than k candidates get those of all other lists too
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {k}").select(F.col("query_id").alias("id"))
+        short = common.written(asked.join(enough, "id", "left_anti"))
+        if not short.isEmpty():
+            found = found.unionByName(scanned(short, probes, lists - probes))
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 

@@ -43,7 +43,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages hold trained models and a tokenizer, which SQL can't express; tests hold them against brute force.
+#: The stages hold trained models and a tokenizer, which SQL can't express; tests hold operators, not stages, against brute force.
 ORACLE_SQL = None
 
 

@@ -103,13 +103,30 @@ def test_bpe(spark, docs, texts, library):
 
 
 @pytest.mark.parametrize("engine", ["library", "prefix"])
-def test_encoder_fuzz(library, engine, monkeypatch):
-    monkeypatch.setattr(tokens, "PART", 20)
+@pytest.mark.parametrize("tiny", [False, True])
+def test_encoder_fuzz(library, engine, tiny, monkeypatch):
+    if tiny:  # texts are cut, groups hold few texts, the table overflows
+        for name, value in (("GROUP", 8), ("PART", 12), ("TABLE_BITS", 5), ("ENTRIES", 16), ("LONG_ENTRIES", 2)):
+            monkeypatch.setattr(tokens, name, value)
     enc, rng = tokens.Encoder(tokens.default_tokenizer(), engine), random.Random(1)
-    parts = list("ab tT'sle\n\t éß½²中😀_.,!\r\x01\x1c") + ["<|endoftext|>", " the", "ing", "'s", "  ", ".\n", "\n\n"]
-    for _ in range(1500):
-        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
-        assert np.frombuffer(enc.ids(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids
+    parts = list("ab tT'sle\n\t éß½²中😀_.,!\r\x01\x1c\u2003\xa0\u0301") + ["<|endoftext|>", "<|endof", "text|>", " the", "ing", "'s", "'re", "'ll", "'ve", "  ", ".\n", "\n\n", "longerthanfifteenbytes"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "", "x" * 100, "中" * 50, "'", "'l", "'r"]
+    for text, got in zip(texts, enc.batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_encoder_parts(library, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 50)
+    monkeypatch.setattr(tokens, "PART", 100)
+    texts = ["one two " * 100, "", "three", None, "four five six " * 60]
+    enc, rows, got = tokens.Encoder(tokens.default_tokenizer()), [], []
+    import pyarrow as pa
+
+    for first, after, ids, ends in enc.column(pa.array(texts)):
+        assert len(ends) == after - first
+        rows.append((first, after))
+        got += ids.tolist()
+    assert len(rows) > 10 and got == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
 
 
 def test_token_files(spark, docs, texts, library, tmp_path):

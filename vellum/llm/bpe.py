@@ -11,8 +11,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, tokens
 
 
-def _strings(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+class Strings:
+    """Joins the strings that stand for ids, for many ids at once."""
+
+    def __init__(self, table: list[bytes]):
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.body = np.frombuffer(b"".join(table), np.uint8)
+
+    def join(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of all ids, and where those of each row end."""
+        size = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.body[np.repeat(self.start[ids] - total[:-1], size) + np.arange(total[-1])].tobytes(), total[ends]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", engine: str = "prefix") -> DataFrame:
@@ -23,10 +34,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         enc = tokens.encoder(path, engine)
         for b in batches:
-            found = enc.batch(_strings(b.column(1)))
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
+            for first, after, ids, ends in enc.rows(b.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), lists], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
 
@@ -36,9 +46,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table = tokens.encoder(path, "prefix").bpe.token_bytes
+        strings = Strings(tokens.encoder(path, "prefix").bpe.token_bytes)
         for b in batches:
-            texts = [b"".join(map(table.__getitem__, x or [])).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            ends = np.cumsum(np.array(lists.value_lengths(), np.int64))
+            body, stops = strings.join(lists.flatten().to_numpy(zero_copy_only=False), ends)
+            texts = [body[s:e].decode("utf-8", "replace") for s, e in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
@@ -51,16 +64,16 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         enc = tokens.encoder(path, "prefix")
         table = enc.bpe.token_bytes
-        decimal = [str(i) for i in range(len(table))]
+        decimals, texts = Strings([b"%d," % i for i in range(len(table))]), Strings(table)
         for b in batches:
-            n, a, d = [], [], []
-            for buffer in enc.batch(_strings(b.column(1))):
-                ids = np.frombuffer(buffer, "<u4").tolist()
-                text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first, after, ids, ends in enc.rows(b.column(1)):
+                a, d = [], []
+                (decimal, x), (text, y) = decimals.join(ids, ends), texts.join(ids, ends)
+                for s, e in zip([0, *x.tolist()], x.tolist(), strict=False):
+                    a.append(hashlib.sha256(decimal[s : max(s, e - 1)]).hexdigest())
+                for s, e in zip([0, *y.tolist()], y.tolist(), strict=False):
+                    d.append(hashlib.sha256(text[s:e].decode("utf-8", "replace").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

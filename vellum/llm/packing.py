@@ -8,6 +8,7 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, tokens
 
@@ -75,9 +76,10 @@ class Packer:
         self.ids = np.empty(0, np.uint32)
         self.docs: list[tuple] = []  # of what waits: id, ids of the document before what waits, ids that wait, ids in all
 
-    def add(self, batch: list[tuple[object, np.ndarray]]) -> list[tuple]:
-        self.ids = np.concatenate([self.ids, *(x for _, x in batch)])
-        self.docs += [(k, 0, len(x), len(x)) for k, x in batch]
+    def add(self, keys: list, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        """Documents with the ids of each in a row; ``ends``: where each document's end."""
+        self.ids = np.concatenate([self.ids, ids])
+        self.docs += [(k, 0, n, n) for k, n in zip(keys, np.diff(ends, prepend=0).tolist(), strict=True)]
         return self.cut(False) if len(self.ids) >= CHUNK else []
 
     def cut(self, last: bool) -> list[tuple]:
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, id_col:
     empty texts are one piece, the end id alone. Repeated rows are packed again. An empty table has no pieces.
     """
     kind = docs.schema[id_col].dataType
-    arrow = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind.typeName()]
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         from pyspark import TaskContext
@@ -139,17 +141,15 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, id_col:
         enc = tokens.encoder(path)
         ends = tokens.sentence_ends(path)
         packer = Packer(limit, ends, TaskContext.get().partitionId() << 33)
-        end = np.array([end_id], np.uint32)
 
         def table(pieces):
             cols = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                found = enc.batch([x or "" for x in part.column(1).to_pylist()])
-                if pieces := packer.add([(i, np.concatenate([np.frombuffer(x, np.uint32), end])) for i, x in zip(part.column(0).to_pylist(), found, strict=True)]):
+            for first, after, ids, ends in enc.rows(b.column(1)):
+                keys = b.column(0).slice(first, after - first).to_pylist()
+                if pieces := packer.add(keys, *tokens.with_end(ids, ends, end_id)):
                     yield table(pieces)
         if pieces := packer.cut(True):
             yield table(pieces)

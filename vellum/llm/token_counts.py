@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -18,8 +19,15 @@ def lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches):
         enc = tokens.encoder(path)
         for b in batches:
-            found = enc.batch([x or "" for x in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in found], pa.int64())], ["length"])
+            begun = 0  # ids of the parts of a very long text so far
+            for first, after, ids, ends in enc.column(b.column(0)):
+                if after == first:
+                    begun += len(ids)
+                    continue
+                n = np.diff(ends, prepend=0)
+                n[0] += begun
+                begun = 0
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["length"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "length bigint")
 

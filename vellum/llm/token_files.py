@@ -156,20 +156,18 @@ def write(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col: str
 
         part = TaskContext.get().partitionId()
         enc = tokens.encoder(path)
-        end = np.array([end_id], np.uint32)
         keys, ids, held, first = [], [], 0, 0
 
         def block():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([encode_block(keys, ids)], pa.binary())], ["part", "first", "n_ids", "block"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                found = enc.batch([x or "" for x in some.column(1).to_pylist()])
-                for key, x in zip(some.column(0).to_pylist(), found, strict=True):
+            for row, after, found, ends in enc.rows(b.column(1)):
+                found, ends = tokens.with_end(found, ends, end_id)
+                for key, x in zip(b.column(0).slice(row, after - row).to_pylist(), np.split(found, ends[:-1]), strict=True):
                     keys.append(key)
-                    ids.append(np.concatenate([np.frombuffer(x, np.uint32), end]))
-                    held += len(ids[-1])
+                    ids.append(x)
+                    held += len(x)
                     if held >= BLOCK:
                         yield block()
                         first += held

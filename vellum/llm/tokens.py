@@ -1,9 +1,10 @@
 """Byte-pair encoding of whole texts, with exact ids.
 
-A text is cut into pieces at places where the pre-tokeniser always cuts; the ids of each distinct piece are worked
-out once per Python worker and kept in bounded tables. Two engines work out the ids of a piece:
+Whole Arrow batches are cut into pre-tokens by array operations over their bytes. The ids of each distinct pre-token
+are worked out once per Python worker and kept in a hash table of bounded size, which is looked up for all pre-tokens
+of a batch at once and compares them byte by byte. Two engines work out the ids of a pre-token:
 
-* ``library``: the tokenizers library itself.
+* ``library``: the model of the tokenizers library itself.
 * ``prefix``: per-prefix dynamic programming (``PrefixBPE``), written here.
 """
 
@@ -12,8 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 #: The pre-tokeniser's pattern and the place of byte values among printable characters are part of
@@ -21,22 +24,18 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Anything but printable ASCII, line feeds and Latin letters takes the general way.
-_UNUSUAL = re.compile("[^ -~\nÀ-ÖØ-öø-ɏ]")
-#: \s here is the White_Space property alone (not the separators 1C to 1F).
-_PRETOKEN = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+#: Bits of the hash table's size, and how many pre-tokens it holds before it starts afresh: half of its places.
+TABLE_BITS = 21
+ENTRIES = 1 << (TABLE_BITS - 1)
+#: Pre-tokens of more bytes are not kept in the table but in a dictionary, up to a length and number.
+IN_TABLE, IN_DICT, LONG_ENTRIES = 15, 64, 1 << 16
+#: Places that a pre-token may have in the table.
+TRIES = 8
+#: Bytes that are worked on at once, and from which a text is cut before a space between visible characters.
+GROUP, PART = 1 << 20, 1 << 22
 
-_CUT = re.compile(r"\S(?= \S)")
-
-#: A comma or full stop is a pre-token of its own unless two such signs meet or one of these is in the text.
-_RUN = re.compile(r"[^\w\s][^\w\s]")
-_BEFORE = (" ,", " .", "\n,", "\n.", "_")
-
-#: Bound of the table that a worker keeps. When it is full, rarer entries are worked out each time.
-ENTRIES = 1_000_000
-
-#: Longer texts are encoded in parts of about so many characters.
-PART = 1 << 20
+#: Classes of characters: white space (the White_Space property alone, not the separators 1C to 1F), letters, numbers.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
 def byte_characters() -> dict[str, int]:
@@ -135,93 +134,290 @@ class PrefixBPE:
         return out[::-1]
 
 
+class Pretokeniser:
+    """Starts of the pre-tokens (see ``PATTERN``) in joined texts, found by comparing classes of neighbouring bytes."""
+
+    def __init__(self):
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.of = np.full(0x110000, _OTHER, np.uint8)
+        for kind, name in ((_SPACE, "White_Space"), (_LETTER, "L"), (_NUMBER, "N")):
+            for m in regex.finditer(rf"\p{{{name}}}+", every):
+                a, b = (x + 0x800 * (x >= 0xD800) for x in m.span())
+                self.of[a:b] = kind
+
+    def classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character; ``data``: UTF-8 and three more bytes at least."""
+        out = self.of[:256][data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            at = [data[lead + k].astype(np.int32) for k in range(4)]
+            low = [x & 0x3F for x in at]
+            two = (at[0] & 0x1F) << 6 | low[1]
+            three = (at[0] & 0x0F) << 12 | low[1] << 6 | low[2]
+            four = (at[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+            kind = self.of[np.where(at[0] < 0xE0, two, np.where(at[0] < 0xF0, three, np.minimum(four, 0x10FFFF)))]
+            out[lead] = out[lead + 1] = kind
+            for k, least in ((2, 0xE0), (3, 0xF0)):
+                more = at[0] >= least
+                out[lead[more] + k] = kind[more]
+        return out
+
+    def starts(self, data: np.ndarray, size: int, segments: np.ndarray) -> np.ndarray:
+        """``segments``: places, ascending, where a text of its own begins; ``data`` has ``size`` bytes and padding."""
+        kind = self.classes(data)
+        hard = np.zeros(len(data), bool)
+        hard[segments] = True
+        start = hard.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        start[0] = True
+        # the last white space before something visible parts from the white space before it; a space joins what follows
+        p = np.flatnonzero(start[1:size] & (kind[1:size] != _SPACE) & (kind[: size - 1] == _SPACE) & ~hard[1:size]) + 1
+        q = p - 1
+        for _ in range(3):
+            q = q - ((data[q] & 0xC0) == 0x80)
+        start[q] = True
+        start[p[data[p - 1] == 32]] = False
+        # an apostrophe that begins a pre-token takes these endings, whatever follows
+        a = np.flatnonzero(data[:size] == 39)
+        a = a[start[a] & ~hard[a + 1]]
+        if len(a):
+            x, y = data[a + 1], data[a + 2]
+            one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+            two = (((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)) & ~hard[a + 2]
+            inside = a + 1 + one + 2 * two <= size
+            for ends, count in ((a[one & inside], 2), (a[two & inside], 3)):
+                start[ends + 1] = False
+                start[ends + count] = True
+        return np.flatnonzero(start[:size])
+
+
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit values. ``engine``: ``library`` or ``prefix``."""
+    """ids of whole columns of texts. ``engine``: ``library`` or ``prefix``.
+
+    The strings of special tokens in a text count as those tokens; none are added around it. Beside the vocabulary
+    an encoder holds its table alone, whose size doesn't depend on the texts.
+    """
 
     def __init__(self, path: str, engine: str = "library"):
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f).get("pre_tokenizer") or {}
+        if form.get("type") != "ByteLevel" or form.get("add_prefix_space"):
+            raise ValueError(f"{path}: not a byte-level vocabulary without a space in front")
         self.engine = engine
-        self.known: dict[str, bytes] = {"": b""}
         if engine == "library":
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
-            self.lib = Tokenizer.from_file(path)
-            self.lib.no_truncation()
-            self.lib.no_padding()
-            self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
+            lib = Tokenizer.from_file(path)
+            self.special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
+            self._model = lib.model
+            self._shown = {b: c for c, b in byte_characters().items()}
         else:
             self.bpe = PrefixBPE(path)
             self.special = self.bpe.special
-        self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def _encode_new(self, words: list[str]) -> list[bytes]:
+        names = sorted((s.encode() for s in self.special), key=len, reverse=True)
+        self._specials = {s.encode(): i for s, i in self.special.items()}
+        self._find = re.compile(b"|".join(map(re.escape, names))) if names else None
+        self._cut_before_spaces = not any(b" " in s for s in names)
+        self.pretokens = Pretokeniser()
+        self._clear()
+
+    def _clear(self) -> None:
+        places = 1 << TABLE_BITS
+        self._key = [np.zeros(places, np.uint64), np.zeros(places, np.uint64)]
+        self._at, self._count = np.zeros(places, np.int32), np.zeros(places, np.uint8)
+        self._ids, self._used, self._held = np.empty(1 << 20, np.uint32), 0, 0
+        self._long: dict[bytes, tuple[int, int]] = {}
+
+    def _encode_new(self, pieces: list[bytes]) -> list[list[int]]:
+        special = self._specials
         if self.engine == "library":
-            return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)]
-        return [array("I", self.bpe.encode(w.encode())).tobytes() for w in words]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """A long text cut before spaces between two visible characters, where the pre-tokeniser always cuts."""
-        out, at = [], 0
-        while len(text) - at > PART:
-            m = _CUT.search(text, at + PART)
-            if not m:
+            shown, tokenize = self._shown, self._model.tokenize
+            return [[special[p]] if p in special else [t.id for t in tokenize(p.decode("latin-1").translate(shown))] for p in pieces]
+        return [[special[p]] if p in special else self.bpe.encode(p) for p in pieces]
+
+    def _keep(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids behind those that are held; whether they stay there is up to the caller. Returns places and numbers."""
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(count.sum())
+        if self._used + total > len(self._ids):
+            grown = np.empty(max(2 * len(self._ids), self._used + total), np.uint32)
+            grown[: self._used] = self._ids[: self._used]
+            self._ids = grown
+        self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self._end = self._used + total
+        return self._used + np.cumsum(count) - count, count
+
+    def _look_up(self, w0: np.ndarray, w1: np.ndarray, slot: np.ndarray, want: str) -> np.ndarray:
+        """Place of each key in the table (``want``: held) or of a free place for it (free); -1 if there is none."""
+        out = np.full(len(w0), -1, np.int64)
+        rest = np.arange(len(w0))
+        for k in range(TRIES):
+            place = (slot[rest] + k) & ((1 << TABLE_BITS) - 1) if k else slot
+            there = self._key[1][place]
+            hit = (there == w1[rest]) & (self._key[0][place] == w0[rest]) if want == "held" else there == 0
+            out[rest[hit]] = place[hit]
+            rest = rest[~hit & (there != 0)]
+            if not len(rest):
                 break
-            out.append(text[at : m.start() + 1])
-            at = m.start() + 1
-        return [*out, text[at:]]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Strings between which the pre-tokeniser always cuts; \x01 stands for a space at a string's start."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _UNUSUAL.search(text):
-            return [f"\x02{x}" for x in _PRETOKEN.findall(text)]
-        marked = text.replace(" ", " \x01").replace("\n", " \n ")
-        if not (_RUN.search(text) or any(x in text for x in _BEFORE) or text.startswith((",", "."))):
-            marked = marked.replace(",", " ,").replace(".", " .")
-        return marked.split(" ")
-
-    def _learn(self, new: list[str], fresh: dict[str, bytes]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            words = [" " + x[1:] if x[0] == "\x01" else x[1:] if x[0] == "\x02" else x for x in part]
-            cut = [[w] for w in words] if self.engine == "library" else [_PRETOKEN.findall(w) for w in words]
-            ids, at = self._encode_new([w for c in cut for w in c]), 0
-            for x, c in zip(part, cut, strict=True):
-                fresh[x] = b"".join(ids[at : at + len(c)])
-                at += len(c)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, without special tokens around it; the strings of special tokens in it count as those."""
-        known, out, wait = self.known, [], []
-        for text in texts:
-            own: list = []
-            for x in self._split.split(text) if self._split is not None and any(s in text for s in self.special) else [text]:
-                if x in self.special:
-                    own.append(array("I", [self.special[x]]).tobytes())
-                    continue
-                for part in self._parts(x):
-                    pieces = self._pieces(part)
-                    try:
-                        own.append(b"".join(map(known.__getitem__, pieces)))
-                    except KeyError:
-                        wait.append((len(out), len(own), pieces))
-                        own.append(b"")
-            out.append(own)
-        for k in range(0, len(wait), 256):
-            group = wait[k : k + 256]
-            new = list({x for _, _, pieces in group for x in pieces if x not in known})
-            fresh: dict[str, bytes] = {}
-            self._learn(new, fresh)
-            room = max(0, ENTRIES - len(known))
-            known.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
-            full = len(fresh) > room
-            for i, j, pieces in group:
-                out[i][j] = b"".join([known[x] if x in known else fresh[x] for x in pieces] if full else map(known.__getitem__, pieces))
-        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+        return out
+
+    def _spans(self, raw: np.ndarray, ends: np.ndarray):
+        """(first row, row after the last, first byte, byte after the last) of parts of about GROUP bytes."""
+        row, at, size = 0, 0, len(raw)
+        while row < len(ends):
+            last = max(row + 1, int(np.searchsorted(ends, at + GROUP, "right")))
+            stop = int(ends[last - 1])
+            while stop - at > PART and self._cut_before_spaces:
+                near = at + GROUP
+                cut = -1
+                while cut < 0 and near < stop - 1:
+                    x = raw[near : min(stop, near + 65538)]
+                    here = np.flatnonzero((x[1:-1] == 32) & (x[:-2] > 32) & (x[:-2] < 127) & (x[2:] > 32) & (x[2:] < 127))
+                    cut, near = (near + 1 + int(here[0]), near) if len(here) else (-1, near + 65536)
+                if cut < 0:
+                    break
+                yield row, row, at, cut
+                at = cut
+            yield row, last, at, stop
+            row, at = last, stop
+
+    def column(self, texts: pa.Array):
+        """For parts of a column, in order: first row, row after the last, their ids joined (uint32), the ends of each row's.
+
+        Null counts as empty. A very long text comes in several parts: all but the last have no row's end (the row
+        after the last is the first), so their ids are the beginning of that row's.
+        """
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        if texts.null_count:
+            texts = texts.fill_null("")
+        wide = pa.types.is_large_string(texts.type)
+        _, places, body = texts.buffers()
+        places = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(body, np.uint8)[places[0] : places[-1]] if body is not None else np.empty(0, np.uint8)
+        places = places - places[0]
+        for first, after, a, b in self._spans(raw, places[1:]):
+            ids, ends = self._part(raw[a:b], np.maximum(places[first : max(after, first + 1)], a) - a, places[first + 1 : after + 1] - a)
+            yield first, after, ids, ends
+
+    def _part(self, raw: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = len(raw)
+        if not size:
+            return np.empty(0, np.uint32), np.zeros(len(stops), np.int64)
+        data = np.zeros(size + 24, np.uint8)
+        data[:size] = raw
+        body, segments, inner = raw.tobytes(), begins, None
+        if self._find is not None and any(s in body for s in self._specials):
+            edges = np.append(begins, size)
+            found = np.array([m.span() for m in self._find.finditer(body)], np.int64)
+            # one that spans two texts is none
+            own = np.searchsorted(edges, found[:, 0], "right") == np.searchsorted(edges, found[:, 1] - 1, "right")
+            inner = found[own]
+            segments = np.unique(np.concatenate([begins, inner.ravel()]))
+        start = self.pretokens.starts(data, size, segments[segments < size])
+        if inner is not None and len(inner):
+            within = np.searchsorted(inner[:, 0], start, "left") - 1
+            start = start[(within < 0) | (start >= inner[within, 1])]
+        length = np.diff(np.append(start, size))
+        place, count = self._find_pieces(data, body, start, length)
+        total = np.cumsum(count)
+        ids = self._ids[np.repeat(place - (total - count), count) + np.arange(total[-1])]
+        return ids, np.concatenate([[0], total])[np.searchsorted(start, stops)]
+
+    def _find_pieces(self, data: np.ndarray, body: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each pre-token are, and how many they are."""
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        short = np.minimum(length, IN_TABLE)
+        w0 = eight[start] & _MASK[np.minimum(short, 8)]
+        w1 = eight[start + 8] & _MASK[np.maximum(short - 8, 0)] | short.astype(np.uint64) << np.uint64(56)
+        slot = w1 * _MIX[0] ^ w0
+        slot = (slot ^ slot >> np.uint64(29)) * _MIX[1]
+        slot = (slot >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        if self._held > ENTRIES or len(self._long) > LONG_ENTRIES:
+            self._clear()
+        there = self._look_up(w0, w1, slot, "held")
+        there[length > IN_TABLE] = -1
+        place, count = self._at[there].astype(np.int64), self._count[there].astype(np.int64)
+        miss = np.flatnonzero(there < 0)
+        if not len(miss):
+            return place, count
+        pieces = [body[a : a + n] for a, n in zip(start[miss].tolist(), length[miss].tolist(), strict=True)]
+        known = self._long
+        where: dict[bytes, int] = {}
+        first: list[int] = []
+        for i, p in zip(miss.tolist(), pieces, strict=True):
+            if p not in where and p not in known:
+                where[p] = len(first)
+                first.append(i)
+        if first:
+            new = list(where)
+            at, n = self._keep(self._encode_new(new))
+            old = [known.get(p) for p in pieces]
+            at_new, n_new = at.tolist(), n.tolist()
+            both = [o or (at_new[where[p]], n_new[where[p]]) for o, p in zip(old, pieces, strict=True)]
+            lead = np.array(first)
+            fits = length[lead] <= IN_TABLE
+            kept = self._insert(w0[lead[fits]], w1[lead[fits]], slot[lead[fits]], at[fits], n[fits])
+            for p, x, y in zip(new, at_new, n_new, strict=True):
+                if IN_TABLE < len(p) <= IN_DICT:
+                    known[p] = (x, y)
+                    kept = True
+            if kept:
+                self._used = self._end
+        else:
+            both = [known[p] for p in pieces]
+        found = np.array(both, np.int64)
+        place[miss], count[miss] = found[:, 0], found[:, 1]
+        return place, count
+
+    def _insert(self, w0, w1, slot, at, n) -> bool:
+        rest, kept = np.arange(len(w0)), False
+        for _ in range(TRIES):  # keys that want the same free place: one gets it, the others look again
+            if not len(rest):
+                break
+            free = self._look_up(w0[rest], w1[rest], slot[rest], "free")
+            rest, free = rest[free >= 0], free[free >= 0]
+            place, one = np.unique(free, return_index=True)
+            got = rest[one]
+            self._key[0][place], self._key[1][place], self._at[place], self._count[place] = w0[got], w1[got], at[got], n[got]
+            self._held += len(got)
+            kept = kept or len(got) > 0
+            rest = np.delete(rest, one)
+        return kept
+
+    def rows(self, texts: pa.Array):
+        """(first row, row after the last, ids, ends) as ``column``, but only whole rows: a long text's parts are joined."""
+        held: list[np.ndarray] = []
+        for first, after, ids, ends in self.column(texts):
+            if after == first:
+                held.append(ids)
+                continue
+            if held:
+                before = sum(map(len, held))
+                ids, ends, held = np.concatenate([*held, ids]), ends + before, []
+            yield first, after, ids, ends
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit values."""
+        out: list[bytes] = []
+        for _, _, ids, ends in self.rows(pa.array(texts, pa.large_string())):
+            body, at = ids.astype("<u4").tobytes(), 0
+            for e in ends.tolist():
+                out.append(body[4 * at : 4 * e])
+                at = e
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        return self.batch([text or ""])[0]
+        return self.batch([text])[0]
+
+
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same rows of ids with one more id at the end of each."""
+    return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -243,8 +439,6 @@ def default_tokenizer() -> str:
 
 def sentence_ends(path: str):
     """For each id whether a sentence may end after it: its text ends with a stop, a mark or a line feed."""
-    import numpy as np
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     to_byte = byte_characters()

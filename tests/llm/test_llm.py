@@ -67,7 +67,7 @@ def test_exact_dedup_of_repeated_ids(spark, monkeypatch, clash):
         assert sorted((str(r.doc_id), (r.text or "").lower()) for r in got) == [("5", "b"), ("7", ""), ("9", "a"), ("None", "n")]
 
 
-def test_jaccard_join(spark, docs, texts):
+def _components(texts):
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", _lower(t))
@@ -81,7 +81,38 @@ def test_jaccard_join(spark, docs, texts):
                 if low[a] != low[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
                     changed = True
-    assert {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()} == {(i, len(s), low[i]) for i, s in sets.items()}
+    return {(i, len(s), low[i]) for i, s in sets.items()}
+
+
+def test_jaccard_join(spark, docs, texts):
+    assert {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()} == _components(texts)
+
+
+@pytest.mark.parametrize("boundary", [0, 4, 9])
+def test_jaccard_boundary(spark, monkeypatch, boundary):
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda info: boundary)
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "IN_ONE_TASK", 3)  # long lists are dealt over several tasks
+    rng = random.Random(boundary)
+    texts = {}
+    for i in range(120):
+        if i % 3 and texts:
+            w = texts[rng.choice(list(texts))].split()
+            w.insert(rng.choice((0, len(w))), f"n{i}") if rng.random() < 0.5 else w.pop(rng.choice((0, -1)))
+        else:
+            w = [f"w{rng.randrange(9)}" for _ in range(rng.randint(3, 18))]
+        texts[i] = " ".join(w)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(frame).collect()} == _components(texts)
+
+
+def test_subset_sizes_cover_links():
+    for b in range(1, jaccard_join.largest_small() + 1):
+        for n in range(1, b + 1):
+            for m in range(1, b + 1):
+                if 5 * min(n, m) >= 4 * max(n, m):
+                    assert jaccard_join.pair_overlap(n, m) in jaccard_join.subset_sizes(n, b)
 
 
 def test_long_lists(spark, monkeypatch):

@@ -2,14 +2,17 @@
 
 Equal sets are one class and need no join. Small sets list subsets of fixed sizes that a linked set must contain
 too; larger sets are found by scanning inverted lists of each set's rarest shingles (as many as a linked set can't
-avoid). The boundary between small and large is where listing subsets begins to cost more than scanning. Short lists
-are opened to pairs that a bitmap bound leaves possible; long ones first hang their sets on one pivot, then, block by block and as long as they hold
-unconnected sets, propose the best partners within that bound. Every pair is verified on whole sets.
+avoid). The boundary between small and large is where listing subsets begins to cost more than scanning.
+
+Short lists are opened to pairs. Long ones first hang their sets on one pivot each, which joins most of what belongs
+together; lists that still hold sets of different components are then scanned block by block for partners outside a
+set's component. Only pairs that a bitmap bound leaves possible are looked at, each of them on whole sets.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,14 @@ from .components import components
 
 #: Jaccard of at least NUM / DEN.
 NUM, DEN = 4, 5
-#: Up to this size the boundary may be set.
-MOST_SMALL = 10
+#: Sets that list subsets make so many rows each at most; this alone bounds what cost may choose.
+SUBSETS = 8192
 #: Counters that order shingles by how common they are; a fixed size, whatever the corpus. Order alone depends on it.
 COUNTERS = 1 << 22
 #: Longer lists are worked on in blocks.
 SHORT, BLOCK = 16, 1024
+#: Lists that may be longer, by the counters, are dealt over several tasks when it is seen which lists are shared.
+IN_ONE_TASK = 1 << 22
 #: Rows that Python functions take at once, so that whole sets of few documents are in memory together.
 ROWS = 1024
 #: Places of the bitmaps, and of those that sets of WIDE_FROM and more have besides.
@@ -56,11 +61,17 @@ def subset_sizes(n: int, boundary: int) -> list[int]:
 
 
 def subset_rows(n: int, boundary: int) -> int:
-    from math import comb
-
     return sum(comb(n, c) for c in subset_sizes(n, boundary) if c <= n)
 
 
+def largest_small() -> int:
+    """The largest boundary at which no set lists more than SUBSETS subsets."""
+    b = 0
+    while max(subset_rows(n, b + 1) for n in range(1, b + 2)) <= SUBSETS:
+        b += 1
+    return b
+
+
 def bitmap(s: np.ndarray, places: int = BITMAP) -> bytes:
     """Parity of the shingles in each place: two sets differ in as many places at most as in shingles."""
     return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
@@ -71,7 +82,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, d1, d2 (the set's digest), bits, wide (for large sets); for sets up to MOST_SMALL also the shingles themselves."""
+    """id, n, d1, d2 (the set's digest), bits, wide (for large sets); for sets that may be small also the shingles themselves."""
+    most = largest_small()
 
     def run(batches):
         for b in common.slices(batches, ROWS):
@@ -83,14 +95,17 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 d2.append(y)
                 bits.append(bitmap(s))
                 wide.append(bitmap(s, WIDE) if len(s) >= WIDE_FROM else None)
-                small.append(_signed(s).tolist() if 0 < len(s) <= MOST_SMALL else None)
+                small.append(_signed(s).tolist() if 0 < len(s) <= most else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "bits", "wide", "small"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n int, d1 bigint, d2 bigint, bits binary, wide binary, small array<bigint>")
 
 
-def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A class for each counter, higher for shingles in more documents; counted over all documents."""
+def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter a class, higher for shingles in more documents, and the tasks that its lists are dealt over.
+
+    Counted over all documents. A counter is at least as high as the length of any list of its shingles.
+    """
 
     def counts(batches):
         v = np.zeros(COUNTERS, np.int64)
@@ -109,52 +124,62 @@ def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
     total = common.vector_sum(docs.select(F.col(text_col).alias("text")), counts, COUNTERS)
     load = total.sum() / COUNTERS
     noise = load + 6 * np.sqrt(load) + 4
-    return np.where(total <= noise, 0, np.ceil(4 * np.log2(np.maximum(total, 1) / max(noise, 1)) + 1)).clip(0, 255).astype(np.uint8)
+    rank = np.where(total <= noise, 0, np.ceil(4 * np.log2(np.maximum(total, 1) / max(noise, 1)) + 1)).clip(0, 255).astype(np.uint8)
+    return rank, np.ceil(total / IN_ONE_TASK).clip(1, 1 << 15).astype(np.int16)
 
 
 def choose_boundary(info: DataFrame) -> int:
     """The size up to which sets are small: least cost of subset rows below and scanned list entries above."""
-    small = info.where(f"n BETWEEN 1 AND {MOST_SMALL}").dropDuplicates(["n", "d1", "d2"]).select("n", F.explode("small").alias("h"))
+    most = largest_small()
+    small = info.where(f"n BETWEEN 1 AND {most}").dropDuplicates(["n", "d1", "d2"]).select("n", F.explode("small").alias("h"))
     lists = small.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     cost = {r.n: (r.docs / r.n, r.scan / r.n * prefix_length(r.n)) for r in small.join(lists, "h").groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.sum("k").alias("scan")).collect()}
 
     def total(b: int) -> float:
         return sum(d * subset_rows(n, b) if n <= b else s for n, (d, s) in cost.items())
 
-    return min(range(MOST_SMALL + 1), key=lambda b: (total(b), b))
+    return min(range(most + 1), key=lambda b: (total(b), b))
 
 
 def postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame:
-    """key, d1, d2 of each set: one row for each rarest shingle and listed subset. A set is taken once per task."""
+    """key, d1 and part of each set: one row for each rarest shingle and listed subset. A set is taken once per task.
+
+    part is null but for keys whose lists may be longer than IN_ONE_TASK; those are dealt over several parts.
+    """
 
     def run(batches):
-        rank = order.value
+        rank, parts = order.value
         seen: set = set()
         for b in common.slices(batches, ROWS):
-            keys, x, y, times = [], [], [], []
+            keys, many, owner, times = [], [], [], []
             for s in shingles.sets_of(b.column(0).to_pylist()):
                 n = len(s)
                 d = shingles.digest(s)
                 if not n or d in seen:
                     continue
                 seen.add(d)
-                mine = []
+                mine, dealt = [], []
+                over = parts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
                 if n <= boundary:
                     for c in subset_sizes(n, boundary):
                         if c <= n:
-                            mine += [shingles.mix(np.add.reduce(shingles.mix(s[list(p)]), keepdims=True, dtype=np.uint64) + np.uint64(c))[0] for p in combinations(range(n), c)]
+                            at = np.array(list(combinations(range(n), c)))
+                            mine.append(shingles.mix(np.add.reduce(shingles.mix(s[at]), 1, dtype=np.uint64) + np.uint64(c)))
+                            dealt.append(over[at].min(1))
                 if n > boundary or DEN * n >= NUM * (boundary + 1):
                     first = np.argsort(rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[: prefix_length(n)]
-                    mine += list(s[first]) if mine else [s[first]]
-                k = np.asarray(mine[0] if len(mine) == 1 and isinstance(mine[0], np.ndarray) else mine, np.uint64)
-                keys.append(k)
-                x.append(d[0])
-                y.append(d[1])
-                times.append(len(k))
+                    mine.append(s[first])
+                    dealt.append(over[first])
+                keys += mine
+                many += dealt
+                owner.append(d[0])
+                times.append(sum(map(len, mine)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(x, np.int64), times)), pa.array(np.repeat(np.array(y, np.int64), times))], ["key", "d1", "d2"])
+                d1, over = np.repeat(np.array(owner, np.int64), times), np.concatenate(many)
+                part = pa.array((d1 % over).astype(np.int32), mask=over == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(d1), part], ["key", "d1", "part"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key bigint, d1 bigint, part int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,6 +207,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(DEN * shared >= NUM * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
+    ends = common.written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())  # often few: Spark then broadcasts them
+    sets = sets.join(ends, "c", "left_semi")
     rows = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("q")), "b")
     return rows.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
@@ -210,38 +237,29 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _block_pairs(most: int):
-    """Pairs that the rows of one block propose: for each set the most promising partners of other components.
+    """Pairs that the rows of one pair of blocks propose: for each set the most promising partners of other components.
 
-    With ``most`` 0, each set that has any such partner, twice.
+    ``more`` tells that a set has further partners within the bound.
     """
 
     def group(rows: pa.Table):
         part = rows.column("half").to_numpy()
         c, n, comp = (rows.column(k).to_numpy() for k in ("c", "n", "comp"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
-        failed = {(int(c[i]), x) for i, xs in enumerate(rows.column("failed").to_pylist()) for x in xs or ()}
         left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if part.max() else (np.arange(len(c)),) * 2
-        found = set()
+        found: dict = {}
         for i in left.tolist():
             size = n[i] + n[right]
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
             at = np.flatnonzero(ok)
-            if not most:
-                found.update((x, x) for x in [*c[right[at]].tolist(), *([int(c[i])] if len(at) else [])])
-                continue
-            taken = 0
-            for k in at[np.argsort(apart[at] / size[at], kind="stable")].tolist():
+            for k in at[np.argsort(apart[at] / size[at], kind="stable")][:most].tolist():
                 x, y = int(c[i]), int(c[right[k]])
-                if (x, y) not in failed and (y, x) not in failed:
-                    found.add((min(x, y), max(x, y)))
-                    taken += 1
-                    if taken == most:
-                        break
+                found[min(x, y), max(x, y)] = found.get((min(x, y), max(x, y)), False) or len(at) > most
         return found
 
     def run(batches):
-        held: list = []  # rows of the block that isn't whole yet
+        held: list = []  # rows of the pair of blocks that isn't whole yet
         now = None
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -261,26 +279,60 @@ def _block_pairs(most: int):
     def out(found):
         if found:
             a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(found.values()), pa.bool_())], ["a", "b", "more"])
 
     return run
 
 
-def _long_pairs(lists: DataFrame, comp: DataFrame, failed: DataFrame, most: int) -> DataFrame:
-    """Pairs proposed within the long lists, by blocks of BLOCK x BLOCK sets, least connected first."""
-    rows = lists.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-    in_list = W.partitionBy("key")
-    rows = rows.withColumn("one", F.min("comp").over(in_list) == F.max("comp").over(in_list)).where("NOT one").drop("one")
-    rows = rows.withColumn("chunk", F.floor((F.row_number().over(in_list.orderBy("comp", "n", "c")) - 1) / BLOCK))
+def _chunked(rows: DataFrame) -> DataFrame:
+    """The rows of each key in chunks of BLOCK at most, ordered by component and size. A key may lie in many tasks."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk, now, size = TaskContext.get().partitionId() << 32, None, 0
+        for b in batches:
+            out = []
+            for k in b.column(0).to_pylist():
+                if k != now or size == BLOCK:
+                    chunk, now, size = chunk + 1, k, 0
+                size += 1
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "chunk"])
+
+    order = ["key", "comp", "n", "c"]
+    rows = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(run, "key bigint, comp bigint, n int, c bigint, chunk bigint")
+
+
+def _long_pairs(long: DataFrame, nodes: DataFrame, comp: DataFrame, most: int) -> DataFrame:
+    """a, b, more: pairs proposed within long lists that hold several components, by BLOCK x BLOCK sets."""
+    rows = long.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rows = common.written(_chunked(rows.join(mixed, "key", "left_semi")))
     chunks = rows.groupBy("key", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = chunks.alias("x"), chunks.alias("y")
     need = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk"))).where("NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(f"{DEN} * y.most >= {NUM} * x.least AND {DEN} * x.most >= {NUM} * y.least")
     need = need.select(F.col("x.key").alias("key"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
     halves = need.select("key", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("half")).union(need.where("i <> j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("half")))
-    bad = failed.select(F.col("a").alias("c"), F.col("b").alias("x")).union(failed.select("b", "a")).groupBy("c").agg(F.collect_set("x").alias("failed"))
-    rows = rows.join(halves, ["key", "chunk"]).join(bad, "c", "left").select("key", "i", "j", "half", "c", "n", "comp", "bits", "failed")
+    rows = rows.join(nodes.select("c", "bits"), "c").join(halves, ["key", "chunk"]).select("key", "i", "j", "half", "c", "n", "comp", "bits")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_block_pairs(most), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_block_pairs(most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _lists(docs: DataFrame, nodes: DataFrame, text_col: str, order, boundary: int) -> DataFrame:
+    """key, c, n, k: the entries of inverted lists that different sets share, k on each."""
+    in_list = W.partitionBy("key", "part")
+    rows = postings(docs, text_col, order, boundary)
+    rows = rows.withColumn("shared", F.col("part").isNotNull() | (F.min("d1").over(in_list) != F.max("d1").over(in_list)))
+    rows = common.written(rows.where("shared").select("key", "part", "d1").distinct().select("key", "d1"))
+    # a digest of 64 bits may stand for several sets here: each of them gets the entry, and whole sets decide
+    entries = common.written(rows.join(nodes.select("d1", "c", "n"), "d1").select("key", "c", "n"))
+    common.discard(rows)
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    out = common.written(entries.join(counts, "key").select("key", "c", "n", "k"))
+    common.discard(entries)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,51 +347,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     info = _written(describe(docs, id_col, text_col))
     nodes = _written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
-    boundary = choose_boundary(info)
+    lists = _lists(docs, nodes, text_col, order, choose_boundary(info))
 
-    by_key = W.partitionBy("key")
-    rows = postings(docs, text_col, order, boundary)
-    rows = rows.withColumn("shared", (F.min("d1").over(by_key) != F.max("d1").over(by_key)) | (F.min("d2").over(by_key) != F.max("d2").over(by_key))).where("shared").select("key", "d1", "d2")
-    rows = _written(rows)
-    common.release(spark)
-    lists = rows.distinct().join(nodes.select("d1", "d2", "c", "n"), ["d1", "d2"]).select("key", "c", "n").distinct()
-    lists = _written(lists.withColumn("k", F.count(F.lit(1)).over(by_key)).where("k > 1"))
-    common.discard(rows)
-    common.release(spark)
-
-    # Pairs of short lists, and sets of long ones that any other may be near to: only these are looked at whole.
     short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("s"))
     short = short.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
     short = short.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    short = _written(_near(short.where(_SIZES_FIT).select("a", "b"), nodes))
-    long = lists.where(F.col("k") > SHORT).select("key", "c", "n").join(nodes.select("c", "bits"), "c").select("key", "c", "n", "bits")
-    alone = spark.createDataFrame([], "node long, component long")
-    none = spark.createDataFrame([], "a long, b long")
-    near = _written(_long_pairs(long, alone, none, 0).select(F.col("a").alias("c")))
-    common.release(spark)
-    long = _written(long.join(near, "c", "left_semi"))
-    common.discard(lists)
-    wanted = near.union(short.select("a")).union(short.select("b")).distinct()
-    sets = _written(_sets(docs, wanted, id_col, text_col))
-    common.release(spark)
-
     # One pivot for each long list, its least id, joins most of what belongs together.
+    long = lists.where(F.col("k") > SHORT).select("key", "c", "n")
     pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
-    stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), "n", F.col("p.n").alias("m")).where("a < b").where(_SIZES_FIT).select("a", "b")
-    checked = _written(verified(_near(stars, nodes).union(short).distinct(), sets))
-    common.discard(short)
-    common.release(spark)
-    comp = _written(components(checked.where("linked").select("a", "b")))
+    stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m")).where("a < b")
+    new = _written(_near(short.union(stars).where(_SIZES_FIT).select("a", "b"), nodes))
+    sets = checked = comp = None
     most = 16
-    while not long.isEmpty():
-        new = _written(verified(_long_pairs(long, comp, checked.where("NOT linked"), most), sets))
-        common.release(spark)
-        if new.isEmpty():
+    while True:
+        if sets is None or not new.isEmpty():
+            ends = new.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+            wanted = common.written(ends if sets is None else ends.join(sets, "c", "left_anti"))
+            more = _written(_sets(docs, wanted, id_col, text_col))
+            sets = more if sets is None else sets.union(more)
+            seen = _written(verified(new, sets))
+            checked = seen if checked is None else checked.union(seen)
+            linked = seen.where("linked").select("a", "b")
+            if comp is None or not linked.isEmpty():
+                # what is linked so far is a forest's worth of edges: each node with its component
+                comp = _written(components(linked if comp is None else linked.union(comp.select("node", "component"))))
+        proposed = common.written(_long_pairs(long, nodes, comp, most))
+        new = common.written(_near(proposed.join(checked, ["a", "b"], "left_anti").select("a", "b"), nodes))
+        if new.isEmpty() and proposed.where("more").isEmpty():
             break
-        checked = _written(checked.union(new))
-        if not new.where("linked").isEmpty():
-            # what is linked so far is a forest's worth of edges: each node with its component
-            comp = _written(components(new.where("linked").select("a", "b").union(comp.select("node", "component"))))
         most *= 8
 
     named = nodes.select("n", "d1", "d2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").select("n", "d1", "d2", "c", F.coalesce("component", "c").alias("component"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the place that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, is a folder of this machine used.
+    Where that setting is absent, as in tests, a folder of this machine is used if Spark runs on it alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "vellum-work")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
@@ -70,15 +69,6 @@ def trim() -> None:
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-    gc.collect()
-    # handles are let go of by another thread before the driver's garbage holds what they stood for
-    time.sleep(0.3)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.7)
-
-
 def doc_bucket(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4; bucket 2 is held out from every fit."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))

@@ -124,8 +124,13 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     total = common.vector_sum(docs.select(F.col(text_col).alias("text")), counts, COUNTERS)
     load = total.sum() / COUNTERS
     noise = load + 6 * np.sqrt(load) + 4
-    rank = np.where(total <= noise, 0, np.ceil(4 * np.log2(np.maximum(total, 1) / max(noise, 1)) + 1)).clip(0, 255).astype(np.uint8)
-    return rank, np.ceil(total / IN_ONE_TASK).clip(1, 1 << 15).astype(np.int16)
+    rank, parts = np.zeros(COUNTERS, np.uint8), np.ones(COUNTERS, np.int16)
+    common_ones = np.flatnonzero(total > noise)  # few, and all others keep class 0
+    for k in range(0, len(common_ones), 1 << 18):
+        at = common_ones[k : k + (1 << 18)]
+        rank[at] = np.ceil(4 * np.log2(total[at] / max(noise, 1)) + 1).clip(0, 255)
+        parts[at] = np.ceil(total[at] / IN_ONE_TASK).clip(1, 1 << 14)
+    return rank, parts
 
 
 def choose_boundary(info: DataFrame) -> int:

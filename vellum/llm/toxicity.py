@@ -2,7 +2,7 @@
 
 A feature is the presence of an n-gram (lower case, hashed) in a text. Its ratio is the log of how much likelier it
 is in a toxic text than in another, from smoothed counts over a bounded sample of labelled rows. A logistic regression
-over features times ratios is fitted on the same sample.
+over features times ratios is fitted on the same sample, with those features whose counts chance doesn't explain.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 GRAMS, HASH_BITS = (3, 4, 5), 19
-#: The features of the regression: those with the largest ratios, each weighed by how sure it is.
-SELECTED = 1 << 14
+#: The features of the regression: all whose toxic count is so many standard deviations off its expectation.
+SURE = 4.0
 #: Labelled rows that the classifier is fitted on, at most, chosen by a hash of the id.
 SAMPLE = 8000
-SMOOTH, PENALTY, STEPS, RATE = 1.0, 2e-4, 300, 0.05
+SMOOTH, PENALTY, STEPS, BATCH, RATE = 1.0, 3e-3, 300, 512, 0.05
 THRESHOLD = 0.3
 #: Places that ids are hashed to.
 PLACES = 1 << 40
@@ -85,17 +85,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def _regression(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Adam on the whole sample; rows in order."""
-    w, b = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+def _regression(each: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Adam on batches of rows, a falling rate; ``each``: a row's features, whose values are their ratios."""
+    w, b = np.zeros(len(ratio)), 0.0
+    m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
+    rng, size, at = np.random.default_rng(seed), min(BATCH, len(y)), len(y)
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, w[cols] * values, len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g, gb = np.bincount(cols, e[rows] * values, size) + PENALTY * w, e.sum()
+        if at + size > len(y):
+            order, at = rng.permutation(len(y)), 0
+        rows = order[at : at + size]
+        at += size
+        cols = np.concatenate([each[i] for i in rows])
+        own = np.repeat(np.arange(size), [len(each[i]) for i in rows])
+        z = np.bincount(own, (w * ratio)[cols], size) + b
+        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / size
+        g, gb = ratio * np.bincount(cols, e[own], len(ratio)) + PENALTY * w, e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
+        rate = RATE * (1 - t / (STEPS + 1))
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
     return w, b
 
 
@@ -132,27 +140,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # how far the toxic count is from its expectation, in standard deviations
     share = (c0 + c1) / (n0 + n1)
     sure = np.abs(c1 - n1 * share) / np.sqrt(n1 * share * (1 - share) + 1)
-    top = np.argsort(-sure, kind="stable")[:SELECTED]
-    top = top[(sure[top] > 0) & (ratio[top] != 0)]
-    chosen = np.zeros(size, bool)
-    chosen[top] = True
+    chosen = sure > SURE
+    top = np.flatnonzero(chosen)
+    kind = "<u2" if len(top) < 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def features(batches):
+        place = np.cumsum(shared.value) - 1
         for b in batches:
             texts, found = b.column(1).to_pylist(), []
             for s, e in _groups(texts):
                 o, f = presence(texts[s:e], shared.value)
-                cut = np.searchsorted(o, np.arange(e - s + 1))
-                found += [f[x:z].astype("<i4").tobytes() for x, z in zip(cut, cut[1:], strict=False)]
+                cut, f = np.searchsorted(o, np.arange(e - s + 1)), place[f].astype(kind)
+                found += [f[x:z].tobytes() for x, z in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["doc_id", "f", "y"])
 
     got = rows.select(F.col("doc_id").cast("string"), "text", "y").mapInArrow(features, "doc_id string, f binary, y int").toArrow().sort_by("doc_id")
-    each = [np.frombuffer(x, "<i4") for x in got.column("f").to_pylist()]
-    y = (got.column("y").to_numpy() > 0).astype(np.float64)
-    cols = np.concatenate(each).astype(np.int64) if each else np.empty(0, np.int64)
-    w, bias = _regression(np.repeat(np.arange(len(each)), list(map(len, each))), cols, ratio[cols], y, size)
-    return Model(w * ratio * chosen, bias)
+    each = [np.frombuffer(x, kind) for x in got.column("f").to_pylist()]
+    w, bias = _regression(each, ratio[top], (got.column("y").to_numpy() > 0).astype(np.float64))
+    weights = np.zeros(size)
+    weights[top] = w * ratio[top]
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe, exact_dedup, jaccard_join, language_id, nearest, packing, token_counts, token_files, tokens, toxicity, url_filter
 
@@ -57,6 +58,16 @@ def test_exact_dedup(spark, docs, texts):
     assert {r.doc_id for r in exact_dedup.dedup(docs).collect()} == {max(g) for g in groups.values()}
 
 
+def test_exact_dedup_of_hot_groups(spark, docs, texts, monkeypatch):
+    want = {tuple(r) for r in exact_dedup.membership(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "HOT", 60)
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 1)
+    assert {tuple(r) for r in exact_dedup.membership(docs).collect()} == want and any(r[2] > len(texts) // 60 for r in want)
+    rows = spark.createDataFrame([(None, "x"), (None, "X"), (3, "y"), (3, "y"), (4, None), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.membership(rows).collect())
+    assert got == [("3", "3", 2, True), ("3", "3", 2, True), ("4", "4", 2, True), ("None", "4", 2, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_exact_dedup_of_repeated_ids(spark, monkeypatch, clash):
     if clash:  # every text has the same digest
@@ -208,7 +219,7 @@ def test_cuts_are_optimal():
         pos = np.unique(np.concatenate([[0], np.cumsum(rng.integers(1, min(limit, 30) + 1, int(rng.integers(1, 40))))]))
         pen = rng.choice([0.0, 2.0, 24.0], len(pos))
         best = [0.0] + [1e18] * (len(pos) - 1)
-        cost = lambda d: 0 if d & (d - 1) == 0 and d >= packing.LEAST_POWER else limit - d
+        cost = lambda d: 0 if d & (d - 1) == 0 else limit - d
         for j in range(1, len(pos)):
             best[j] = min(best[i] + cost(int(pos[j] - pos[i])) + pen[j] + packing.PER_SEQUENCE for i in range(j) if pos[j] - pos[i] <= limit)
         total, a = 0, 0
@@ -222,7 +233,12 @@ def test_token_counts(spark, docs, texts, library):
     h = token_counts.histogram(token_counts.lengths(docs, tokens.default_tokenizer()))
     for r in h.collect():
         assert (r.docs, r.docs_ge, r.ids_ge, r.truncated_ids, r.whole_ids) == ((n == r.length).sum(), (n >= r.length).sum(), n[n >= r.length].sum(), np.minimum(n, r.length).sum(), n[n <= r.length].sum())
-    assert {r.context_limit: r.total for r in token_counts.truncated_total(h, [0, 10, 10**6]).collect()} == {0: 0, 10: np.minimum(n, 10).sum(), 10**6: n.sum()}
+    limits = [0, 1, 10, int(np.median(n)), int(n.max()), 10**6]
+    assert {r.context_limit: r.total for r in token_counts.truncated_total(h, limits).collect()} == {x: np.minimum(n, x).sum() for x in limits}
+    want = {x: int(np.sort(n)[max(0, int(np.ceil(x * len(n))) - 1)]) for x in (0.01, 0.5, 0.9, 1.0)}
+    assert {r.share: r.length for r in token_counts.quantile(h, list(want)).collect()} == want
+    none = h.where("false")
+    assert [r.total for r in token_counts.truncated_total(none, [5]).collect()] == [0] and [r.length for r in token_counts.quantile(none, [0.5]).collect()] == [None]
 
 
 def test_language(spark, docs):
@@ -263,6 +279,21 @@ def test_nearest(spark):
     assert hits >= 54 and len(found) == 60
 
 
+def test_scan_abandons_candidates_and_finds_the_nearest():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    index = nearest.Index(x, 4)
+    rotated, ids, hits, read = np.ascontiguousarray((x @ index.rotation).astype(np.float32).T), np.arange(4000), 0, 0
+    for q in range(40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.argsort(d, kind="stable")[:10]
+        got, near, values = nearest.scan(index, rotated, x, ids, x[q], q, 10, np.sort(d)[30])
+        assert np.allclose(near, d[got]) and (np.diff(near) >= 0).all()
+        hits, read = hits + len(set(got) & set(want)), read + values
+    assert hits >= 390 and read < 0.6 * 40 * x.size
+
+
 def test_nearest_finds_k_where_there_are_k(spark):
     x = np.random.default_rng(2).normal(size=(700, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -290,6 +321,103 @@ def test_url_labels_reach_unlabelled_branches(spark):
     assert {r.template for r in rows if r.host == "b.org"} == {"/{p}/*"} and len({r.template for r in rows if r.host == "m.org"}) == 3
 
 
+def _tree(rows):
+    """(host, raw) to (template, share) by loops over dictionaries."""
+    from collections import defaultdict
+    from math import log
+
+    def apart(h, n, H, N):
+        if not n:
+            return 0
+        p, term = H / N, lambda a, b: a * log(a / b) if a else 0.0
+        return 0 if 2 * (term(h, n * p) + term(n - h, n * (1 - p))) <= url_filter.CRITICAL else 1 if h / n > p else -1
+
+    def pooled(of, key, *fields):
+        out = defaultdict(lambda: [0] * len(fields))
+        for r in of:
+            for k, f in enumerate(fields):
+                out[key(r)][k] += r[f]
+        return out
+
+    count = defaultdict(lambda: [0, 0, 0])
+    for host, raw, label in rows:
+        c = count[host, raw]
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (label is not None), c[2] + (label or 0)
+    now = {k: k[1] for k in count}
+    for level in range(max(len(k[1]) for k in count)):
+        each = {}
+        for k, t in now.items():
+            if len(t) > level:
+                e = each.setdefault((k[0], t[:level], t[level]), dict(up=(k[0], t[:level], t[level].startswith("*")), n=0, known=0, good=0, leaves=0))
+                for f, v in zip(("n", "known", "good"), count[k]):
+                    e[f] += v
+                e["leaves"] += count[k][0] * (len(t) == level + 1)
+        all_ = list(each.values())
+        pool, many = pooled(all_, lambda r: r["up"], "leaves", "n"), defaultdict(int)
+        for r in all_:
+            many[r["up"]] += 1
+        for r in all_:
+            r["dl"] = apart(r["leaves"], r["n"], *pool[r["up"]])
+            r["many"] = not r["up"][2] and many[r["up"]] >= url_filter.MANY and pool[r["up"]][1] < url_filter.ROWS_EACH * many[r["up"]]
+        pool = pooled(all_, lambda r: (r["up"], r["dl"]), "good", "known")
+        for r in all_:
+            r["dg"] = apart(r["good"], r["known"], *pool[r["up"], r["dl"]]) if r["known"] else 9
+        cell = lambda r: (r["up"], r["dl"], r["dg"])
+        pool = pooled(all_, cell, "leaves", "n", "good", "known")
+        for r in all_:
+            L, N, G, K = pool[cell(r)]
+            r["alike"] = not r["up"][2] and apart(r["leaves"], r["n"], L, N) == 0 and apart(r["good"], r["known"], G, K) == 0
+        agree = defaultdict(list)
+        for r in all_:
+            if r["alike"] and r["dg"] != 9:
+                agree[r["up"], r["dl"]].append(r["dg"])
+        for r in all_:
+            if r["dg"] == 9:
+                got = agree[r["up"], r["dl"]]
+                r["dg"] = got[0] if len(got) > 1 and len(set(got)) == 1 else None
+        names = defaultdict(list)
+        for k, r in each.items():
+            if r["alike"] and not r["many"] and r["dg"] is not None:
+                names[cell(r)].append(k[2])
+        to = {k: "*" if r["many"] else "{" + min(names[cell(r)]) + "}" if r["alike"] and len(names[cell(r)]) > 1 and k[2] in names[cell(r)] else k[2] for k, r in each.items()}
+        now = {k: t[:level] + (to[k[0], t[:level], t[level]],) + t[level + 1 :] if len(t) > level else t for k, t in now.items()}
+
+    def share(keep, above):
+        own = [count[k] for k in now if keep(k)]
+        return (sum(c[2] for c in own) + url_filter.PRIOR * above) / (sum(c[1] for c in own) + url_filter.PRIOR)
+
+    top = share(lambda k: True, url_filter.PRIOR_SHARE)
+    out = {}
+    for (host, raw), t in now.items():
+        s = share(lambda k: k[0] == host, top)
+        s = share(lambda k: k[0] == host and now[k][:1] == t[:1], s)
+        own = lambda k: k[0] == host and now[k] == t
+        out[host, raw] = ("/" + "/".join(t), share(own, s) if any(count[k][1] for k in now if own(k)) else url_filter.PRIOR_SHARE)
+    return out
+
+
+def test_url_tree_by_hand(spark):
+    rng, rows = random.Random(9), []
+    bad = {"casino", "pills", "win"}
+    for _ in range(1500):
+        host = rng.choice(("a.org", "b.org", "b.org", "c.org"))
+        raw = tuple(rng.choice((["casino", "pills", "news", "blog", "wiki", "*"], ["x", "y", "*"], [f"slug-{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}", "*"])[d]) for d in range(rng.choice((1, 2, 3, 3))))
+        label = None if rng.random() < 0.5 or raw[0] in ("win", "blog") else int(raw[0] not in bad)
+        rows.append((host, raw, label))
+    want = _tree(rows)
+    got = url_filter.templates(spark.createDataFrame([(h, list(r), x) for h, r, x in rows], "host string, raw array<string>, label int")).collect()
+    assert {(r.host, tuple(r.raw)): r.template for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.share - want[r.host, tuple(r.raw)][1]) < 1e-9 for r in got)
+    assert min(r.share for r in got) < url_filter.LEAST_SHARE < max(r.share for r in got)
+
+
+def test_urls_odd(spark):
+    long = "http://l.org/" + "a/" * 300 + "b" * 20000
+    rows = [(1, long, 7), (1, long, 7), (None, "http://l.org/x", 7), (2, "http://l.org", 8), (2, None, 8)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host long")).collect()
+    assert len(got) == 5 and sorted(str(r.id) for r in got) == ["1", "1", "2", "2", "None"] and {r.verdict for r in got} == {"allow"}
+
+
 def test_deep_paths_have_templates_of_their_own(spark):
     deep = "http://h.org/" + "/".join("abcdefgh")
     urls = [f"{deep}/{k}/x/{i}" for k in ("p", "q", "r", "s") for i in range(10)] + ["http://z.org/" + "/".join("abcdefghijklmnopqrstuvwxyz" * 4)]
@@ -303,3 +431,149 @@ def test_empty_tables(spark):
     path = tokens.default_tokenizer()
     for df in (exact_dedup.membership(none), exact_dedup.dedup(none), jaccard_join.join(none), bpe.round_trip(none, path), packing.pack(none, path), token_counts.histogram(token_counts.lengths(none, path)), language_id.predict(none, language_id.fit(none)), toxicity.score(none, toxicity.fit(none, none)), nearest.search(none, lambda i: i % 100 == 0), url_filter.judge(none)):
         assert df.count() == 0
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, ids of other types, clashing names."""
+    rows = [(None, "the one two three four five", 1), (3, "the one two three four five", 2), (3, "other words stand here now at last", 3), (3, None, 4), (None, None, 5)]
+    path = tokens.default_tokenizer()
+    d = spark.createDataFrame(rows, "doc_id short, text string, id int").withColumn("ids", F.lit("x")).withColumn("key", F.lit(1))
+    assert sorted((str(r.id), r.n_tokens) for r in bpe.round_trip(d, path).collect()) == [("3", 0), ("3", 6), ("3", 7), ("None", 0), ("None", 6)]
+    assert sorted(str(r.id) for r in bpe.encode(d, path).collect()) == ["3", "3", "3", "None", "None"]
+    assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "id long, ids array<int>"), path).where("text = ''").count() == 2
+    packed = packing.pack(d.coalesce(1), path).collect()
+    assert {(str(r.id), r.doc_tokens) for r in packed} == {("3", 1), ("3", 7), ("3", 8), ("None", 1), ("None", 7)} and sum(r.length for r in packed) == 24
+    assert token_counts.lengths(d, path).count() == 5
+    got = sorted((str(r.id), r.n_shingles, str(r.class_id), str(r.component_id)) for r in jaccard_join.join(d).collect())
+    assert got == [("3", 0, "3", "3"), ("3", 2, "3", "3"), ("3", 3, "3", "3"), ("None", 0, "None", "None"), ("None", 2, "3", "3")]
+    assert jaccard_join.dedup(d).columns == d.columns and exact_dedup.dedup(d).columns == d.columns and exact_dedup.dedup(d).count() == 3
+    train = spark.createDataFrame([(i, f"{w} " * 9, w) for i, w in enumerate(["the", "der", "les"] * 30)], "doc_id long, text string, lang string")
+    net = language_id.fit(train)
+    assert language_id.predict(d, net).count() == 5 and language_id.keep(d, net).columns == d.columns
+    model = toxicity.fit(train, spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (4, 1), (0, 0), (3, 0), (5, 0)], "doc_id long, toxic int"))
+    assert toxicity.score(d, model).count() == 5 and toxicity.keep(d, model).columns == d.columns
+
+
+def test_token_files_odd(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 20)
+    rows = [(None, "a b c"), (5, "x y z " * 9), (5, "k"), (7, None), (6, "word " * 30), (1, "")]
+    d = spark.createDataFrame(rows, "doc_id int, text string").withColumn("id", F.lit(1)).coalesce(1)
+    token_files.write(d, tokens.default_tokenizer(), f"file://{tmp_path}/o")
+    got = token_files.digests(spark, f"file://{tmp_path}/o").orderBy("start").collect()
+    assert [r.id for r in got] == [None, 1, 5, 5, 6, 7] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert spark.read.parquet(f"file://{tmp_path}/o").count() > 2
+    token_files.write(d.where("false"), tokens.default_tokenizer(), f"file://{tmp_path}/e")
+    assert token_files.digests(spark, f"file://{tmp_path}/e").count() == token_files.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_packing_in_parts(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    rng = random.Random(8)
+    texts = {i: ". ".join(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 12))) for i in range(80)}
+    seq, seen = {}, {}
+    for r in packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), tokens.default_tokenizer(), limit=64).collect():
+        seq.setdefault(r.sequence_id, []).append(r)
+        seen.setdefault(r.id, []).append(r)
+    order = [r.id for k in sorted(seq) for r in sorted(seq[k], key=lambda r: r.offset)]
+    assert order == sorted(order) and len(seq) > 20
+    for i, t in texts.items():
+        ids, at = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(seen[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert all(sum(r.length for r in rs) <= 64 for rs in seq.values())
+
+
+def test_language_network():
+    rng = np.random.default_rng(3)
+    net = language_id.Net(["a", "b", "c"])
+    net.bias[:] = rng.normal(size=len(net.bias))
+    x, y = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+
+    def forward():  # one-hot convolution, maximum, rectifier, linear layer
+        out = []
+        for row in x:
+            tops = [max(sum(t[j, row[i + j], f] for j in range(w)) for i in range(language_id.WINDOW - w + 1)) for w, t in zip(language_id.WIDTHS, net.tables, strict=True) for f in range(language_id.FILTERS)]
+            out.append(np.maximum(np.array(tops) + net.bias, 0) @ net.out + net.out_bias)
+        return np.array(out)
+
+    z = forward()
+    assert np.allclose(net.logits(x), z, atol=1e-4)
+    loss = lambda: float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(5), y]))
+    grads = net._gradients(x, y)
+    for p, g in zip(net.parameters(), grads, strict=True):
+        for at in [tuple(int(rng.integers(0, n)) for n in p.shape) for _ in range(2)] + [np.unravel_index(int(np.abs(g).argmax()), g.shape)]:
+            keep, found = p[at], []
+            for step in (1e-2, -1e-2):
+                p[at] = keep + step
+                net._pairs, z = None, forward()
+                found.append(loss())
+            p[at], net._pairs = keep, None
+            assert abs((found[0] - found[1]) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at]))
+
+
+def test_language_is_learned_from_other_documents_alone(spark):
+    rows = [(i, "eins zwei drei vier" if i % 2 else "one two three four", "de" if i % 2 else "en") for i in range(80)]
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    lies = [(i, t, ("en" if lang == "de" else "de") if i in held else lang) for i, t, lang in rows]
+    a, b = (language_id.fit(spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1)) for r in (rows, lies))
+    assert held and all((p == q).all() for p, q in zip(a.parameters(), b.parameters(), strict=True))
+
+
+def test_toxicity_scores_by_dictionary():
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=1 << toxicity.HASH_BITS) * (rng.random(1 << toxicity.HASH_BITS) < 0.5)
+    model, texts = toxicity.Model(weights, 0.3), ["", "Ab", "the idiot The idiot", "É" * 50, "x " * 400, "\U0001f600 ok"]
+
+    def features(text):
+        t, out = " " + text.lower() + " ", set()
+        for n in toxicity.GRAMS:
+            for i in range(len(t) - n + 1):
+                h = (n + sum((ord(c) + j) * int(toxicity._K[j]) for j, c in enumerate(t[i : i + n]))) % (1 << 64)
+                out.add(((h ^ h >> 29) * int(toxicity._K[0])) % (1 << 64) >> 64 - toxicity.HASH_BITS)
+        return out
+
+    want = [1 / (1 + np.exp(-np.clip(0.3 + sum(weights[f] for f in features(t)), -40, 40))) for t in texts]
+    assert np.allclose(model.scores(texts), want)
+
+
+def test_pipeline(spark, tmp_path, library):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = {"en": "the and ing of to was is that with for on are".split(), "de": "der die und ist das ein nicht mit von auf".split()}
+    rows = []
+    for i in range(160):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choice(words[lang]) for _ in range(rng.randint(30, 90)))
+        rows.append((i, text + (" idiot scum moron" if i % 8 == 1 else ""), lang))
+    rows += [(200 + k, rows[2 * k][1].upper(), "de") for k in range(5)]  # exact copies
+    rows += [(300 + k, rows[20 + 2 * k][1] + " ende", "de") for k in range(5)]  # near copies
+    rows += [(400, None, "en"), (401, "", "en"), (402, "12 34 !!", None), (3, rows[3][1], "en"), (None, rows[5][1] + " more", "en")]
+    docs = spark.createDataFrame([(*r, "web", 1, "z") for r in rows], "doc_id long, text string, lang string, source string, id long, sha string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 8 == 1), 1) for i in range(160)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = now
+        now = stage(spark, before, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = [(r.doc_id, r.text) for r in now.collect()] if name != "packing" else now.collect()
+        assert name == "packing" or now.columns == docs.columns
+    assert sorted(map(str, kept["language_id"])) == sorted(str((i, t)) for i, t, _ in rows if i not in (400, 401, 402))
+    clean = [(i, t) for i, t in kept["language_id"] if "idiot" not in t]
+    assert sorted(map(str, kept["toxicity"])) == sorted(map(str, clean))
+    best = {}
+    for i, t in clean:
+        best[_lower(t)] = max(best.get(_lower(t), -1), -1 if i is None else i)
+    assert sorted((str(i), _lower(t)) for i, t in kept["exact_dedup"]) == sorted((str(None if i < 0 else i), t) for t, i in best.items())
+    low = {i: c for i, _, c in _components({i: t for i, t in kept["exact_dedup"] if i is not None})}
+    assert sorted(str(i) for i, _ in kept["jaccard_join"]) == sorted([*(str(i) for i, c in low.items() if i == c), *("None" for i, _ in kept["exact_dedup"] if i is None)])
+    assert 200 in {i for i, _ in kept["exact_dedup"]} and len(kept["jaccard_join"]) < len(kept["exact_dedup"])
+    for i, t in kept["jaccard_join"]:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        ps = sorted((r.start, r.length, r.ids_crc32) for r in kept["packing"] if r.doc_id == i)
+        assert [p[0] for p in ps] == np.cumsum([0, *(p[1] for p in ps)])[:-1].tolist() and sum(p[1] for p in ps) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in ps)

@@ -33,7 +33,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         enc = tokens.encoder(path, engine)
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for first, after, ids, ends in enc.rows(b.column(1)):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), lists], ["id", "ids"])
@@ -47,7 +47,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
 
     def run(batches):
         strings = Strings(tokens.encoder(path, "prefix").bpe.token_bytes)
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
             ends = np.cumsum(np.array(lists.value_lengths(), np.int64))
             body, stops = strings.join(lists.flatten().to_numpy(zero_copy_only=False), ends)
@@ -65,7 +65,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         enc = tokens.encoder(path, "prefix")
         table = enc.bpe.token_bytes
         decimals, texts = Strings([b"%d," % i for i in range(len(table))]), Strings(table)
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for first, after, ids, ends in enc.rows(b.column(1)):
                 a, d = [], []
                 (decimal, x), (text, y) = decimals.join(ids, ends), texts.join(ids, ends)

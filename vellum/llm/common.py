@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,7 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Rows that Python functions get at once: texts may be long, and two batches of each task are in memory on either side.
+BATCH_ROWS = 1024
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sees to it that no larger batches are handed to Python in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,19 +39,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """The same rows read back from a table in the shared folder: cuts the lineage and survives lost executors.
-
-    With ``batch_rows``, Python functions on the way get batches of so many rows, which bounds a worker's memory.
-    """
-    path, conf, key = work_dir(df.sparkSession), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    try:
-        if batch_rows:
-            conf.set(key, str(batch_rows))
-        df.write.parquet(path)
-    finally:
-        conf.set(key, before)
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder: cuts the lineage and survives lost executors."""
+    bounded(df.sparkSession)
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
@@ -51,14 +56,35 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches, rows: int):
-    """The same batches in pieces of so many rows; what was freed goes back to the system at the end."""
+def slices(batches, rows: int = BATCH_ROWS, name: str = "", drop=lambda: None):
+    """The same batches in pieces of so many rows; what was freed goes back to the system at the end.
+
+    ``name`` and ``drop``: what the function that reads them keeps in its worker (see ``holding``).
+    """
+    holding(name, drop)
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
     trim()
 
 
+_HELD: dict = {}
+
+
+def holding(name: str, drop) -> None:
+    """Says that this worker keeps something by a name from now on, and lets go of what it keeps by other names.
+
+    A worker runs tasks of many stages: tables that one operator keeps between tasks must not stay for the next one.
+    """
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[name] = drop
+    if others:
+        gc.collect()
+        trim()
+
+
 def trim() -> None:
     """Gives a worker's freed memory back to the system, so that idle workers stay small."""
     import ctypes

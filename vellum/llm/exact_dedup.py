@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 SALTS = 16
+#: Groups of more than a 1/HOT of all rows, and of more than LEAST_HOT, are hot.
+HOT, LEAST_HOT = 4096, 100_000
 
 
 def normalised(text):
@@ -38,14 +40,22 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other; a group of null ids only has a null keep_id and keeps its rows. Rows repeated with the same id are one
     document: all of them are marked kept, and ``dedup`` returns them once.
     """
-    found = groups(docs, id_col, text_col)
-    by_digest = found.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    grouped = groups(docs, id_col, text_col)
+    by_digest = grouped.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     by_digest = common.written(by_digest)
     base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text")).withColumn("sha", F.sha2("text", 256))
-    out = base.select("id", "sha").join(by_digest.where("texts = 1").drop("texts"), "sha")
+    single = by_digest.where("texts = 1").drop("texts")
+    rows = by_digest.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # groups of more than a 1/HOT of all rows, so fewer than HOT, are broadcast; their rows are dealt out by id instead
+    large = F.col("group_size") > F.lit(max(LEAST_HOT, rows // HOT))
+    hot = F.broadcast(single.where(large).select("sha", F.struct("keep_id", "group_size").alias("hot")))
+    some = base.select("id", "sha").join(hot, "sha", "left")
+    some = some.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.pmod(F.xxhash64("id"), F.lit(HOT)).cast("string")))
+    found = single.where(~large).select(F.col("sha").alias("key"), F.struct("keep_id", "group_size").alias("cold"))
+    out = some.join(found, "key", "left").withColumn("of", F.coalesce("hot", "cold")).where("of IS NOT NULL").select("id", "sha", "of.keep_id", "of.group_size")
     clash = by_digest.where("texts > 1").select("sha")
     if not clash.isEmpty():  # different texts of one digest: members are told by their full texts
-        apart = found.join(clash, "sha", "left_semi")
+        apart = grouped.join(clash, "sha", "left_semi")
         out = out.unionByName(base.join(clash, "sha", "left_semi").join(apart, ["sha", "text"]).select("id", "sha", "keep_id", "group_size"))
     return out.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 

@@ -37,10 +37,6 @@ ROWS = 1024
 BITMAP, WIDE, WIDE_FROM = 512, 8192, 600
 
 
-def _written(df: DataFrame) -> DataFrame:
-    return common.written(df, ROWS)
-
-
 def least_overlap(n: int) -> int:
     """What any linked set shares with a set of n at least."""
     return -(-NUM * n // DEN)
@@ -86,7 +82,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     most = largest_small()
 
     def run(batches):
-        for b in common.slices(batches, ROWS):
+        for b in common.slices(batches, ROWS, "shingles", shingles.forget):
             n, d1, d2, bits, wide, small = [], [], [], [], [], []
             for s in shingles.sets_of(b.column(1).to_pylist()):
                 x, y = shingles.digest(s)
@@ -109,7 +105,7 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
     def counts(batches):
         v = np.zeros(COUNTERS, np.int64)
-        for b in common.slices(batches, ROWS):
+        for b in common.slices(batches, ROWS, "shingles", shingles.forget):
             held, size = [], 0
             for s in shingles.sets_of(b.column(0).to_pylist()):
                 held.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
@@ -155,7 +151,7 @@ def postings(docs: DataFrame, text_col: str, order, boundary: int) -> DataFrame:
     def run(batches):
         rank, parts = order.value
         seen: set = set()
-        for b in common.slices(batches, ROWS):
+        for b in common.slices(batches, ROWS, "shingles", shingles.forget):
             keys, many, owner, times = [], [], [], []
             for s in shingles.sets_of(b.column(0).to_pylist()):
                 n = len(s)
@@ -191,7 +187,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     """c, set (8 bytes a shingle, sorted) of the wanted ids."""
 
     def run(batches):
-        for b in common.slices(batches, ROWS):
+        for b in common.slices(batches, ROWS, "shingles", shingles.forget):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles.sets_of(b.column(1).to_pylist())], pa.binary())], ["c", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("c"), F.col(text_col).alias("text")).join(wanted, "c", "left_semi")
@@ -202,7 +198,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked: whether their whole sets link."""
 
     def run(batches):
-        for b in common.slices(batches, ROWS):
+        for b in common.slices(batches, ROWS, "shingles", shingles.forget):
             a, z = b.column(2).to_pylist(), b.column(3).to_pylist()
             ok = []
             for p, q in zip(a, z, strict=True):
@@ -349,8 +345,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are repeated in the result. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    info = _written(describe(docs, id_col, text_col))
-    nodes = _written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    info = common.written(describe(docs, id_col, text_col))
+    nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
     lists = _lists(docs, nodes, text_col, order, choose_boundary(info))
 
@@ -361,21 +357,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     long = lists.where(F.col("k") > SHORT).select("key", "c", "n")
     pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
     stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m")).where("a < b")
-    new = _written(_near(short.union(stars).where(_SIZES_FIT).select("a", "b"), nodes))
+    new = common.written(_near(short.union(stars).where(_SIZES_FIT).select("a", "b"), nodes))
     sets = checked = comp = None
     most = 16
     while True:
         if sets is None or not new.isEmpty():
             ends = new.select(F.explode(F.array("a", "b")).alias("c")).distinct()
             wanted = common.written(ends if sets is None else ends.join(sets, "c", "left_anti"))
-            more = _written(_sets(docs, wanted, id_col, text_col))
+            more = common.written(_sets(docs, wanted, id_col, text_col))
             sets = more if sets is None else sets.union(more)
-            seen = _written(verified(new, sets))
+            seen = common.written(verified(new, sets))
             checked = seen if checked is None else checked.union(seen)
             linked = seen.where("linked").select("a", "b")
             if comp is None or not linked.isEmpty():
                 # what is linked so far is a forest's worth of edges: each node with its component
-                comp = _written(components(linked if comp is None else linked.union(comp.select("node", "component"))))
+                comp = common.written(components(linked if comp is None else linked.union(comp.select("node", "component"))))
         proposed = common.written(_long_pairs(long, nodes, comp, most))
         new = common.written(_near(proposed.join(checked, ["a", "b"], "left_anti").select("a", "b"), nodes))
         if new.isEmpty() and proposed.where("more").isEmpty():

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / n))) for k, n in sorted(counts.items())))
 
     def cut(batches):
-        for b in batches:
+        for b in common.slices(batches):
             x, y = [], []
             for i, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = windows(text.encode("utf-8", "replace"))
@@ -172,11 +172,9 @@ def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
-                lang, score, n = judge(shared.value, some.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["id", "lang_pred", "score", "n_windows"])
+        for some in common.slices(batches, 64):
+            lang, score, n = judge(shared.value, some.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["id", "lang_pred", "score", "n_windows"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, n_windows bigint")
 
@@ -187,11 +185,9 @@ def keep(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
-                lang, score, _ = judge(shared.value, some.column(at).to_pylist())
-                yield some.filter(pa.array([x != UNDETERMINED and s >= LEAST_SCORE for x, s in zip(lang, score, strict=True)], pa.bool_()))
+        for some in common.slices(batches, 64):
+            lang, score, _ = judge(shared.value, some.column(at).to_pylist())
+            yield some.filter(pa.array([x != UNDETERMINED and s >= LEAST_SCORE for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

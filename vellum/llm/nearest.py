@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: inverted lists whose scans give up on candidates from partial distances.
 
-Vectors are rotated at random and stored in column blocks, most telling first. A query scans the lists whose centres
-are nearest. After each column block a candidate's distance so far is tested against what a candidate as near as the
-tenth best would show: if it is larger beyond chance, the candidate is abandoned. Survivors are measured exactly.
+Vectors are rotated at random, so that any columns of a difference say how long it is. A query first scans the lists
+with the nearest centres, which sets its bar, the distance of the tenth best; then the other lists that it probes,
+with that bar. After each block of columns a candidate's distance so far is tested against what a candidate within the
+bar would show: if it is larger beyond chance, the candidate is abandoned. Survivors are measured exactly.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from . import common
 
 #: Vectors that centres are fitted on, at most, chosen by a hash of the id; every vector is indexed.
 SAMPLE = 20_000
-LISTS, PROBES, ROUNDS = 64, 48, 12
+#: Vectors in a list, about, as far as the sample has vectors enough for so many centres; fewest lists; rounds.
+LIST, FEWEST, ROUNDS = 1024, 16, 12
+#: The lists probed are as many as held this share of the neighbours of queries within the sample, found by brute force.
+WANTED, TRIALS = 0.97, 256
+#: Lists that set a query's bar.
+FIRST = 2
 #: Width of a column block, and how many standard deviations the test allows.
-COLUMNS, SLACK = 16, 2.1
-#: Larger lists are scanned in parts of about so many vectors.
-PART = 8192
+COLUMNS, SLACK = 8, 1.2
+#: Lists are scanned by blocks of about so many vectors and queries.
+PART, QUERIES = 8192, 2048
 NEIGHBOURS = 10
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, lists: int = LISTS, seed: int = 3):
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         q, r = np.linalg.qr(rng.normal(size=(d, d)))
@@ -41,6 +47,20 @@ class Index:
             centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         self.centres = centres
 
+    def probes(self, sample: np.ndarray, k: int, wanted: float = WANTED) -> int:
+        """How many lists must be probed to find a share of the k nearest of TRIALS sampled vectors within the sample."""
+        own = self.lists_of(sample, 1)[:, 0]
+        ranks, norms = [], (sample * sample).sum(1)
+        for i in range(0, len(sample), max(1, len(sample) // TRIALS)):
+            d = norms - 2 * (sample @ sample[i])
+            d[i] = np.inf
+            near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+            place = np.empty(len(self.centres), np.int64)
+            place[self.lists_of(sample[i : i + 1], len(self.centres))[0]] = np.arange(len(self.centres))
+            ranks.append(place[own[near]])
+        ranks = np.sort(np.concatenate(ranks)) if ranks else np.empty(0, np.int64)
+        return 1 + int(ranks[min(len(ranks) - 1, int(np.ceil(wanted * len(ranks))) - 1)]) if len(ranks) else 1
+
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
         d = (centres**2).sum(1)[None] - 2 * (x @ centres.T)
@@ -50,43 +70,42 @@ class Index:
         return self._nearest(x @ self.rotation, self.centres, min(k, len(self.centres)))
 
 
-def scan(index: Index, rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """ids and distances of the k nearest of a list, ties to smaller ids, and how many values were read.
+def scan(index: Index, rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, bar: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """ids and distances of the k nearest of a list within ``bar``, ties to smaller ids, and how many values were read.
 
-    ``rotated``: single precision, candidates by dimensions; ids ascending.
+    ``rotated``: single precision, dimensions by candidates; ids ascending.
     """
     q = (query @ index.rotation).astype(np.float32)
-    d = len(q)
-    alive = np.flatnonzero(ids != query_id)
-    # The first candidates set the bar.
-    first, rest = alive[: 4 * k], alive[4 * k :]
-
-    def exact(at):
-        diff = original[at] - query
-        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
-
-    dist = exact(first)
-    best, near, read = first, dist, len(first) * d
-    for g in range(0, len(rest), 1024):
-        at = rest[g : g + 1024]
-        order = np.lexsort((ids[best], near))[:k]
-        best, near = best[order], near[order]
-        bar = near[-1] if len(near) == k else np.inf
-        part = np.zeros(len(at), np.float32)
+    d, n = len(q), len(ids)
+    at = np.flatnonzero(ids != query_id)
+    best, near, read = np.empty(0, np.int64), np.empty(0), 0
+    # without a bar the first candidates set one
+    for s, e in ([(0, n)] if bar < np.inf else [(0, 4 * k), (4 * k, n)]):
+        some = at[s:e]
+        part = np.zeros(len(some), np.float32)
         for c in range(0, d, COLUMNS):
-            e = min(d, c + COLUMNS)
-            diff = rotated[at, c:e] - q[c:e]
-            part += np.einsum("ij,ij->i", diff, diff)
-            read += len(at) * (e - c)
-            if e < d:  # a candidate within the bar exceeds this by chance only
-                limit = bar * np.sqrt(e / d) * (1 + SLACK / np.sqrt(e))
+            z = min(d, c + COLUMNS)
+            for j in range(c, z):
+                diff = rotated[j, some] - q[j]
+                part += diff * diff
+            read += len(some) * (z - c)
+            if bar == np.inf:
+                continue
+            if z < d:  # a candidate within the bar exceeds this by chance only
+                limit = bar * np.sqrt(z / d) * (1 + SLACK / np.sqrt(z))
             else:
                 limit = bar * (1 + 1e-5) + 1e-6 * index.scale
-            stay = np.sqrt(part) <= limit
-            at, part = at[stay], part[stay]
-        best, near = np.concatenate([best, at]), np.concatenate([near, exact(at)])
-    order = np.lexsort((ids[best], near))[:k]
-    return ids[best[order]], near[order], read
+            stay = part <= limit * limit
+            some, part = some[stay], part[stay]
+            if not len(some):
+                break
+        diff = original[some] - query
+        best, near = np.concatenate([best, some]), np.concatenate([near, np.sqrt(np.einsum("ij,ij->i", diff, diff))])
+        order = np.lexsort((ids[best], near))[:k]
+        best, near = best[order], near[order]
+        if len(near) == k:
+            bar = min(bar, near[-1])
+    return ids[best], near, read
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -99,12 +118,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (a column of ``id``) holds.
 
     Null, zero and non-finite vectors and null ids take no part, nor do vectors whose length isn't the commonest one.
-    Rows repeated with the same id and vector are one. A query with fewer candidates than k gets all of them, however
-    far their lists are. An empty table gives no rows.
+    Rows repeated with one id are one: which of their vectors counts isn't defined if these differ. A query with fewer
+    candidates than k gets all of them, however far their lists are. An empty table gives no rows. ``probes``: the
+    lists that a query scans; as many as the sample calls for if not given.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, id_col, vector_col)
@@ -115,9 +135,10 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
     d, n = sizes[0].d, sizes[0].n
     rows = rows.where(F.size("v") == d)
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) <= min(1.0, SAMPLE / n) * (1 << 20)).orderBy("id").limit(2 * SAMPLE).toArrow()
-    index = Index(_matrix(some.column("v").combine_chunks()))
+    sample = _matrix(some.column("v").combine_chunks())
+    index = Index(sample, max(FEWEST, min(-(-n // LIST), len(sample) // FEWEST)))
     lists = len(index.centres)
-    probes = min(probes, lists)
+    probes = min(lists, probes or max(FIRST, index.probes(sample, k)))
     shared = spark.sparkContext.broadcast(index)
 
     def assign(count: int):
@@ -142,28 +163,41 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
         order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(ids) else order
         ids = ids[order]
         x = _matrix(candidates.column("v").combine_chunks())[order] if len(ids) else np.empty((0, d))
-        rotated = (x @ index.rotation).astype(np.float32)
-        out = ([], [], [])
+        rotated = np.ascontiguousarray((x @ index.rotation).astype(np.float32).T)
+        out, read = ([], [], []), []
         if len(ids) and queries_of.num_rows:
-            for qid, q in zip(queries_of.column("id").to_pylist(), _matrix(queries_of.column("v").combine_chunks()), strict=True):
-                found, near, _ = scan(index, rotated, x, ids, q, qid, k)
+            bars = queries_of.column("bar").to_pylist()
+            for qid, q, bar in zip(queries_of.column("id").to_pylist(), _matrix(queries_of.column("v").combine_chunks()), bars, strict=True):
+                found, near, values = scan(index, rotated, x, ids, q, qid, k, bar)
                 out[0].extend([qid] * len(found))
                 out[1].extend(found.tolist())
                 out[2].extend(near.tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                read += [values] * len(found)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "read": pa.array(read, pa.int64())})
 
     def scanned(queries: DataFrame, first: int, count: int) -> DataFrame:
-        queries = queries.select("id", "v", F.explode(F.slice("lists", first + 1, count)).alias("list")).join(F.broadcast(parts), "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "id", "v")
-        return queries.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInArrow(scan_part, "query_id long, vec_id long, score double")
-
-    found = common.written(scanned(asked, 0, probes))
-    if probes < lists:  # queries whose lists hold fewer than k candidates get those of all other lists too
-        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {k}").select(F.col("query_id").alias("id"))
-        short = common.written(asked.join(enough, "id", "left_anti"))
+        """Blocks of a list's vectors and of the queries that probe it; ``queries`` have a bar, infinite at first."""
+        queries = queries.select("id", "v", "bar", F.posexplode(F.slice("lists", first + 1, count)).alias("nth", "list"))
+        many = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))  # a row for each list
+        queries = queries.join(F.broadcast(many.join(F.broadcast(parts), "list")), "list").withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int"))
+        queries = queries.select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "share", "id", "v", "bar")
+        vectors = held.join(F.broadcast(many), "list").select("list", "part", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "id", "v")
+        keys = ("list", "part", "share")
+        return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(scan_part, "query_id long, vec_id long, score double, read long")
+
+    best = W.partitionBy("query_id").orderBy("score", "vec_id")  # at most k rows for each block that a query probes
+    ranked = lambda rows: rows.drop("read").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    found = common.written(ranked(scanned(asked.withColumn("bar", F.lit(float("inf"))), 0, FIRST)))
+    bars = found.where(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+    again = asked.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("inf"))))
+    if probes > FIRST:
+        found = common.written(ranked(found.drop("rank").unionByName(scanned(again, FIRST, probes - FIRST).drop("read"))))
+    if max(FIRST, probes) < lists:  # queries whose lists hold fewer than k candidates get those of all other lists too
+        enough = found.where(f"rank = {k}").select(F.col("query_id").alias("id"))
+        short = common.written(again.join(enough, "id", "left_anti"))
         if not short.isEmpty():
-            found = found.unionByName(scanned(short, probes, lists - probes))
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+            found = ranked(found.drop("rank").unionByName(scanned(short, max(FIRST, probes), lists).drop("read")))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

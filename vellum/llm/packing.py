@@ -14,8 +14,6 @@ from . import common, tokens
 
 #: Costs in padded tokens: of a cut between sentences of a document, of one within a sentence, of each sequence.
 SENTENCE_CUT, INNER_CUT, PER_SEQUENCE = 2, 24, 64
-#: Sequences of a power of two from here on count as free of padding; shorter ones aren't worth a sequence.
-LEAST_POWER = 64
 #: Within longer sentences a cut may fall at each of so many tokens; at the end of a stream, anywhere.
 INNER_STEP = 256
 #: Tokens that are gathered before cuts are chosen; the last two sequences wait for the tokens that follow.
@@ -27,14 +25,13 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
     apart than ``limit``; ``penalty``: the cost of a cut there.
 
     A sequence of i..j costs limit - (pos[j] - pos[i]) padding, so the best i minimises cost[i] + pos[i] over a
-    sliding window: a monotone queue gives it. A sequence of a power of two (LEAST_POWER at least) isn't padded; its one possible start is
-    looked up.
+    sliding window: a monotone queue gives it. A sequence of a power of two isn't padded; its one possible start is looked up.
     """
     m = len(pos)
     where = np.full(int(pos[-1]) + 1, -1, np.int64)
     where[pos] = np.arange(m)
     exact: dict[int, list[int]] = {}
-    p = LEAST_POWER
+    p = 1
     while p <= limit:
         j = np.flatnonzero(pos >= p)
         i = where[pos[j] - p]
@@ -146,7 +143,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, id_col:
             cols = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for first, after, ids, ends in enc.rows(b.column(1)):
                 keys = b.column(0).slice(first, after - first).to_pylist()
                 if pieces := packer.add(keys, *tokens.with_end(ids, ends, end_id)):

@@ -34,6 +34,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Lets go of the tables of powers."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of joined texts (uint8, each followed by a space), and the first word of each text."""
     data = _LOWER[data]
@@ -77,6 +82,8 @@ def sets_of(texts: list[str | None], most: int = 1 << 19):
             else:
                 yield np.empty(0, np.uint64)
             a = b
+        if len(_powers[0]) > 1 << 21:  # those of a very long text
+            forget()
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:

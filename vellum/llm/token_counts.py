@@ -18,7 +18,7 @@ def lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         enc = tokens.encoder(path)
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             begun = 0  # ids of the parts of a very long text so far
             for first, after, ids, ends in enc.column(b.column(0)):
                 if after == first:
@@ -53,17 +53,21 @@ def histogram(lengths_df: DataFrame, length_col: str = "length") -> DataFrame:
 
 
 def truncated_total(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, total): ids in all if each document is cut to the limit, for any limits >= 0."""
-    rows = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
-    got = hist.crossJoin(F.broadcast(rows)).groupBy("context_limit").agg(F.sum(F.least("length", "context_limit") * F.col("docs")).alias("total"))
-    return rows.join(got, "context_limit", "left").select("context_limit", F.coalesce("total", F.lit(0)).alias("total"))
+    """(context_limit, total): ids in all if each document is cut to the limit, for any limits >= 0.
+
+    The suffix sums at the least length that isn't below the limit answer it. Without documents it is 0.
+    """
+    at = lambda x: F.min(F.when(F.col("length") >= x, F.struct("length", "docs_ge", "ids_ge")))
+    row = hist.agg(F.coalesce(F.max("all_ids"), F.lit(0)).alias("all_ids"), *(at(x).alias(f"at{k}") for k, x in enumerate(limits)))
+    total = lambda k, x: F.coalesce(F.col("all_ids") - F.col(f"at{k}.ids_ge") + F.col(f"at{k}.docs_ge") * x, F.col("all_ids"))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias("context_limit"), total(k, x).alias("total")) for k, x in enumerate(limits)))).alias("x")).select("x.*")
 
 
 def quantile(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, length): the smallest length that at least this share of the documents doesn't exceed."""
-    rows = hist.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    fits = F.col("docs_le") >= F.ceil(F.col("share") * F.col("all_docs"))
-    return rows.join(hist.crossJoin(F.broadcast(rows)).where(fits).groupBy("share").agg(F.min("length").alias("length")), "share", "left")
+    """(share, length): the smallest length that at least this share of the documents doesn't exceed; null without any."""
+    at = lambda x: F.min(F.when(F.col("docs_le") >= F.ceil(F.lit(float(x)) * F.col("all_docs")), F.col("length")))
+    row = hist.agg(*(at(x).alias(f"at{k}") for k, x in enumerate(shares)))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(float(x)).alias("share"), F.col(f"at{k}").alias("length")) for k, x in enumerate(shares)))).alias("x")).select("x.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def write(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col: str
         def block():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([encode_block(keys, ids)], pa.binary())], ["part", "first", "n_ids", "block"])
 
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for row, after, found, ends in enc.rows(b.column(1)):
                 found, ends = tokens.with_end(found, ends, end_id)
                 for key, x in zip(b.column(0).slice(row, after - row).to_pylist(), np.split(found, ends[:-1]), strict=True):
@@ -184,7 +184,7 @@ def read(spark: SparkSession, target: str) -> DataFrame:
     """One row per document of the files: id, ids array<long>."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for block in b.column(0).to_pylist():
                 keys, ends, ids = decode_block(block)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))], ["id", "ids"])
@@ -196,7 +196,7 @@ def digests(spark: SparkSession, target: str) -> DataFrame:
     """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches, name="tokens", drop=tokens.forget):
             for part, first, block in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 keys, ends, ids = decode_block(block)
                 body, starts = ids.astype("<u4").tobytes(), [0, *ends.tolist()]

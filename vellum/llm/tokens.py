@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from . import common
+
 #: The pre-tokeniser's pattern and the place of byte values among printable characters are part of
 #: the public byte-level BPE format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -423,8 +425,14 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def forget() -> None:
+    """Lets go of the encoders that this worker keeps."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str, engine: str = "library") -> Encoder:
-    """One encoder for each file, engine and Python worker."""
+    """One encoder for each file, engine and Python worker, kept until the worker turns to another operator."""
+    common.holding("tokens", forget)
     if (path, engine) not in _ENCODERS:
         _ENCODERS[path, engine] = Encoder(path, engine)
     return _ENCODERS[path, engine]

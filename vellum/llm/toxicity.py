@@ -61,7 +61,7 @@ def presence(texts: list[str], chosen: np.ndarray | None = None) -> tuple[np.nda
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
-def _groups(texts: list[str], most: int = 1 << 20):
+def _groups(texts: list[str], most: int = 1 << 18):
     """Index ranges of texts of about so many characters together."""
     a = size = 0
     for b, t in enumerate(texts):
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         v = np.zeros(2 * size + 2, np.int64)
-        for b in batches:
+        for b in common.slices(batches):
             texts, y = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False) > 0
             for s, e in _groups(texts):
                 o, f = presence(texts[s:e])
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches):
         place = np.cumsum(shared.value) - 1
-        for b in batches:
+        for b in common.slices(batches):
             texts, found = b.column(1).to_pylist(), []
             for s, e in _groups(texts):
                 o, f = presence(texts[s:e], shared.value)
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             s = shared.value.scores([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
 
@@ -184,7 +184,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             yield b.filter(pa.array(shared.value.scores([x or "" for x in b.column(at).to_pylist()]) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -86,7 +86,7 @@ def holding(name: str, drop) -> None:
 
 
 def trim() -> None:
-    """Gives a worker's freed memory back to the system, so that idle workers stay small."""
+    """Gives a process's freed memory back to the system, so that idle workers and the driver stay small."""
     import ctypes
 
     import pyarrow as pa
@@ -144,6 +144,8 @@ def vector_sum(df: DataFrame, counts, size: int, chunks: int = 64):
 
     parts = df.mapInArrow(partial, "chunk int, sparse int, width int, body binary")
     out = np.zeros(step * chunks, np.uint64)
-    for row in parts.repartition("chunk").mapInArrow(add, "chunk int, body binary").collect():
+    # chunks are a few dozen, so few tasks hold them; they come to the driver one task's at a time
+    for row in parts.repartition(8, "chunk").mapInArrow(add, "chunk int, body binary").toLocalIterator():
         out[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(row.body, np.uint64)
+    trim()
     return out[:size]

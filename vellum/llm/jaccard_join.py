@@ -238,9 +238,10 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _block_pairs(most: int):
-    """Pairs that the rows of one pair of blocks propose: for each set the most promising partners of other components.
+    """Pairs that one pair of blocks proposes: for each two components the most promising pairs of their sets.
 
-    ``more`` tells that a set has further partners within the bound.
+    One link joins two components, so the sets of a large one need not all propose the same partner. ``more`` tells
+    that two components have further pairs within the bound.
     """
 
     def group(rows: pa.Table):
@@ -248,16 +249,23 @@ def _block_pairs(most: int):
         c, n, comp = (rows.column(k).to_numpy() for k in ("c", "n", "comp"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
         left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if part.max() else (np.arange(len(c)),) * 2
-        found: dict = {}
+        pairs, score = [], []
         for i in left.tolist():
             size = n[i] + n[right]
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
-            at = np.flatnonzero(ok)
-            for k in at[np.argsort(apart[at] / size[at], kind="stable")][:most].tolist():
-                x, y = int(c[i]), int(c[right[k]])
-                found[min(x, y), max(x, y)] = found.get((min(x, y), max(x, y)), False) or len(at) > most
-        return found
+            at = np.flatnonzero(ok & (c[right] > c[i]) if left is right else ok)
+            pairs.append(np.stack([np.full(len(at), i), right[at]]))
+            score.append(apart[at] / size[at])
+        x, y = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((c[y], c[x], np.concatenate(score) if score else np.empty(0), high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(x)))
+        best = np.arange(len(x)) - np.repeat(first, count) < most
+        x, y, more = c[x[best]], c[y[best]], np.repeat(count > most, count)[best]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
     def run(batches):
         held: list = []  # rows of the pair of blocks that isn't whole yet
@@ -270,17 +278,12 @@ def _block_pairs(most: int):
                 if e > s:
                     k = tuple(key[s].tolist())
                     if k != now and held:
-                        yield from out(group(pa.concat_tables(held)))
+                        yield group(pa.concat_tables(held))
                         held = []
                     now = k
                     held.append(t.slice(s, e - s))
         if held:
-            yield from out(group(pa.concat_tables(held)))
-
-    def out(found):
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(found.values()), pa.bool_())], ["a", "b", "more"])
+            yield group(pa.concat_tables(held))
 
     return run
 
@@ -345,6 +348,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are repeated in the result. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    common.trim()  # what was fitted before on the driver
     info = common.written(describe(docs, id_col, text_col))
     nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
@@ -392,3 +396,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
+#: Words, shingles, sizes, links of all pairs that share a shingle, and what can be reached by links.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n, list_sort(list(s)) AS whole FROM sets GROUP BY doc_id),
+classes AS (SELECT whole, min(doc_id) AS class_id FROM sizes GROUP BY whole),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, coalesce(c.class_id, d.doc_id) AS class_id
+FROM documents d JOIN least l ON l.x = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN classes c ON c.whole = z.whole
+"""

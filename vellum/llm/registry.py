@@ -15,4 +15,4 @@ QUERIES = {
     "op10_bpe": bpe.query,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}

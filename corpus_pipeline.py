@@ -43,11 +43,13 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages hold trained models and a tokenizer, which SQL can't express; tests hold operators, not stages, against brute force.
+#: The stages hold trained models and a tokenizer, which SQL can't express; tests/llm holds a run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage. An empty table gives none; null and letterless texts go in the first stage; rows
+    with null ids pass all stages; columns beyond doc_id and text go along and may have any names."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

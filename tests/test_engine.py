@@ -39,8 +39,9 @@ def test_last_does_not_parse(spark):
 
 
 def test_malformed_links(spark):
-    rows = [("a.md", "[x](a b.md)\n```\n[x](c d.md)\n```\n[ok](a%20b.md)\n")]
-    assert [(r.line, r.message) for r in validate.malformed_links(spark.createDataFrame(rows, "rel_path string, content string")).collect()] == [(1, "link 'a b.md' contains an unencoded space (use %20 or rename the file)")]
+    text = "---\nx: '[a](b c)'\n---\n[x](a b.md) `[n](o p)` [t](u \"v\")\n    ```\n[x](c d.md)\n```\n~~~\n[y](e\tf.md)\n[ok](a%20b.md)\n"
+    docs = resolve(tables.parse(_files(spark, [("a.md", text)])), schema(TYPES))
+    assert [(r.line, r.message.split("'")[1]) for r in validate.spaced_links(docs).collect()] == [(4, "a b.md"), (4, 'u "v"'), (9, "e\tf.md")]
 
 
 def test_walk(spark, tmp_path):
@@ -48,7 +49,89 @@ def test_walk(spark, tmp_path):
         os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
         (tmp_path / p).write_text("# x\n")
     (tmp_path / ".gitignore").write_text("skip/\n")
-    assert {(r.rel_path, r.content) for r in corpus.walk(spark, str(tmp_path)).collect()} == {(".dot/a.md", "# x\n"), ("b/c.md", "# x\n")}
+    for p in ("b/local.md", "b/keep.md", "d/b/local.md", "d/secret.md", "d/skip.md/e.md"):
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text("# y\n")
+    (tmp_path / "b" / ".gitignore").write_text("*.md\n!keep.md\n!c.md\n")
+    os.makedirs(tmp_path / ".git" / "info", exist_ok=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("secret.md\n")
+    (tmp_path / "d" / "bad.md").write_bytes(b"\xff\xfe")
+    assert {r.rel_path for r in corpus.walk(spark, str(tmp_path)).collect()} == {".dot/a.md", "b/c.md", "b/keep.md", "d/b/local.md", "d/skip.md/e.md"}
+
+
+def test_schema_folders(tmp_path):
+    from vellum.sources.schema import find_root, load_all, preset
+
+    for p in (".types/note.yaml", "sub/.types/task.yaml", "gone/.types/x.yaml", ".git/.types/y.yaml"):
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text("paths: ['*.md']\n")
+    (tmp_path / ".gitignore").write_text("gone/\n")
+    found = load_all(str(tmp_path), ".types")
+    assert {k: v.folder for k, v in found.items()} == {".": ".types", "sub": "sub/.types"}
+    assert find_root(str(tmp_path / "sub"), ".types") == str(tmp_path / "sub")
+    assert load_all(str(tmp_path / ".git"), ".none")["."].folder == "" and "title" in preset("journal")
+    with pytest.raises(ValueError, match="unknown preset 'zzz'"):
+        preset("zzz")
+
+
+def test_front_matter_that_cannot_be_read(spark):
+    docs = resolve(tables.parse(_files(spark, [("a.md", "---\nx: [\n---\n"), ("b.md", "text"), ("c.md", "---\nx: 1\n---\n"), ("notes/d.md", "---\n- x\n---\n")])), schema(TYPES))
+    found = sorted((r.rel_path, r.code, r.line, r.message.split(":")[0]) for r in validate.sizes_and_types(docs, schema(TYPES)).collect())
+    assert found == [("a.md", "UnknownType", 1, "frontmatter parse error"), ("b.md", "MissingFrontmatter", None, "document is missing frontmatter"), ("c.md", "MissingRequiredField", 1, "missing required field 'type (valid types"), ("notes/d.md", "UnknownType", 1, "frontmatter parse error")]
+    presets_alone = schema({}, True)
+    presets_alone.folder = ""
+    assert not validate.sizes_and_types(resolve(tables.parse(_files(spark, [("b.md", "text")])), presets_alone), presets_alone).count()
+
+
+def test_properties(spark):
+    s = schema({"n": "paths: ['*.md']\nstructure:\n  sections:\n    - {title: Flat, properties: {n: {type: integer, required: true}, on: {type: bool}, at: {type: date}, k: {type: enum, values: [a, b]}}}\n    - {title: '*', properties: {f: {type: float}}}\n"})
+    text = "---\nx: 1\n---\n## Flat\n\n- N: 5x\n- N: 18446744073709551615\n- On: YES\n- at: 2024-02-30\n- K: c\n\n## Other\n\n- one\n  - F: 1e5\n- two\n  - F: 1,5\n\n## Flat\n\n- a\n  - N: -1\n- b\n"
+    docs = resolve(tables.parse(_files(spark, [("a.md", text)])), s)
+    assert sorted((r.line, r.message) for r in validate.properties(docs, s).collect()) == [
+        (4, "field 'Flat/at': must be a valid date (got '2024-02-30')"), (4, "field 'Flat/k': must be one of: a, b (got 'c')"),
+        (12, "field 'Other/f': must be a number (got '1,5')"), (19, "missing required field 'Flat/n'"),
+    ]
+
+
+def test_managed_sections(spark):
+    from vellum.operators.fix import fix_document
+
+    definition = "paths: ['*.md']\nstructure:\n  strict_sections: false\n  sections:\n    - title: Rules\n      managed_content:\n        template: |\n          ## Rules\n\n          Be fair.\n\n          - one\n        migrate_from: [Old]\n"
+    s = schema({"n": definition})
+    bodies = {"same": "## Rules\n\nBe fair.\n\n- one\n", "more": "## Rules\n\nBe fair.\n\n- one\n- own\n\nMine.\n", "case": "## rules\n\nBe fair.\n\n- one\n", "other": "## Rules\n\nBe mean.\n\n- one\n- own\n", "old": "## Old\n\nx\n\n## A\n", "none": "## A\n"}
+    docs = resolve(tables.parse(_files(spark, [(f"{k}.md", "---\nx: 1\n---\n" + b) for k, b in bodies.items()])), s)
+    assert {r.rel_path for r in validate.managed_sections(docs, s).collect()} == {"case.md", "other.md", "old.md", "none.md"}
+    assert all(r.code != "ManagedSectionNeedsUpdate" or r.fixable for r in validate.check(docs, s).collect())
+    fixed = {k: fix_document("---\nx: 1\n---\n" + b, s.types["n"], None).split("---\n\n")[1] for k, b in bodies.items()}
+    assert fixed["same"] == bodies["same"] and fixed["more"] == bodies["more"] and fixed["none"] == "## A\n\n" + bodies["same"]
+    assert fixed["case"] == bodies["same"] and fixed["other"] == "## Rules\n\nBe fair.\n\n- one\n\n- own\n" and fixed["old"] == bodies["same"] + "\n## A\n"
+
+
+def test_sections_stay_in_place_unless_strict():
+    from vellum.operators.fix import fix_document
+
+    t = {"structure": {"strict_sections": False, "sections": [{"title": "A"}, {"title": "B"}]}}
+    text = "---\nx: 1\n---\n\n## B\n\n## A\n"
+    assert fix_document(text, t, None) == text and "## A\n\n## B" in fix_document(text, {"structure": {"sections": [{"title": "A"}, {"title": "B"}]}}, None)
+
+
+def test_revalidation_stream(spark, tmp_path):
+    from vellum.streaming.revalidate import revalidate
+
+    os.makedirs(tmp_path / "in")
+    state, got = {"bad": ["a.md", "b.md"]}, []
+    check = lambda: spark.createDataFrame([(p, 3, "wrong") for p in state["bad"]], "rel_path string, line int, message string")
+    changes = spark.readStream.schema("method string, path string").json(str(tmp_path / "in"))
+    q = revalidate(changes, check, lambda df, n: got.append({r.rel_path: [tuple(d) for d in r.diagnostics] for r in df.collect()}), f"file://{tmp_path}/state", str(tmp_path / "cp"))
+    try:
+        for n, bad in enumerate((["a.md", "b.md"], ["a.md"], [], ["c.md"])):
+            state["bad"] = bad
+            (tmp_path / "in" / f"{n}.json").write_text('{"method": "textDocument/didChange", "path": "a.md"}\n')
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert got == [{"a.md": [(2, "wrong")], "b.md": [(2, "wrong")]}, {"a.md": [(2, "wrong")], "b.md": []}, {"a.md": []}, {"c.md": [(2, "wrong")]}]
+    assert len(os.listdir(tmp_path / "state")) == 2
 
 
 def test_registered_queries_hold_against_sql(spark):
@@ -60,9 +143,9 @@ def test_registered_queries_hold_against_sql(spark):
     if not os.path.isdir(d):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("orders", "customer", "lineitem", "events", "documents"):
+    for t in ("orders", "customer", "lineitem", "events", "documents", "supplier"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name in ("q_property_eq", "q_grep_ci", "x_fields", "x_properties", "v_fields_customer", "v_size_warning", "f_sort_entries", "f_idempotent"):
+    for name in ("q_property_eq", "q_grep_ci", "x_fields", "x_properties", "v_fields_customer", "v_size_warning", "f_sort_entries", "f_idempotent", "v_sections", "v_intro", "v_properties", "v_managed", "v_malformed", "v_unreadable", "f_managed", "j_bfs_depth2", "agg_diagnostics", "x_body_text", "j_json", "r_types"):
         df = QUERIES[name](spark, d)
         cur = con.execute(ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
@@ -90,13 +173,13 @@ def test_queries_over_all_documents(spark):
         pytest.skip("no test tables")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{d}/documents.parquet'")
-    for name in ("x_body_text_all", "q_grep_ci_all", "r_types_all", "v_size_warning_all"):
+    for name in ("x_body_text", "q_grep_ci", "v_size_warning"):
         df = QUERIES[name](spark, d)
         cur = con.execute(ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
         assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall()), name
     raw = {f"documents/{i}.md": (t, lang) for i, t, lang in con.execute("select doc_id, text, lang from documents").fetchall()}
-    json = {r.rel_path: r for r in QUERIES["j_json_all"](spark, d).collect()}
+    json = {r.rel_path: r for r in QUERIES["j_json"](spark, d).collect()}
     assert {p: (Document(r.intro).blocks[0]["kind"], r.type, r.lang) for p, r in json.items()} == {p: ("paragraph", "prose", lang) for p, (_, lang) in raw.items()}
     from vellum.operators.tables import _parsed
 
@@ -196,5 +279,50 @@ def test_check_reports_links_schema_intro_and_fallback(spark):
         ("LinkTargetTypeMismatch", None, "link 'a.md' must target type 'u', got 't'"),
     }
     bad = schema({"t": "fields:\n  a: {type: odd}\n"})
+    bad.folder = ".types"
     docs = resolve(tables.parse(_files(spark, [("a.md", "# x\n")])), bad)
-    assert [(r.rel_path, r.line, r.message) for r in validate.check(docs, bad).collect()] == [(".typedown", 0, "schema error: t: type 't', field 'a': unknown type 'odd'")]
+    assert [(r.rel_path, r.line, r.message) for r in validate.check(docs, bad).collect()] == [(".types", 0, "schema error: t: type 't', field 'a': unknown type 'odd'")]
+
+
+def test_targets(spark, tmp_path):
+    import subprocess
+
+    from vellum.sources import targets
+
+    for p in ("a.md", "b/c.md", "b/d.txt", "e/f.md"):
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text(p)
+    root = str(tmp_path)
+    assert targets.tracked(spark, root) is None
+    with pytest.warns(UserWarning, match="only the named"):
+        got = targets.selected(spark, root, ["a.md", "b", "no.md", "b/d.txt", "a.md"])
+    assert sorted((r.rel_path, r.content, r.dir) for r in got.collect()) == [("a.md", "a.md", ""), ("a.md", "a.md", ""), ("b/c.md", "b/c.md", "b")]
+    assert targets.selected(spark, root, []).count() == 3
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    run("init")
+    assert targets.tracked(spark, root) is None
+    run("add", "a.md", "b")
+    run("commit", "-m", "x")
+    assert sorted(r.path for r in targets.tracked(spark, str(tmp_path / "b")).collect()) == ["../a.md", "c.md", "d.txt"]
+
+
+def test_sinks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import sinks
+    from vellum.streaming.revalidate import publications
+
+    (tmp_path / "x").mkdir()
+    formatted = spark.createDataFrame([("x/a.md", "new\r\n", True), ("x/b.md", "old", False)], "rel_path string, formatted string, changed boolean")
+    sinks.write_back(formatted, str(tmp_path))
+    assert os.listdir(tmp_path / "x") == ["a.md"] and (tmp_path / "x/a.md").read_bytes() == b"new\r\n"
+    diagnostics = spark.createDataFrame([("x/a.md", 3, "m", False), ("x/a.md", None, "n", True)], "rel_path string, line int, message string, fixable boolean")
+    assert tuple(sinks.summary(formatted, diagnostics).first()) == (2, 1, 1, "formatted 1 of 2 file(s)", 1)
+    sinks.json_lines(spark.createDataFrame([('{"a":[1]}',)], "json string"), f"file://{tmp_path}/j", pretty=True)
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/j").collect()] == ["{", '  "a": [', "    1", "  ]", "}"]
+    odd = "/r/a b+~*é%41.md"
+    row = spark.range(1).select(sinks.uri(F.lit(odd)).alias("u")).select("u", sinks.uri_path(F.col("u")).alias("p"), sinks.uri_path(F.lit("http://x")).alias("n")).first()
+    assert tuple(row) == ("file:///r/a%20b%2B~%2A%C3%A9%2541.md", odd, None)
+    sent = {r.rel_path: r.message for r in sinks.messages(publications(diagnostics.withColumn("rel_path", F.lit("gone.md")), diagnostics), "/r").collect()}
+    assert sent["gone.md"] == '{"jsonrpc":"2.0","method":"textDocument/publishDiagnostics","params":{"uri":"file:///r/gone.md","diagnostics":[]}}'
+    assert '"start":{"line":2,"character":0}' in sent["x/a.md"] and sent["x/a.md"].count('"severity":1') == 2

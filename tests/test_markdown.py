@@ -89,3 +89,40 @@ def test_schema_errors():
     assert schema({"a": "fields: {x: {type: enum}}"}).errors
     assert schema({"a": "paths: [x.md, x.md]"}).errors == ["path pattern error: duplicate path pattern 'x.md'"]
     assert "readme" in schema({}, presets=True).types
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("**a `x` b**", [("strong", [("text", "a "), ("code", "x"), ("text", " b")])]),
+        ("***x***", [("emphasis", [("strong", [("text", "x")])])]),
+        ("*a **b** c*", [("emphasis", [("text", "a "), ("strong", [("text", "b")]), ("text", " c")])]),
+        ("**a *b***", [("strong", [("text", "a "), ("emphasis", [("text", "b")])])]),
+        ("*a [b* c](u)", [("text", "*a "), ("link", [("text", "b* c")], "u")]),
+        ("a * b *c *", [("text", "a * b *c *")]),
+        ("snake_case_name _em_", [("text", "snake_case_name "), ("emphasis", [("text", "em")])]),
+        ("*foo**bar**baz*", [("emphasis", [("text", "foo"), ("strong", [("text", "bar")]), ("text", "baz")])]),
+        ("**foo*", [("text", "*"), ("emphasis", [("text", "foo")])]),
+        ("[a [b](c) d](e)", [("text", "[a "), ("link", [("text", "b")], "c"), ("text", " d](e)")]),
+        ("![i [b](c)](e)", [("image", [("text", "i "), ("link", [("text", "b")], "c")], "e")]),
+        ("[x][r] [R] [r][] [no]", [("link", [("text", "x")], "t"), ("text", " "), ("link", [("text", "R")], "t"), ("text", " "), ("link", [("text", "r")], "t"), ("text", " [no]")]),
+        ("`a` ``b ` c`` `open", [("code", "a"), ("text", " "), ("code", "b ` c"), ("text", " `open")]),
+        ("&amp; &copy; &x \\* <http://a.b> <b>t</b>", [("text", "& © &x * "), ("link", [("text", "http://a.b")], "http://a.b"), ("text", " t")]),
+    ],
+)
+def test_inlines(text, want):
+    assert M.parse_inlines(text, {"r": "t"}) == want
+
+
+@pytest.mark.parametrize("text", ["[" * 100_000, "*a " * 30_000, "*a* " * 20_000, "a**b" * 20_000, "](" * 30_000, "`" + "a`` " * 20_000, "<!--" * 20_000, "[a](b) " * 10_000, "[" * 20_000 + "a](b)" * 5_000, "_" * 50_000])
+def test_inlines_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    M.parse_inlines(text, {"r": "t"})
+    assert time.process_time() - began < 8
+
+
+def test_table_cells_know_definitions():
+    d = M.Document("| a |\n|---|\n| [x][r] |\n\n[r]: target.md\n")
+    assert [x[2] for b in d.blocks for x in M.block_links(b)] == ["target.md"] and M.block_text(d.blocks[0]) == ["a", "x"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import unicodedata
 
 import yaml
 
@@ -161,121 +162,190 @@ def parse_blocks(lines: list[str], first: int, defs: dict[str, str]) -> list[dic
     return out
 
 
-def _closing(s: str, i: int, a: str, b: str) -> int:
-    """Where the bracket that opens at i closes, or -1."""
-    depth = 0
-    while i < len(s):
-        if s[i] == "\\":
-            i += 1
-        elif s[i] == a:
-            depth += 1
-        elif s[i] == b:
-            depth -= 1
-            if not depth:
-                return i
-        i += 1
-    return -1
-
-
-_DESTINATION = re.compile(r"^\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)", re.S)
+_DESTINATION = re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)", re.S)
+_ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
+_REFERENCE = re.compile(r"\[([^\[\]]{0,999})\]")
+_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_URI = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]+:[^\s<>]*)>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_PLAIN_RUN = re.compile(r"[^\\\n`\[\]!<*_&]+")
+_TICKS = re.compile("`+")
+_STARS = re.compile(r"\*+|_+")
+
+
+class _Run:
+    """A run of * or _ that may open or close emphasis."""
+
+    __slots__ = ("sign", "left", "size", "opens", "closes")
+
+    def __init__(self, sign: str, size: int, before: str, after: str):
+        gap = lambda c: not c or c.isspace()
+        mark = lambda c: bool(c) and not c.isalnum() and not c.isspace() and unicodedata.category(c)[0] in "PS"
+        to_right = not gap(after) and (not mark(after) or gap(before) or mark(before))
+        to_left = not gap(before) and (not mark(before) or gap(after) or mark(after))
+        self.sign, self.left, self.size = sign, size, size
+        self.opens = to_right and (sign == "*" or not to_left or mark(before))
+        self.closes = to_left and (sign == "*" or not to_right or mark(after))
+
+
+def _emphasis(nodes: list) -> list[tuple]:
+    """Resolves runs among nodes, left to right, on a stack; what matches nothing is text."""
+    stack: list = []
+    open_at: list[int] = []  # places of runs on the stack
+    bottom: dict = {}  # below these places there is no opener for such a closer
+    for node in nodes:
+        if isinstance(node, _Run) and node.closes:
+            kind = (node.sign, node.opens, node.size % 3)
+            while node.left:
+                k = len(open_at) - 1
+                while k >= 0 and open_at[k] >= bottom.get(kind, 0):
+                    run = stack[open_at[k]]
+                    odd = (run.closes or node.opens) and (run.size + node.size) % 3 == 0 and (run.size % 3 or node.size % 3)
+                    if run.sign == node.sign and run.opens and not odd:
+                        break
+                    k -= 1
+                else:
+                    bottom[kind] = len(stack)
+                    break
+                at = open_at[k]
+                run, inner = stack[at], stack[at + 1 :]
+                n = 2 if run.left > 1 and node.left > 1 else 1
+                run.left -= n
+                node.left -= n
+                del open_at[k + 1 :]
+                del stack[at + 1 :]
+                if not run.left:
+                    stack.pop()
+                    open_at.pop()
+                stack.append(("strong" if n == 2 else "emphasis", _merged(inner)))
+                bottom = {x: min(y, len(stack)) for x, y in bottom.items()}
+            if not node.left:
+                continue
+        if isinstance(node, _Run) and node.opens:
+            open_at.append(len(stack))
+        stack.append(node)
+    return _merged(stack)
 
 
-def parse_inlines(s: str, defs: dict[str, str]) -> list[tuple]:
+def _merged(nodes: list) -> list[tuple]:
+    """Runs left over and neighbouring texts become one text."""
     out: list[tuple] = []
     text: list[str] = []
+    for x in nodes:
+        if isinstance(x, _Run):
+            text.append(x.sign * x.left)
+        elif x[0] == "text":
+            text.append(x[1])
+        else:
+            if text:
+                out.append(("text", "".join(text)))
+                text = []
+            out.append(x)
+    if text:
+        out.append(("text", "".join(text)))
+    return [x for x in out if x != ("text", "")]
 
-    def flush():
-        if text:
-            out.append(("text", html.unescape("".join(text))))
-            text.clear()
 
+def parse_inlines(s: str, defs: dict[str, str]) -> list[tuple]:
+    """Linear in the text: brackets are kept on a stack and emphasis is resolved when their contents are known."""
+    nodes: list = []
+    brackets: list[tuple[int, int, bool]] = []  # place among nodes, place in s, image or not
+    barred = 0  # brackets at lower places hold a link already, and links don't nest
+    unclosed: set[int] = set()  # lengths of code fences of which there is none further on
     i = 0
     while i < len(s):
+        if m := _PLAIN_RUN.match(s, i):
+            nodes.append(("text", m[0]))
+            i = m.end()
+            continue
         c = s[i]
-        if c == "\\" and i + 1 < len(s):
-            if s[i + 1] == "\n":  # a hard break
+        if c == "\\":
+            after = s[i + 1 : i + 2]
+            if after == "\n":  # a hard break
                 i += 2
-            elif s[i + 1] in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
-                text.append(html.escape(s[i + 1]) if s[i + 1] == "&" else s[i + 1])
+            elif after and after in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
+                nodes.append(("text", after))
                 i += 2
             else:
-                text.append(c)
+                nodes.append(("text", c))
                 i += 1
             continue
         if c == "\n":
-            hard = bool(text) and "".join(text).endswith("  ")
-            if text:
-                joined = "".join(text).rstrip(" ")
-                text.clear()
-                if joined:
-                    text.append(joined)
-            flush()
+            hard = False
+            if nodes and not isinstance(nodes[-1], _Run) and nodes[-1][0] == "text":
+                hard = nodes[-1][1].endswith("  ")
+                nodes[-1] = ("text", nodes[-1][1].rstrip(" "))
             if not hard:
-                out.append(("break",))
+                nodes.append(("break",))
             i += 1
             continue
         if c == "`":
-            n = len(s[i:]) - len(s[i:].lstrip("`"))
-            m = re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(s, i + n)
-            if m:
-                body = s[i + n : m.start()].replace("\n", " ")
+            m = _TICKS.match(s, i)
+            n = len(m[0])
+            end = None if n in unclosed else next((x for x in _TICKS.finditer(s, m.end()) if len(x[0]) == n), None)
+            if end:
+                body = s[m.end() : end.start()].replace("\n", " ")
                 if len(body) > 2 and body[0] == body[-1] == " " and body.strip():
                     body = body[1:-1]
-                flush()
-                out.append(("code", body))
-                i = m.end()
+                nodes.append(("code", body))
+                i = end.end()
             else:
-                text.append("`" * n)
-                i += n
+                unclosed.add(n)
+                nodes.append(("text", m[0]))
+                i = m.end()
             continue
-        if c == "[" or (c == "!" and s[i + 1 : i + 2] == "["):
-            image = c == "!"
-            start = i + image
-            end = _closing(s, start, "[", "]")
-            if end > 0:
-                label, rest, url, stop = s[start + 1 : end], s[end + 1 :], None, end + 1
-                if m := _DESTINATION.match(rest):
-                    url, stop = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", m[1] if m[1] is not None else m[2]), end + 1 + m.end()
-                else:
-                    m = re.match(r"^\[([^\]]*)\]", rest)
-                    key = " ".join((m[1] if m and m[1] else label).lower().split())
+        if c == "[" or s.startswith("![", i):
+            brackets.append((len(nodes), i + (c == "!"), c == "!"))
+            nodes.append(("text", "![" if c == "!" else "["))
+            i += 1 + (c == "!")
+            continue
+        if c == "]" and brackets:
+            at, start, image = brackets.pop()
+            url, stop = None, i + 1
+            if image or at >= barred:
+                if m := _DESTINATION.match(s, i + 1):
+                    url, stop = _ESCAPED.sub(r"\1", m[1] if m[1] is not None else m[2]), m.end()
+                elif defs and i - start <= 1000:
+                    m = _REFERENCE.match(s, i + 1)
+                    key = " ".join((m[1] if m and m[1] else s[start + 1 : i]).lower().split())
                     if key in defs:
-                        url, stop = defs[key], end + 1 + (m.end() if m else 0)
-                if url is not None:
-                    flush()
-                    out.append(("image" if image else "link", parse_inlines(label, defs), html.unescape(url)))
-                    i = stop
-                    continue
-            text.append(s[i : start + 1])
-            i = start + 1
+                        url, stop = defs[key], m.end() if m else i + 1
+            if url is None:
+                nodes.append(("text", c))
+            else:
+                inner = _emphasis(nodes[at + 1 :])
+                del nodes[at:]
+                nodes.append(("image" if image else "link", inner, html.unescape(url)))
+                if not image:
+                    barred = at
+            i = stop
             continue
         if c == "<":
-            if m := re.match(r"<([A-Za-z][A-Za-z0-9+.-]+:[^\s<>]*)>", s[i:]):
-                flush()
-                out.append(("link", [("text", m[1])], m[1]))
-                i += m.end()
+            if m := _URI.match(s, i):
+                nodes.append(("link", [("text", m[1])], m[1]))
+                i = m.end()
                 continue
-            if m := re.match(r"<(?:!--.*?-->|/?[A-Za-z][^<>]*>)", s[i:], re.S):
-                i += m.end()
+            if s.startswith("<!--", i):
+                end = -1 if 0 in unclosed else s.find("-->", i + 4)
+                if end >= 0:
+                    i = end + 3
+                    continue
+                unclosed.add(0)
+            elif m := _TAG.match(s, i):
+                i = m.end()
                 continue
         if c in "*_":
-            n = 2 if s[i : i + 2] == c * 2 else 1
-            before = s[i - 1 : i]
-            if s[i + n : i + n + 1].strip() and not (c == "_" and before.isalnum()):
-                tail = r"(?![A-Za-z0-9])" if c == "_" else ""
-                m = re.compile(rf"(?<![\s\\{re.escape(c)}]){re.escape(c) * n}(?!{re.escape(c)}){tail}", re.S).search(s, i + n)
-                if m and "`" not in s[i:m.start()]:
-                    flush()
-                    out.append(("strong" if n == 2 else "emphasis", parse_inlines(s[i + n : m.start()], defs)))
-                    i = m.end()
-                    continue
-            text.append(c * n)
-            i += n
+            m = _STARS.match(s, i)
+            nodes.append(_Run(c, len(m[0]), s[i - 1 : i], s[m.end() : m.end() + 1]))
+            i = m.end()
+            continue
+        if c == "&" and (m := _ENTITY.match(s, i)):
+            nodes.append(("text", html.unescape(m[0])))
+            i = m.end()
             continue
-        text.append(c)
+        nodes.append(("text", c))
         i += 1
-    flush()
-    return out
+    return _emphasis(nodes)
 
 
 def plain(inlines: list[tuple]) -> str:
@@ -343,6 +413,8 @@ class Document:
         for b in blocks:
             if "raw" in b:
                 b["inlines"] = parse_inlines(b["raw"], self.defs)
+            if b["kind"] == "table":
+                b["cells"] = [parse_inlines(c, self.defs) for row in [b["header"], *b["rows"]] for c in row]
             for item in b.get("items", ()):
                 self._fill(item["blocks"])
                 head = item["blocks"][0] if item["blocks"] and item["blocks"][0]["kind"] == "paragraph" else None
@@ -366,7 +438,7 @@ def block_text(b: dict) -> list[str]:
     if k == "quote":
         return [t for c in b["blocks"] for t in block_text(c)]
     if k == "table":
-        return [plain(parse_inlines(c, {})) for row in [b["header"], *b["rows"]] for c in row]
+        return [plain(c) for c in b["cells"]]
     return []
 
 
@@ -385,12 +457,12 @@ def block_links(b: dict, line: int | None = None):
         for c in b["blocks"]:
             yield from block_links(c, 0)
     elif k == "table":
-        for row in [b["header"], *b["rows"]]:
-            for c in row:
-                yield from ((line, *x) for x in inline_links(parse_inlines(c, {})))
+        for c in b["cells"]:
+            yield from ((line, *x) for x in inline_links(c))
 
 
-_SPACED = re.compile(r"\[([^\]]*)\]\(([^)<>\"']*[ \t][^)<>\"']*)\)")
+#: Fixed value: what counts as a link with an unencoded space.
+_SPACED = re.compile(r"\[([^\]]+)\]\(([^)]*[ \t][^)]*)\)")
 
 
 def malformed_links(content: str):
@@ -398,7 +470,7 @@ def malformed_links(content: str):
     _, body, skipped = split_front_matter(content)
     fenced = False
     for n, line in enumerate(body.split("\n"), skipped + 1):
-        if re.match(r" {0,3}(```|~~~)", line):
+        if line.lstrip().startswith("```"):
             fenced = not fenced
         elif not fenced:
             yield from ((n, m[2]) for m in _SPACED.finditer(line) if line.count("`", 0, m.start()) % 2 == 0)

@@ -21,6 +21,32 @@ def _name(section: list[dict]) -> str:
     return M.plain(section[0]["inlines"])
 
 
+def _managed(parts: list[list[dict]], name: str, managed: dict) -> list[list[dict]]:
+    """Sections with a managed one brought up to its template: in place of its older names, or at the end.
+
+    What its author put behind the template's blocks, or behind the items of its last list, is kept.
+    """
+    want = M.Document(managed["template"]).blocks
+    lower = [_name(p).lower() for p in parts]
+    old = [n.lower() for n in managed.get("migrate_from") or []]
+    at = [k for k, n in enumerate(lower) if n == name.lower()][:1]
+    legacy = [] if at else [k for k, n in enumerate(lower) if n in old]
+    if not at and not legacy:
+        return [*parts, want]
+    first, last = (at or legacy)[0], (at or legacy)[-1]
+    have = [b for p in parts[first : last + 1] for b in p]
+    own = have[len(want) :]
+    end, held = want[-1], have[len(want) - 1] if len(have) >= len(want) else {}
+    if end["kind"] == "list" == held.get("kind") and end["ordered"] == held["ordered"] and len(held["items"]) > len(end["items"]):
+        more = held["items"][len(end["items"]) :]
+        if not legacy and [M.render_block(b) for b in (*have[: len(want) - 1], {**held, "items": held["items"][: len(end["items"])]})] == [M.render_block(b) for b in want]:
+            return parts
+        own = [*own, {"kind": "list", "ordered": held["ordered"], "items": more, "line": 0}]
+    elif not legacy and [M.render_block(b) for b in have[: len(want)]] == [M.render_block(b) for b in want]:
+        return parts
+    return [*parts[:first], [*want, *own], *parts[last + 1 :]]
+
+
 def fix_document(content: str, t: dict, title: str | None) -> str:
     """The text with all fixes of its type: order first, then the rest, so that no fix is lost."""
     doc = M.Document(content)
@@ -45,7 +71,7 @@ def fix_document(content: str, t: dict, title: str | None) -> str:
             parts = parts[:first] + [p for _, own in entries for p in own]
         elif defs:
             known = [defs[_name(p)][0] for p in parts if _name(p) in defs]
-            if known != sorted(known):
+            if st.get("strict_sections", True) and known != sorted(known):
                 parts = sorted(parts, key=lambda p: defs[_name(p)][0] if _name(p) in defs else len(defs))
             kept = []
             for p in parts:
@@ -61,8 +87,8 @@ def fix_document(content: str, t: dict, title: str | None) -> str:
                 kept.append([p[0], *body])
             parts = kept
             for name, (_, d) in defs.items():
-                if (managed := d.get("managed_content")) and not any(_name(p).lower() == name.lower() for p in parts):
-                    parts.append(M.Document(managed["template"]).blocks)
+                if managed := d.get("managed_content"):
+                    parts = _managed(parts, name, managed)
         doc.blocks = head + [b for p in parts for b in p]
         if title:
             h1 = next((b for b in doc.blocks if b["kind"] == "heading" and b["level"] == 1), None)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vellum.operators import tables
 from vellum.sources.schema import Schema
+from vellum.sources.store import materialise
 
 
 def _object(pairs: list[tuple[str, object, object]]):
@@ -129,12 +130,13 @@ def reachable(docs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     One frontier join for each level: links ⋈ frontier, semi-joined with what exists, anti-joined with what was seen.
     """
-    edges = tables.links(docs).where("NOT is_image AND target LIKE '%.md'").select("rel_path", "target").distinct()
+    edges = materialise(tables.links(docs).where("NOT is_image AND target LIKE '%.md'").select("rel_path", "target").distinct())
     there = docs.select(F.col("rel_path").alias("target"))
-    seen = seeds.select("rel_path").distinct().withColumn("depth", F.lit(0))
+    seen = materialise(seeds.select("rel_path").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for k in range(1, depth + 1):
         step = edges.join(frontier.select("rel_path"), "rel_path").select("target").distinct().join(there, "target", "left_semi")
         frontier = step.join(seen.select(F.col("rel_path").alias("target")), "target", "left_anti").select(F.col("target").alias("rel_path"), F.lit(k).alias("depth"))
+        frontier = materialise(frontier)  # or each level would work out all levels before it again
         seen = seen.union(frontier)
     return seen

@@ -65,7 +65,10 @@ class Query:
         return replace(self, last_=n)
 
     def matches(self, columns: tuple[str, ...] = ()) -> DataFrame:
-        """Matching documents, newest first. Contents are parsed only for predicates and ``columns`` that need it."""
+        """Matching documents. Contents are parsed only for predicates and ``columns`` that need it.
+
+        With ``last`` they come newest first; without it no order is paid for (sort by ``newest`` where it is shown).
+        """
         rows = with_path_type(self.corpus, self.schemas)
         if self.glob is not None:
             rows = rows.where(F.col("basename").rlike(glob_to_regex(self.glob, separator=False)))
@@ -79,8 +82,7 @@ class Query:
         newest = (F.col("file_date").desc_nulls_last(), F.col("basename").desc(), F.col("rel_path"))
 
         def cut(df: DataFrame) -> DataFrame:
-            df = df.orderBy(*newest)
-            return df if self.last_ is None else df.limit(self.last_)
+            return df if self.last_ is None else df.orderBy(*newest).limit(self.last_)
 
         if not needs and not self.type_name and self.days_ is None:
             rows = cut(rows)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.functions.columns import ENTRY_HEADING, entry_key, month_title, parse_date, parse_datetime, template_regex
 from vellum.operators import tables
-from vellum.sources.schema import SCHEMA_DIR, Schema
+from vellum.functions.markdown import Document, render_block
+from vellum.sources.schema import Schema
 
 FIXABLE = {"MissingH1", "H1Mismatch", "SectionOutOfOrder", "SectionsOutOfOrder", "SectionNotBullets", "WrongListType", "SectionNeedsIntro", "ManagedSectionNeedsUpdate", "EntriesOutOfOrder", "EmptyOptionalSection"}
 
@@ -191,6 +193,90 @@ def sections(docs: DataFrame, schema: Schema) -> DataFrame:
     return _union(docs, out)
 
 
+def managed_sections(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Managed sections that are missing, go by an older name, or differ from their template.
+
+    A section's rendered blocks are compared with the template's; the last list may have more items than there.
+    """
+    out = []
+    for name, t in schema.types.items():
+        own = docs.where((F.col("doc_type") == name) & F.col("fm_present"))
+        for d in (t.get("structure") or {}).get("sections") or []:
+            if not d.get("managed_content"):
+                continue
+            blocks = Document(d["managed_content"]["template"]).blocks
+            want = ["\n".join(render_block(b)) for b in blocks]
+            old = [n.lower() for n in d["managed_content"].get("migrate_from") or []]
+            h2 = lambda test: F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2) & test(b))
+            rows = own.withColumn("__at", F.get(h2(lambda b: F.lower(b.text) == d["title"].lower()), F.lit(0)).idx)  # noqa: B023
+            later = F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2) & (b.idx > F.col("__at")))
+            rows = rows.withColumn("__end", F.coalesce(F.get(later, F.lit(0)).idx, F.size("blocks")))
+            rows = rows.withColumn("__have", F.transform(F.filter("blocks", lambda b: (b.idx >= F.col("__at")) & (b.idx < F.col("__end"))), lambda b: b.md))
+            last = F.get("__have", F.lit(len(want) - 1))
+            same = F.slice("__have", 1, len(want) - 1) == F.array(*map(F.lit, want[:-1])) if len(want) > 1 else F.lit(True)
+            mark = f"{len(blocks[-1]['items']) + 1}. " if blocks[-1].get("ordered") else "- "
+            ends = (last == want[-1]) | (last.startswith(want[-1] + "\n" + mark) if blocks[-1]["kind"] == "list" else F.lit(False))
+            bad = rows.where(F.col("__at").isNull() | ~F.coalesce(same & ends, F.lit(False)))
+            out.append(_out(bad, "ManagedSectionNeedsUpdate", F.lit("managed section needs to be updated")))
+    return _union(docs, out)
+
+
+def _property(value: Column, d: dict) -> Column:
+    """The complaint about one property's text, or null."""
+    got = lambda what: F.concat(F.lit(f"must be {what} (got '"), value, F.lit("')"))
+    t = d["type"]
+    if t == "integer":
+        number = value.try_cast("decimal(38,0)")
+        fits = value.rlike("^[+-]?[0-9]+$") & number.between(Decimal(-(2**63)), Decimal(2**64 - 1))
+        return F.when(~F.coalesce(fits, F.lit(False)), got("an integer"))
+    if t == "float":
+        return F.when(~value.rlike(r"(?i)^[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"), got("a number"))
+    if t == "bool":
+        return F.when(~F.lower(value).isin("true", "false", "yes", "no"), got("a boolean"))
+    if t in ("date", "datetime"):
+        return F.when((parse_date if t == "date" else parse_datetime)(value).isNull(), got(f"a valid {t}"))
+    if t == "enum" and d.get("values"):
+        allowed = [str(v) for v in d["values"]]
+        return F.when(~value.isin(*allowed), got(f"one of: {', '.join(allowed)}"))
+    if t == "list":
+        return F.lit("list type not supported for properties")
+    return F.lit(None).cast("string")
+
+
+def properties(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Properties of items by their Key: Value sub-items, or of a section whose items are all such lines themselves.
+
+    Of a repeated key the last value counts. Rows are on the section's heading; a group is one section's items.
+    """
+    out = []
+    for name, t in schema.types.items():
+        defs = (t.get("structure") or {}).get("sections") or []
+        for d in defs:
+            declared = d.get("properties") or {}
+            if not declared or d.get("managed_content"):
+                continue
+            own = docs.where((F.col("doc_type") == name) & F.col("fm_present"))
+            heads = F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2) & _falls_to(b.text, d, defs))  # noqa: B023
+            rows = own.select("rel_path", "blocks", "items", F.explode(heads).alias("h"))
+            later = F.filter("blocks", lambda b: (b.kind == "heading") & (b.level <= 2) & (b.idx > F.col("h.idx")))
+            rows = rows.withColumn("end", F.coalesce(F.get(later, F.lit(0)).idx, F.size("blocks")))
+            rows = rows.withColumn("inside", F.filter("items", lambda x: (x.block_idx > F.col("h.idx")) & (x.block_idx < F.col("end"))))
+            rows = rows.withColumn("top", F.filter("inside", lambda x: x.parent.isNull()))
+            flat = (F.size("top") > 0) & F.forall("top", lambda x: ~x.has_children & F.contains(x.text, F.lit(": ")))
+            pair = lambda x: F.struct(F.lower(F.trim(F.substring_index(x.text, ": ", 1))).alias("k"), F.trim(F.substring(x.text, F.instr(x.text, ": ") + 2, F.length(x.text))).alias("v"))
+            sub = lambda x: F.transform(F.filter("inside", lambda y: (y.parent == x.item_id) & (y.depth == 1) & F.contains(y.text, F.lit(": "))), pair)
+            each = F.when(flat, F.array(F.transform("top", pair))).otherwise(F.transform("top", sub))
+            rows = rows.select("rel_path", F.col("h.line").alias("line"), F.col("h.text").alias("section"), F.explode(each).alias("pairs"))
+            for key, p in declared.items():
+                hit = F.filter("pairs", lambda x: x.k == key)  # noqa: B023
+                at = rows.withColumn("__value", F.when(F.size(hit) > 0, F.element_at(hit, -1).v))
+                bad = at.where("__value IS NOT NULL").withColumn("bad", _property(F.col("__value"), p)).where("bad IS NOT NULL")
+                out.append(_out(bad, "InvalidFieldType", F.concat(F.lit("field '"), "section", F.lit(f"/{key}': "), "bad"), F.col("line")))
+                if p.get("required"):
+                    out.append(_out(at.where("__value IS NULL"), "MissingRequiredField", F.concat(F.lit("missing required field '"), "section", F.lit(f"/{key}'")), F.col("line")))
+    return _union(docs, out)
+
+
 def broken_links(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Local links whose target is neither a document nor a known path: an anti join."""
     there = docs.select(F.col("rel_path").alias("target"))
@@ -224,16 +310,6 @@ def section_links(docs: DataFrame, schema: Schema) -> DataFrame:
     return _union(docs, out)
 
 
-def malformed_links(corpus: DataFrame) -> DataFrame:
-    """Links with an unencoded space, outside fences and code spans; by source line."""
-    lines = corpus.select("rel_path", F.posexplode(F.split("content", "\n")).alias("i", "s"))
-    own = W.partitionBy("rel_path").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    fence = F.sum(F.col("s").rlike("^ {0,3}(```|~~~)").cast("int")).over(own)
-    lines = lines.withColumn("f", fence).where("f % 2 = 0")
-    hits = lines.where(F.contains("s", F.lit("]("))).select("rel_path", "i", F.explode(F.regexp_extract_all("s", F.lit(r"(?<![`])\[([^\]]*)\]\(([^)<>\"']* [^)<>\"']*)\)"), F.lit(2))).alias("url"))
-    return _out(hits.where("url LIKE '% %'"), "MalformedLink", F.concat(F.lit("link '"), "url", F.lit("' contains an unencoded space (use %20 or rename the file)")), F.col("i") + 1)
-
-
 def sizes_and_types(docs: DataFrame, schema: Schema) -> DataFrame:
     out = []
     for name, t in schema.types.items():
@@ -243,28 +319,35 @@ def sizes_and_types(docs: DataFrame, schema: Schema) -> DataFrame:
     known = ", ".join(sorted(schema.types))
     out.append(_out(docs.where("resolution = 'unknown' AND fm_type IS NOT NULL"), "UnknownType", F.concat(F.lit("unknown type '"), "fm_type", F.lit(f"' (valid types: {known})")), F.lit(1)))
     out.append(_out(docs.where("resolution = 'conflict'"), "UnknownType", F.concat(F.lit("file matches path patterns from multiple types: "), F.array_join("path_types", ", ")), F.lit(0)))
-    out.append(_out(docs.where("NOT fm_present AND resolution = 'explicit'"), "MissingFrontmatter", F.lit("document is missing frontmatter")))
+    unreadable = F.col("fm_error").isNotNull() & F.col("resolution").isin("unknown", "path")
+    if schema.folder and schema.types:  # presets alone don't cover files that none of them matches
+        bare = docs.where("NOT fm_present AND resolution = 'unknown'").where(~unreadable)
+        out.append(_out(bare, "MissingFrontmatter", F.lit("document is missing frontmatter")))
+        out.append(_out(docs.where("fm_present AND fm_type IS NULL AND resolution = 'unknown'"), "MissingRequiredField", F.lit(f"missing required field 'type (valid types: {known})'"), F.lit(1)))
+        out.append(_out(docs.where(unreadable), "UnknownType", F.concat(F.lit("frontmatter parse error: "), "fm_error"), F.lit(1)))
+    else:
+        out.append(_out(docs.where(unreadable & (F.col("resolution") == "path")), "UnknownType", F.concat(F.lit("frontmatter parse error: "), "fm_error"), F.lit(1)))
     required = [n for n, t in schema.types.items() if any(d.get("required") for d in (t.get("fields") or {}).values())]
-    bare = docs.where("NOT fm_present AND resolution = 'path'").where(F.col("doc_type").isin(*required) if required else F.lit(False))
+    bare = docs.where("NOT fm_present AND resolution = 'path'").where(~unreadable).where(F.col("doc_type").isin(*required) if required else F.lit(False))
     out.append(_out(bare, "MissingFrontmatter", F.concat(F.lit("file matched type '"), "doc_type", F.lit("' by path but is missing required frontmatter fields"))))
     return _union(docs, out)
 
 
 def spaced_links(docs: DataFrame) -> DataFrame:
-    """``malformed_links`` of parsed documents, front matter left out; documents without types opted out of it."""
+    """Links with an unencoded space, outside front matter, fences and code spans; documents may opt out of types."""
     hits = docs.where("resolution <> 'opted_out'").select("rel_path", F.explode("malformed").alias("x")).select("rel_path", "x.*")
     return _out(hits, "MalformedLink", F.concat(F.lit("link '"), "url", F.lit("' contains an unencoded space (use %20 or rename the file)")), F.col("line"))
 
 
 def schema_errors(docs: DataFrame, schema: Schema) -> DataFrame:
     """What is wrong with the schema itself, on its folder."""
-    rows = [(SCHEMA_DIR, "UnknownType", 0, e, False) for e in schema.errors]
+    rows = [(schema.folder, "UnknownType", 0, e, False) for e in schema.errors]
     return docs.sparkSession.createDataFrame(rows, "rel_path string, code string, line int, message string, fixable boolean")
 
 
 def check(docs: DataFrame, schema: Schema, known: DataFrame | None = None) -> DataFrame:
     """All diagnostics of resolved documents. Persist or write ``docs`` before: every rule reads it."""
-    return _union(docs, [schema_errors(docs, schema), sizes_and_types(docs, schema), fields(docs, schema), titles(docs, schema), intros(docs, schema), date_headings(docs, schema), sections(docs, schema), broken_links(docs, known), section_links(docs, schema), spaced_links(docs)])
+    return _union(docs, [schema_errors(docs, schema), sizes_and_types(docs, schema), fields(docs, schema), titles(docs, schema), intros(docs, schema), date_headings(docs, schema), sections(docs, schema), managed_sections(docs, schema), properties(docs, schema), broken_links(docs, known), section_links(docs, schema), spaced_links(docs)])
 
 
 def report(diagnostics: DataFrame) -> DataFrame:

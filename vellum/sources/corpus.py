@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,59 +18,77 @@ def with_path_columns(files: DataFrame) -> DataFrame:
     return files.withColumns({"dir": folder, "basename": base, "stem": F.regexp_replace(base, r"\.md$", ""), "parent_name": F.substring_index(folder, "/", -1), "file_date": filename_date(base)})
 
 
-def _ignored(root: str) -> list[tuple[str, bool]]:
-    """(pattern, negated) of the root's ignore files, as regular expressions of relative paths."""
-    out = []
-    for name in (".gitignore", ".ignore"):
+class Ignored:
+    """Whether paths below a root are ignored, by .git/info/exclude and the ignore files of each folder entered.
+
+    Later rules win, and those of deeper folders over others; a folder's rules hold for what lies in it alone.
+    """
+
+    def __init__(self, root: str):
+        self.root = root
+        self.rules: dict[str, list] = {"": self._read(os.path.join(root, ".git", "info", "exclude"))}
+
+    @staticmethod
+    def _read(path: str) -> list[tuple]:
+        """(pattern, negated, for folders alone) of each line."""
+        out = []
         try:
-            with open(os.path.join(root, name), encoding="utf-8") as f:
+            with open(path, encoding="utf-8") as f:
                 lines = f.read().split("\n")
         except OSError:
-            continue
+            return out
         for line in lines:
             line = line.rstrip()
             if line and not line.startswith("#"):
-                no, line = line.startswith("!"), line.lstrip("!")
+                no, line = line.startswith("!"), line.removeprefix("!")
                 body = line.rstrip("/")
-                body = body.lstrip("/") if "/" in body else "**/" + body
-                out.append((glob_to_regex(body)[:-1] + "(?:/.*)?$", no))
-    return out
+                anchored = body.lstrip("/") if "/" in body else "**/" + body
+                out.append((re.compile(glob_to_regex(anchored)), no, line.endswith("/")))
+        return out
+
+    def enter(self, folder: str) -> None:
+        """Reads the ignore files of a folder given relative to the root."""
+        own = [r for name in (".gitignore", ".ignore") for r in self._read(os.path.join(self.root, folder, name))]
+        if own:
+            key = "" if folder == "." else folder + "/"
+            self.rules[key] = self.rules.get(key, []) + own
+
+    def __call__(self, rel: str, is_folder: bool) -> bool:
+        out = False
+        for base in sorted((b for b in self.rules if rel.startswith(b)), key=len):
+            for pattern, no, folders in self.rules[base]:
+                if (is_folder or not folders) and pattern.match(rel[len(base) :]):
+                    out = not no
+        return out
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """All *.md files of a tree, dot folders included, .git and ignored paths left out: (rel_path, content).
 
-    Only paths are listed on the driver; contents are read on the executors, from a file system that all share.
+    Only paths are listed on the driver; contents are read on the executors, from a file system that all share. Files
+    that can't be read are left out.
     """
-    import re
-
-    rules = [(re.compile(p), no) for p, no in _ignored(root)]
-
-    def dropped(rel: str) -> bool:
-        out = False
-        for p, no in rules:
-            if p.match(rel):
-                out = not no
-        return out
-
-    found = []
+    ignored, found = Ignored(root), []
     for folder, dirs, names in os.walk(root):
         rel = os.path.relpath(folder, root)
-        dirs[:] = sorted(d for d in dirs if d != ".git" and not dropped(os.path.normpath(os.path.join(rel, d))))
-        found += [(os.path.normpath(os.path.join(rel, n)),) for n in sorted(names) if n.endswith(".md") and len(n) > 3 and not dropped(os.path.normpath(os.path.join(rel, n)))]
+        ignored.enter(rel)
+        below = lambda n: os.path.normpath(os.path.join(rel, n))  # noqa: B023, E731
+        dirs[:] = sorted(d for d in dirs if d != ".git" and not ignored(below(d), True))
+        found += [(below(n),) for n in sorted(names) if n.endswith(".md") and len(n) > 3 and not ignored(below(n), False)]
 
     def read(batches):
         import pyarrow as pa
 
         for b in batches:
-            paths, texts = b.column(0).to_pylist(), []
-            for p in paths:
+            paths, texts = [], []
+            for p in b.column(0).to_pylist():
                 try:
                     with open(os.path.join(root, p), encoding="utf-8") as f:
                         texts.append(f.read())
+                    paths.append(p)
                 except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["rel_path", "content"])
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["rel_path", "content"])
 
     return with_path_columns(spark.createDataFrame(found, "rel_path string").mapInArrow(read, "rel_path string, content string"))
 
@@ -108,6 +127,23 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_path_columns(c.select(F.concat(F.lit("customers/"), key, F.lit(".md")).alias("rel_path"), F.concat(front, F.lit("# "), title, F.lit("\n\n## Orders\n\n"), F.coalesce("back", F.lit("")), F.lit("\n")).alias("content")))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suppliers/<key>.md with faults by key: sections that are missing, strange or out of order, bad properties, lists
+    of the wrong kind, links with spaces, front matter that can't be read, a managed section in its states."""
+    t, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    each = lambda n: F.col("s_suppkey") % n == 0
+    front = F.when(each(23), F.lit("---\ntype: [a\n---\n")).otherwise(F.lit("---\ntype: supplier\n---\n"))
+    intro = F.when(each(2), F.lit("- about\n\n")).otherwise(F.lit("Supplies parts.\n\n"))
+    facts = F.concat(F.lit("## Facts\n\n"), F.when(each(6), F.lit("")).otherwise(F.concat(F.lit("- Code: "), key, F.lit("\n"))), F.lit("- Balance: "), F.when(each(5), F.lit("none")).otherwise(F.round("s_acctbal").cast("int").cast("string")), F.lit("\n\n"))
+    note = F.when(each(3), F.lit("1. ordered\n\n")).when(each(7), F.lit("Some **words `here`**.\n\n")).otherwise(F.lit("- point\n\n"))
+    notes = F.concat(F.lit("## Notes\n\n"), note, F.when(each(4), F.lit("- [far](a b.md)\n\n")).otherwise(""))
+    extra = F.when(each(11), F.lit("## Extra\n\n- x\n\n")).otherwise("")
+    rules = F.when(each(19), F.lit("")).when(each(9), F.lit("## Old Rules\n\n- be fair\n")).when(each(8), F.lit("## Rules\n\n- be mean\n")).when(each(10), F.lit("## Rules\n\n- be fair\n- own rule\n")).otherwise(F.lit("## Rules\n\n- be fair\n"))
+    body = F.when(each(17), notes).when(each(13), F.concat(notes, facts)).otherwise(F.concat(facts, notes))
+    text = F.concat(front, F.lit("# "), "s_name", F.lit("\n\n"), intro, body, extra, rules)
+    return with_path_columns(t.select(F.concat(F.lit("suppliers/"), key, F.lit(".md")).alias("rel_path"), text.alias("content")))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log/<user>/2024-01.md without front matter: date headings, unsorted for each third user."""
     e = table(spark, sf_dir, "events").withColumn("k", F.when(F.col("user_id") % 3 == 0, F.col("event_id")).otherwise(F.unix_micros(F.col("ts").cast("timestamp"))))
@@ -116,7 +152,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_path_columns(rows.select(F.concat(F.lit("log/"), F.col("user_id").cast("string"), F.lit("/2024-01.md")).alias("rel_path"), F.concat(F.lit("---\nuser: "), F.col("user_id").cast("string"), F.lit("\n---\n# January 2024\n\n"), "body", F.lit("\n")).alias("content")))
 
 
-#: Texts without these characters are one paragraph as they stand.
+#: Characters that are escaped.
 MARKED = r"[*&|!#_<>\[\]\\`~]"
 
 
@@ -126,14 +162,6 @@ def _prose_file(d: DataFrame, body) -> DataFrame:
     return with_path_columns(d.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.concat(front, body, F.lit("\n")).alias("content")))
 
 
-def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents/<id>.md: source and language in front matter, the text as a paragraph; texts without markup alone.
-
-    The SQL of the queries over it is as narrow; ``documents`` leaves nothing out.
-    """
-    return _prose_file(table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(MARKED)), F.col("text"))
-
-
 #: Texts whose lines all begin with a letter and end without a space are one paragraph once their markup is escaped.
 LINES = r"^\p{L}([^\n\r]*\S)?(\n\p{L}([^\n\r]*\S)?)*$(?!\n)"
 

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.functions.markdown import load_yaml
 
-SCHEMA_DIR = ".typedown"  # fixed value: the folder's name is part of the on-disk format
-
 PRESETS = {
     "agent": "paths: ['.claude/agents/*.md']\nfields:\n  name: {type: string, required: true}\n  description: {type: string, required: true}\n",
     "agents": "paths: ['**/AGENTS.md']\nstructure:\n  size_warning: 4000\n",
@@ -27,10 +25,15 @@ STRUCTURE_KEYS = {"title", "intro", "sections", "strict_sections", "size_warning
 
 @dataclass
 class Schema:
-    """Types by name, each a mapping with paths, fields and structure; errors keep their messages."""
+    """Types by name, each a mapping with paths, fields and structure; errors keep their messages.
+
+    ``folder``: where the files lie that they were read from; empty if they are presets alone, which cover only files
+    that a pattern matches.
+    """
 
     types: dict = field(default_factory=dict)
     errors: list = field(default_factory=list)
+    folder: str = "schema"
 
     def paths(self) -> list[tuple[str, str]]:
         return [(name, p) for name, t in self.types.items() for p in t.get("paths") or []]
@@ -80,15 +83,28 @@ def load(folder: str, presets: bool = True) -> Schema:
     return schema(texts, presets)
 
 
-def load_all(root: str) -> dict[str, Schema]:
-    """Schemas by the folder that they cover (relative); presets alone at the root if there is no schema folder."""
-    out = {os.path.normpath(os.path.relpath(d, root)): load(os.path.join(d, SCHEMA_DIR)) for d, dirs, _ in os.walk(root) if SCHEMA_DIR in dirs}
-    return out or {".": schema({}, True)}
+def load_all(root: str, folder: str) -> dict[str, Schema]:
+    """Schemas by what they cover, relative to the root: each folder called ``folder``, outside .git and what the
+    tree's ignore files leave out; presets alone at the root if there is none."""
+    from vellum.sources.corpus import Ignored
+
+    ignored, out = Ignored(root), {}
+    for d, dirs, _ in os.walk(root):
+        rel = os.path.normpath(os.path.relpath(d, root))
+        ignored.enter(rel)
+        if folder in dirs:
+            out[rel] = load(os.path.join(d, folder))
+            out[rel].folder = os.path.normpath(os.path.join(rel, folder))
+        dirs[:] = sorted(n for n in dirs if n not in (".git", folder) and not ignored(os.path.normpath(os.path.join(rel, n)), True))
+    if not out:
+        out["."] = schema({}, True)
+        out["."].folder = ""
+    return out
 
 
-def find_root(start: str) -> str:
+def find_root(start: str, folder: str) -> str:
     """The nearest folder above that holds a schema folder, else a .git folder, else the start."""
-    for name in (SCHEMA_DIR, ".git"):
+    for name in (folder, ".git"):
         at = os.path.abspath(start)
         while True:
             if os.path.isdir(os.path.join(at, name)):
@@ -99,5 +115,12 @@ def find_root(start: str) -> str:
     return os.path.abspath(start)
 
 
+def preset(name: str) -> str:
+    """The YAML text of one preset."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset '{name}' (available: {', '.join(sorted(PRESETS))})")
+    return PRESETS[name]
+
+
 def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(PRESETS.items()), "name string, yaml string")

@@ -26,17 +26,24 @@ def revalidate(changes: DataFrame, check, publish, state_path: str, checkpoint:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
+        states = _states(spark, state_path)
+        earlier = [k for k in sorted(states) if k < n]
         now = check().select("rel_path", "line", "message")
         now.write.mode("overwrite").parquet(f"{state_path}/{n}")
-        now = spark.read.parquet(f"{state_path}/{n}")
-        before = now.limit(0)
-        for k in range(n - 1, -1, -1):
-            try:
-                before = spark.read.schema(now.schema).parquet(f"{state_path}/{k}")
-                before.take(1)
-                break
-            except Exception:
-                before = now.limit(0)
+        now = spark.read.schema(now.schema).parquet(f"{state_path}/{n}")
+        before = spark.read.schema(now.schema).parquet(f"{state_path}/{earlier[-1]}") if earlier else now.limit(0)
         publish(publications(before, now), n)
+        for k in earlier[:-1]:  # the last one is read again if this batch is run again
+            states[k]()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def _states(spark, state_path: str) -> dict:
+    """Batches whose state is whole, each with a function that deletes it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    whole = [p for p in found if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName()): (lambda p=p: fs.delete(p, True)) for p in whole}

@@ -248,6 +248,8 @@ def _block_pairs(most: int):
         part = rows.column("half").to_numpy()
         c, n, comp = (rows.column(k).to_numpy() for k in ("c", "n", "comp"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
+        large = rows.column("wide").is_valid().to_numpy()  # bits of these are too full to tell them apart
+        wide, row = np.frombuffer(b"".join(rows.column("wide").drop_null().to_pylist()), np.uint64).reshape(-1, WIDE // 64), np.cumsum(large) - 1
         left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if part.max() else (np.arange(len(c)),) * 2
         pairs, score = [], []
         for i in left.tolist():
@@ -255,6 +257,10 @@ def _block_pairs(most: int):
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
             at = np.flatnonzero(ok & (c[right] > c[i]) if left is right else ok)
+            if large[i]:
+                both = at[large[right[at]]]
+                apart[both] = np.maximum(apart[both], np.bitwise_count(wide[row[right[both]]] ^ wide[row[i]]).sum(1))
+                at = at[(NUM + DEN) * apart[at].astype(np.int64) <= (DEN - NUM) * size[at]]
             pairs.append(np.stack([np.full(len(at), i), right[at]]))
             score.append(apart[at] / size[at])
         x, y = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
@@ -319,7 +325,7 @@ def _long_pairs(long: DataFrame, nodes: DataFrame, comp: DataFrame, most: int) -
     need = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk"))).where("NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(f"{DEN} * y.most >= {NUM} * x.least AND {DEN} * x.most >= {NUM} * y.least")
     need = need.select(F.col("x.key").alias("key"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
     halves = need.select("key", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("half")).union(need.where("i <> j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("half")))
-    rows = rows.join(nodes.select("c", "bits"), "c").join(halves, ["key", "chunk"]).select("key", "i", "j", "half", "c", "n", "comp", "bits")
+    rows = rows.join(nodes.select("c", "bits", "wide"), "c").join(halves, ["key", "chunk"]).select("key", "i", "j", "half", "c", "n", "comp", "bits", "wide")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_block_pairs(most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 

@@ -135,6 +135,46 @@ def test_long_lists(spark, monkeypatch):
     assert {got[i] for i in range(60)} == {0} and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_prefixes_of_linked_sets_share_enough():
+    rng = random.Random(8)
+    links = 0
+    for _ in range(3000):
+        n = rng.randint(1, 60)
+        a = set(rng.sample(range(90), n))
+        b = set(rng.sample(sorted(a), rng.randint(max(1, n - 8), n))) | set(rng.sample(range(90, 200), rng.randint(0, 4)))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            links += 1
+            order = rng.sample(range(200), 200)
+            x, y = (set(sorted(s, key=order.__getitem__)[: jaccard_join.prefix_length(len(s))]) for s in (a, b))
+            assert len(x & y) >= jaccard_join.least_shared(len(a), len(b)) >= 1
+    assert links > 500
+
+
+def test_chunks_of_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # lists of 60 and 5 over 4 tasks: chunks are whole wherever tasks begin
+        rows = spark.createDataFrame([(k, c % 7, 10, c, 3) for k, size in ((1, 60), (2, 5)) for c in range(size)], "key long, comp long, n int, c long, held long").repartition(3)
+        got = jaccard_join._chunked(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for key, size in ((1, 60), (2, 5)):
+        mine = sorted((r.comp, r.n, r.c, r.chunk) for r in got if r.key == key)
+        assert [r[3] for r in mine] == [k // 8 for k in range(size)]
+
+
+def test_blocks_are_scanned_again_only_for_more(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    scan, needs = jaccard_join._long_pairs, []
+    monkeypatch.setattr(jaccard_join, "_long_pairs", lambda rows, need, *rest: (needs.append(need.count()), scan(rows, need, *rest))[1])
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(base[:30] + [f"u{i}x{k}" for k in range(30)]) for i in range(20)}
+    got = {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _components(texts) and len(needs) <= 1  # nothing more to propose: no second scan
+
+
 def test_bpe(spark, docs, texts, library):
     for r in bpe.round_trip(docs, tokens.default_tokenizer()).collect():
         ids = library.encode(texts[r.id] or "", add_special_tokens=False).ids

@@ -6,7 +6,9 @@ avoid). The boundary between small and large is where listing subsets begins to
 
 Short lists are opened to pairs. Long ones first hang their sets on one pivot each, which joins most of what belongs
 together; lists that still hold sets of different components are then scanned block by block for partners outside a
-set's component. Only pairs that a bitmap bound leaves possible are looked at, each of them on whole sets.
+set's component, and later rounds scan only blocks that have more to propose. A pair must share a number of rare shingles
+that depends on both sizes, not just one. Only pairs that a bitmap bound leaves possible are looked at, each of them on
+whole sets.
 """
 
 from __future__ import annotations
@@ -51,6 +53,18 @@ def pair_overlap(n: int, m: int) -> int:
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
+def least_shared(n, m):
+    """How many keys linked sets of n and m have in common at least, unless both are small.
+
+    Of the two prefixes one ends first in the order of shingles. What is shared up to there lies in both prefixes, and
+    beyond it that set has fewer than ``least_overlap`` shingles left.
+    """
+    return -(-NUM * (n + m) // (NUM + DEN)) + (-NUM * np.maximum(n, m) // DEN) + 1
+
+
+_LEAST_SHARED = f"((({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}) - (({NUM} * greatest(n, m) + {DEN - 1}) div {DEN}) + 1)"
+
+
 def subset_sizes(n: int, boundary: int) -> list[int]:
     """Sizes of the subsets that a small set lists: one for each overlap that a small partner can need."""
     return sorted({pair_overlap(n, m) for m in range(1, boundary + 1) if DEN * min(n, m) >= NUM * max(n, m)})
@@ -237,16 +251,16 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "n", "m", "p", "q", "wp", "wq").mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_pairs(most: int):
+def _block_pairs(boundary: int, most: int):
     """Pairs that one pair of blocks proposes: for each two components the most promising pairs of their sets.
 
     One link joins two components, so the sets of a large one need not all propose the same partner. ``more`` tells
     that two components have further pairs within the bound.
     """
 
-    def group(rows: pa.Table):
+    def group(rows: pa.Table, at_blocks: tuple):
         part = rows.column("half").to_numpy()
-        c, n, comp = (rows.column(k).to_numpy() for k in ("c", "n", "comp"))
+        c, n, comp, held = (rows.column(k).to_numpy() for k in ("c", "n", "comp", "held"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
         large = rows.column("wide").is_valid().to_numpy()  # bits of these are too full to tell them apart
         wide, row = np.frombuffer(b"".join(rows.column("wide").drop_null().to_pylist()), np.uint64).reshape(-1, WIDE // 64), np.cumsum(large) - 1
@@ -256,6 +270,7 @@ def _block_pairs(most: int):
             size = n[i] + n[right]
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
+            ok &= (np.minimum(held[right], held[i]) >= least_shared(n[right], n[i])) | (np.maximum(n[right], n[i]) <= boundary)
             at = np.flatnonzero(ok & (c[right] > c[i]) if left is right else ok)
             if large[i]:
                 both = at[large[right[at]]]
@@ -271,7 +286,8 @@ def _block_pairs(most: int):
         count = np.diff(np.append(first, len(x)))
         best = np.arange(len(x)) - np.repeat(first, count) < most
         x, y, more = c[x[best]], c[y[best]], np.repeat(count > most, count)[best]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        blocks = [pa.array(np.full(len(x), k)) for k in at_blocks]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more, pa.bool_()), *blocks], ["a", "b", "more", "key", "i", "j"])
 
     def run(batches):
         held: list = []  # rows of the pair of blocks that isn't whole yet
@@ -284,50 +300,71 @@ def _block_pairs(most: int):
                 if e > s:
                     k = tuple(key[s].tolist())
                     if k != now and held:
-                        yield group(pa.concat_tables(held))
+                        yield group(pa.concat_tables(held), now)
                         held = []
                     now = k
                     held.append(t.slice(s, e - s))
         if held:
-            yield group(pa.concat_tables(held))
+            yield group(pa.concat_tables(held), now)
 
     return run
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
-    """The rows of each key in chunks of BLOCK at most, ordered by component and size. A key may lie in many tasks."""
+    """The rows of each key in chunks of BLOCK (the last may be shorter), ordered by component and size.
+
+    A key may lie in many tasks: each counts its rows of a key, and those of the tasks before are added.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, now, size = TaskContext.get().partitionId() << 32, None, 0
+        task, now, size = TaskContext.get().partitionId(), None, 0
         for b in batches:
             out = []
             for k in b.column(0).to_pylist():
-                if k != now or size == BLOCK:
-                    chunk, now, size = chunk + 1, k, 0
+                if k != now:
+                    now, size = k, 0
+                out.append(size)
                 size += 1
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "chunk"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task), pa.int32()), pa.array(out, pa.int64())], [*b.schema.names, "task", "at"])
 
     order = ["key", "comp", "n", "c"]
-    rows = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(run, "key bigint, comp bigint, n int, c bigint, chunk bigint")
+    rows = rows.select(*order, "held").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = common.written(rows.mapInArrow(run, "key bigint, comp bigint, n int, c bigint, held bigint, task int, at bigint"))
+    before = W.partitionBy("key").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("key", "task").agg(F.count(F.lit(1)).alias("k")).withColumn("start", F.sum("k").over(before)).where("start > 0").select("key", "task", "start")
+    out = rows.join(starts, ["key", "task"], "left").withColumn("chunk", F.expr(f"(coalesce(start, 0) + at) div {BLOCK}"))
+    return out.select(*order, "held", "chunk")
 
 
-def _long_pairs(long: DataFrame, nodes: DataFrame, comp: DataFrame, most: int) -> DataFrame:
-    """a, b, more: pairs proposed within long lists that hold several components, by BLOCK x BLOCK sets."""
+def _blocks(long: DataFrame, held: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Long lists that hold several components, in chunks; the pairs of chunks to scan (key, i, j); bitmaps of the sets."""
     rows = long.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = common.written(_chunked(rows.join(mixed, "key", "left_semi")))
+    rows = common.written(_chunked(rows.join(mixed, "key", "left_semi").join(held.select("c", "held"), "c")))
     chunks = rows.groupBy("key", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = chunks.alias("x"), chunks.alias("y")
     need = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk"))).where("NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(f"{DEN} * y.most >= {NUM} * x.least AND {DEN} * x.most >= {NUM} * y.least")
-    need = need.select(F.col("x.key").alias("key"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
+    need = common.written(need.select(F.col("x.key").alias("key"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
+    ends = common.written(rows.select("c").distinct())
+    return rows.select("key", "chunk", "n", "c", "held"), need, common.written(nodes.select("c", "bits", "wide").join(ends, "c", "left_semi"))
+
+
+def _long_pairs(rows: DataFrame, need: DataFrame, bitmaps: DataFrame, comp: DataFrame, boundary: int, most: int) -> DataFrame:
+    """a, b, more, key, i, j: pairs proposed by the needed pairs of chunks, between sets of different components."""
     halves = need.select("key", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("half")).union(need.where("i <> j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("half")))
-    rows = rows.join(nodes.select("c", "bits", "wide"), "c").join(halves, ["key", "chunk"]).select("key", "i", "j", "half", "c", "n", "comp", "bits", "wide")
+    rows = rows.join(halves, ["key", "chunk"]).join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
+    rows = rows.join(bitmaps, "c").select("key", "i", "j", "half", "c", "n", "held", "comp", "bits", "wide")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_block_pairs(most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.mapInArrow(_block_pairs(boundary, most), "a bigint, b bigint, more boolean, key bigint, i bigint, j bigint")
+
+
+def _unsettled(proposed: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs of chunks that have more to propose between components that are still apart."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    more = proposed.where("more").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return more.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("key", "i", "j").distinct()
 
 
 def _lists(docs: DataFrame, nodes: DataFrame, text_col: str, order, boundary: int) -> DataFrame:
@@ -345,6 +382,25 @@ def _lists(docs: DataFrame, nodes: DataFrame, text_col: str, order, boundary: in
     return out
 
 
+def _candidates(lists: DataFrame, held: DataFrame, boundary: int) -> DataFrame:
+    """a, b: pairs of short lists, and of long lists each set with one pivot, that may share enough keys.
+
+    Keys shared in short lists are counted; in long lists a pair shares no more than either set has there. The pivot,
+    a list's least id, joins most of what belongs together.
+    """
+    short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("s"))
+    short = short.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
+    short = short.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.when(F.col("x.c") < F.col("y.c"), F.col("x.n")).otherwise(F.col("y.n")).alias("n"), F.when(F.col("x.c") < F.col("y.c"), F.col("y.n")).otherwise(F.col("x.n")).alias("m"), F.lit(1).alias("shared"))
+    long = lists.where(F.col("k") > SHORT).select("key", "c", "n")
+    pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
+    stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m"), F.lit(0).alias("shared")).where("a < b")
+    pairs = short.union(stars).where(_SIZES_FIT).groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(held.where("in_long > 0").select(F.col("c").alias(end), F.col("in_long").alias(f"long_{end}")), end, "left")
+        pairs = pairs.where(f"greatest(n, m) <= {boundary} OR shared + coalesce(long_{end}, 0) >= {_LEAST_SHARED}")
+    return pairs.select("a", "b")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_shingles, class_id, component_id) per input row, ids as long.
 
@@ -358,17 +414,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     info = common.written(describe(docs, id_col, text_col))
     nodes = common.written(info.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("c"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
-    lists = _lists(docs, nodes, text_col, order, choose_boundary(info))
+    boundary = choose_boundary(info)
+    lists = _lists(docs, nodes, text_col, order, boundary)
+    held = common.written(lists.groupBy("c").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("k") > SHORT, 1)).alias("in_long")))
 
-    short = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("s"))
-    short = short.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
-    short = short.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    # One pivot for each long list, its least id, joins most of what belongs together.
-    long = lists.where(F.col("k") > SHORT).select("key", "c", "n")
-    pivots = long.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"))
-    stars = long.join(pivots, "key").select(F.col("p.c").alias("a"), F.col("c").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m")).where("a < b")
-    new = common.written(_near(short.union(stars).where(_SIZES_FIT).select("a", "b"), nodes))
-    sets = checked = comp = None
+    pairs = common.written(_candidates(lists, held, boundary))  # often few: Spark then broadcasts them
+    new = common.written(_near(pairs, nodes))
+    sets = checked = comp = blocks = None
     most = 16
     while True:
         if sets is None or not new.isEmpty():
@@ -382,11 +434,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             if comp is None or not linked.isEmpty():
                 # what is linked so far is a forest's worth of edges: each node with its component
                 comp = common.written(components(linked if comp is None else linked.union(comp.select("node", "component"))))
-        proposed = common.written(_long_pairs(long, nodes, comp, most))
-        new = common.written(_near(proposed.join(checked, ["a", "b"], "left_anti").select("a", "b"), nodes))
-        if new.isEmpty() and proposed.where("more").isEmpty():
+        if blocks is None:
+            blocks, need, bitmaps = _blocks(lists.where(F.col("k") > SHORT).select("key", "c", "n"), held, nodes, comp)
+        else:
+            need = common.written(_unsettled(proposed, comp))
+            most *= 8
+        if need.isEmpty():
             break
-        most *= 8
+        proposed = common.written(_long_pairs(blocks, need, bitmaps, comp, boundary, most))
+        new = common.written(proposed.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
 
     named = nodes.select("n", "d1", "d2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").select("n", "d1", "d2", "c", F.coalesce("component", "c").alias("component"))
     out = info.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")

@@ -175,6 +175,14 @@ def test_blocks_are_scanned_again_only_for_more(spark, monkeypatch):
     assert got == _components(texts) and len(needs) <= 1  # nothing more to propose: no second scan
 
 
+def test_pairs_sharing_few_rare_shingles_move_no_bitmaps(spark, monkeypatch):
+    near, moved = jaccard_join._near, []
+    monkeypatch.setattr(jaccard_join, "_near", lambda pairs, nodes: (moved.append(pairs.distinct().count()), near(pairs, nodes))[1])
+    texts = {i: " ".join([f"w{k}" for k in range(30)] + [f"u{i}x{k}" for k in range(90)]) for i in range(3)}
+    got = {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _components(texts) and moved[0] == 0
+
+
 def test_bpe(spark, docs, texts, library):
     for r in bpe.round_trip(docs, tokens.default_tokenizer()).collect():
         ids = library.encode(texts[r.id] or "", add_special_tokens=False).ids

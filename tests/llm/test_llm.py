@@ -183,6 +183,61 @@ def test_pairs_sharing_few_rare_shingles_move_no_bitmaps(spark, monkeypatch):
     assert got == _components(texts) and moved[0] == 0
 
 
+def test_forests_of_pairs():
+    rng = random.Random(4)
+
+    def joined(edges, u, v):
+        seen, new = {u}, [u]
+        while new:
+            at = new.pop()
+            new += [w for e in edges if at in e for w in e if w not in seen and not seen.add(w)]
+        return v in seen
+
+    for _ in range(60):
+        size, most = rng.randint(2, 12), rng.randint(1, 5)
+        edges = [tuple(rng.sample(range(100, 100 + size), 2)) for _ in range(rng.randint(0, 40))]
+        x, y = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        took, tree = jaccard_join.forests(x, y, most)
+        for k, (u, v) in enumerate(edges):
+            for f in range(min(took[k], most)):  # those before it joined its ends by better edges
+                assert joined([e for e, t in zip(edges[:k], took[:k], strict=True) if t == f], u, v)
+            if took[k] < most:  # without it, its forest has no way
+                assert not joined([e for j, (e, t) in enumerate(zip(edges, took, strict=True)) if t == took[k] and j != k], u, v)
+        last = [e for e, t in zip(edges, took, strict=True) if t == most - 1]
+        for k, (u, _) in enumerate(edges):
+            if took[k] >= most - 1:
+                assert all((tree[j] == tree[k]) == joined(last, u, edges[j][0]) for j in range(len(edges)) if took[j] >= most - 1)
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_proposals_grow_with_sets_not_with_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    near, scan, counts = jaccard_join._near, jaccard_join._long_pairs, []
+    monkeypatch.setattr(jaccard_join, "_near", lambda pairs, nodes: near(pairs, nodes).limit(0))  # as if no pivot linked
+
+    def counted(rows, need, *rest):
+        out = scan(rows, need, *rest)
+        counts.append((out.count(), need.count() * 2 * 2 * min(block, 60)))  # two forests over the sets of two blocks
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_long_pairs", counted)
+    base = [f"w{k}" for k in range(200)]
+    texts = {i: " ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(60)} | {100 + i: " ".join(base[:100] + [f"u{i}x{k}" for k in range(100)]) for i in range(20)}
+    got = {(r.id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _components(texts) and counts and all(made <= most for made, most in counts)
+
+
+def test_lists_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    chunked, plans = jaccard_join._chunked, []
+    monkeypatch.setattr(jaccard_join, "_chunked", lambda rows: (plans.append(rows._jdf.queryExecution().toString()), chunked(rows))[1])
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(base[:30] + [f"u{i}x{k}" for k in range(30)]) for i in range(9)}
+    assert {r.component_id for r in jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()} == set(texts)
+    assert len(plans) == 1 and "Join" not in plans[0]  # dealing by range runs what is above it twice
+
+
 def test_bpe(spark, docs, texts, library):
     for r in bpe.round_trip(docs, tokens.default_tokenizer()).collect():
         ids = library.encode(texts[r.id] or "", add_special_tokens=False).ids

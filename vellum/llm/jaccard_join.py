@@ -31,6 +31,8 @@ SUBSETS = 8192
 COUNTERS = 1 << 22
 #: Longer lists are worked on in blocks.
 SHORT, BLOCK = 16, 1024
+#: Forests of pairs that a pair of blocks proposes at first; sixteen times as many whenever it is scanned again.
+FORESTS = 2
 #: Lists that may be longer, by the counters, are dealt over several tasks when it is seen which lists are shared.
 IN_ONE_TASK = 1 << 22
 #: Rows that Python functions take at once, so that whole sets of few documents are in memory together.
@@ -251,16 +253,56 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "n", "m", "p", "q", "wp", "wq").mapInArrow(run, "a bigint, b bigint")
 
 
+def forests(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which forest takes each edge between vertices x and y, best edges first; ``most`` if none does. The trees of the last.
+
+    The first spans all that the edges join, by the best of them; the second does so with what is left, and so on. So
+    an edge that no forest takes runs within one tree of each of them. Trees are given by a vertex of each edge's tree.
+    """
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    took, left, root = np.full(len(x), most), np.arange(len(x)), np.arange(len(names))
+    for k in range(most):
+        if not len(left):
+            break
+        root, apart = np.arange(len(names)), left
+        while True:
+            p, q = root[x[apart]], root[y[apart]]
+            apart, p, q = apart[p != q], p[p != q], q[p != q]
+            if not len(apart):
+                break
+            best = np.full(len(names), len(x))  # of each tree; the last write is the best edge's
+            best[p[::-1]] = apart[::-1]
+            other = np.full(len(names), len(x))
+            other[q[::-1]] = apart[::-1]
+            best = np.minimum(best, other)
+            trees = np.flatnonzero(best < len(x))
+            edge = best[trees]
+            took[edge] = k
+            to = np.arange(len(names))
+            to[trees] = root[x[edge]] + root[y[edge]] - trees
+            both = trees[(to[to[trees]] == trees) & (trees < to[trees])]  # two that chose the same edge
+            to[both] = both
+            while (to[to] != to).any():
+                to = to[to]
+            root = to[root]
+        left = left[took[left] == most]
+    return took, root[x]
+
+
 def _block_pairs(boundary: int, most: int):
-    """Pairs that one pair of blocks proposes: for each two components the most promising pairs of their sets.
+    """Pairs that one pair of blocks proposes: those of so many forests over its components, the most promising first.
+
+    One link joins two components, and what is joined need not be proposed by all its sets: rows grow with the sets of
+    the blocks, not with their pairs. ``more`` is set in the last forest where pairs are left: they run within its
+    trees, so where its own pairs end in one component nothing is left to propose.
 
-    One link joins two components, so the sets of a large one need not all propose the same partner. ``more`` tells
-    that two components have further pairs within the bound.
+    A pair that shares a short list has been looked at already; others share no more keys than either has in long ones.
     """
 
     def group(rows: pa.Table, at_blocks: tuple):
         part = rows.column("half").to_numpy()
-        c, n, comp, held = (rows.column(k).to_numpy() for k in ("c", "n", "comp", "held"))
+        c, n, comp, in_long = (rows.column(k).to_numpy() for k in ("c", "n", "comp", "in_long"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
         large = rows.column("wide").is_valid().to_numpy()  # bits of these are too full to tell them apart
         wide, row = np.frombuffer(b"".join(rows.column("wide").drop_null().to_pylist()), np.uint64).reshape(-1, WIDE // 64), np.cumsum(large) - 1
@@ -270,7 +312,7 @@ def _block_pairs(boundary: int, most: int):
             size = n[i] + n[right]
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1)
             ok = (comp[right] != comp[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])) & ((NUM + DEN) * apart.astype(np.int64) <= (DEN - NUM) * size)
-            ok &= (np.minimum(held[right], held[i]) >= least_shared(n[right], n[i])) | (np.maximum(n[right], n[i]) <= boundary)
+            ok &= (np.minimum(in_long[right], in_long[i]) >= least_shared(n[right], n[i])) | (np.maximum(n[right], n[i]) <= boundary)
             at = np.flatnonzero(ok & (c[right] > c[i]) if left is right else ok)
             if large[i]:
                 both = at[large[right[at]]]
@@ -284,8 +326,13 @@ def _block_pairs(boundary: int, most: int):
         x, y, low, high = x[order], y[order], low[order], high[order]
         first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(x)))
-        best = np.arange(len(x)) - np.repeat(first, count) < most
-        x, y, more = c[x[best]], c[y[best]], np.repeat(count > most, count)[best]
+        best = np.arange(len(x)) - np.repeat(first, count) < most  # a forest takes one pair of two components at most
+        x, y, low, high, left, score = x[best], y[best], low[best], high[best], np.repeat(count > most, count)[best], np.concatenate([*score, []])[order][best]
+        order = np.lexsort((c[y], c[x], score))
+        x, y, left = c[x[order]], c[y[order]], left[order]
+        took, tree = forests(low[order], high[order], most)
+        more = (took == most - 1) & np.isin(tree, tree[left | (took == most)])
+        x, y, more = x[took < most], y[took < most], more[took < most]
         blocks = [pa.array(np.full(len(x), k)) for k in at_blocks]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more, pa.bool_()), *blocks], ["a", "b", "more", "key", "i", "j"])
 
@@ -330,32 +377,34 @@ def _chunked(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task), pa.int32()), pa.array(out, pa.int64())], [*b.schema.names, "task", "at"])
 
     order = ["key", "comp", "n", "c"]
-    rows = rows.select(*order, "held").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = common.written(rows.mapInArrow(run, "key bigint, comp bigint, n int, c bigint, held bigint, task int, at bigint"))
+    rows = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = common.written(rows.mapInArrow(run, "key bigint, comp bigint, n int, c bigint, task int, at bigint"))
     before = W.partitionBy("key").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("key", "task").agg(F.count(F.lit(1)).alias("k")).withColumn("start", F.sum("k").over(before)).where("start > 0").select("key", "task", "start")
     out = rows.join(starts, ["key", "task"], "left").withColumn("chunk", F.expr(f"(coalesce(start, 0) + at) div {BLOCK}"))
-    return out.select(*order, "held", "chunk")
+    return out.select(*order, "chunk")
 
 
 def _blocks(long: DataFrame, held: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Long lists that hold several components, in chunks; the pairs of chunks to scan (key, i, j); bitmaps of the sets."""
-    rows = long.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+    """Long lists that hold several components, in chunks; the pairs of chunks to scan (key, i, j); c, in_long, bits, wide of the sets."""
+    rows = common.written(long.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = common.written(_chunked(rows.join(mixed, "key", "left_semi").join(held.select("c", "held"), "c")))
+    rows = common.written(rows.join(mixed, "key", "left_semi"))  # ranges are taken from a sample, which would join again
+    rows = common.written(_chunked(rows))
     chunks = rows.groupBy("key", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = chunks.alias("x"), chunks.alias("y")
     need = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk"))).where("NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(f"{DEN} * y.most >= {NUM} * x.least AND {DEN} * x.most >= {NUM} * y.least")
     need = common.written(need.select(F.col("x.key").alias("key"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
     ends = common.written(rows.select("c").distinct())
-    return rows.select("key", "chunk", "n", "c", "held"), need, common.written(nodes.select("c", "bits", "wide").join(ends, "c", "left_semi"))
+    bitmaps = nodes.select("c", "bits", "wide").join(ends, "c", "left_semi").join(held.select("c", "in_long"), "c")
+    return rows.select("key", "chunk", "n", "c"), need, common.written(bitmaps)
 
 
 def _long_pairs(rows: DataFrame, need: DataFrame, bitmaps: DataFrame, comp: DataFrame, boundary: int, most: int) -> DataFrame:
     """a, b, more, key, i, j: pairs proposed by the needed pairs of chunks, between sets of different components."""
     halves = need.select("key", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("half")).union(need.where("i <> j").select("key", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("half")))
     rows = rows.join(halves, ["key", "chunk"]).join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    rows = rows.join(bitmaps, "c").select("key", "i", "j", "half", "c", "n", "held", "comp", "bits", "wide")
+    rows = rows.join(bitmaps, "c").select("key", "i", "j", "half", "c", "n", "in_long", "comp", "bits", "wide")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_block_pairs(boundary, most), "a bigint, b bigint, more boolean, key bigint, i bigint, j bigint")
 
@@ -416,12 +465,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     order = spark.sparkContext.broadcast(commonness(docs, text_col))
     boundary = choose_boundary(info)
     lists = _lists(docs, nodes, text_col, order, boundary)
-    held = common.written(lists.groupBy("c").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("k") > SHORT, 1)).alias("in_long")))
+    held = common.written(lists.groupBy("c").agg(F.count(F.when(F.col("k") > SHORT, 1)).alias("in_long")))
 
     pairs = common.written(_candidates(lists, held, boundary))  # often few: Spark then broadcasts them
     new = common.written(_near(pairs, nodes))
     sets = checked = comp = blocks = None
-    most = 16
+    most = FORESTS
     while True:
         if sets is None or not new.isEmpty():
             ends = new.select(F.explode(F.array("a", "b")).alias("c")).distinct()
@@ -438,7 +487,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             blocks, need, bitmaps = _blocks(lists.where(F.col("k") > SHORT).select("key", "c", "n"), held, nodes, comp)
         else:
             need = common.written(_unsettled(proposed, comp))
-            most *= 8
+            most *= 16
         if need.isEmpty():
             break
         proposed = common.written(_long_pairs(blocks, need, bitmaps, comp, boundary, most))

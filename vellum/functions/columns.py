@@ -55,9 +55,12 @@ def normalize_path(path: Column) -> Column:
 
 def link_target(url: Column, source_dir: Column) -> Column:
     """The path that a local link leads to; null for http(s) links and bare fragments."""
-    bare = percent_decode(F.regexp_extract(F.regexp_extract(url, "(?s)^[^#]*", 0), "(?s)^[^?]*", 0))
-    joined = F.when(bare.startswith("/"), bare).otherwise(F.concat_ws("/", F.when(source_dir != "", source_dir), bare))
-    return F.when(~(url.startswith("http://") | url.startswith("https://") | url.startswith("#")), normalize_path(joined))
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    bare = F.regexp_extract(url, "(?s)^[^#?]*", 0)
+    # without the bindings each part would be worked out where it is used
+    decoded = once(bare, lambda b: F.when(F.contains(b, F.lit("%")), percent_decode(b)).otherwise(b))
+    joined = once(decoded, lambda b: F.when(b.startswith("/"), b).otherwise(F.concat_ws("/", F.when(source_dir != "", source_dir), b)))
+    return F.when(~(url.startswith("http://") | url.startswith("https://") | url.startswith("#")), once(joined, normalize_path))
 
 
 def parse_date(s: Column) -> Column:

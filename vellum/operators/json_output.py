@@ -83,8 +83,8 @@ def _sections(blocks: list, items: list, links: list, declared: dict) -> list[di
     return build(blocks, 2, declared)
 
 
-def _sections_json(schemas):
-    """A function of schema folder, type, blocks, items and links."""
+def _declared(schemas) -> dict:
+    """Properties by section title of each schema folder and type."""
     schemas = {".": schemas} if isinstance(schemas, Schema) else schemas or {}
     declared: dict = {}
     for folder, s in schemas.items():
@@ -92,6 +92,49 @@ def _sections_json(schemas):
             titles = declared.setdefault((folder, name), {})
             for d in (t.get("structure") or {}).get("sections") or []:
                 titles.setdefault(d["title"], d.get("properties"))
+    return declared
+
+
+#: What an outline is made of.
+OUTLINED = {"blocks": ("idx", "kind", "level", "text", "md"), "items": ("block_idx", "item_id", "parent", "text"), "links": ("block_idx", "text", "url", "is_image")}
+
+
+def outline(schemas) -> tuple:
+    """``more`` of ``tables.parse``: intro and sections as JSON, made where documents are parsed, so that blocks stay there.
+
+    The batch needs schema_dir and path_type.
+    """
+    declared, encode = _declared(schemas), json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+    def of(folder, fm_type, path_type):
+        """The type, as ``resolve`` tells it."""
+        name = path_type if fm_type is None else None if fm_type == "none" else fm_type
+        return declared.get((folder, name), {})
+
+    def rows(column, names):
+        flat = zip(*(column.values.field(n).to_pylist() for n in names))
+        ends = column.offsets.to_pylist()
+        flat = [dict(zip(names, x)) for x in flat]
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def run(batch, parsed):
+        import pyarrow as pa
+
+        known = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("schema_dir", "path_type")]
+        intros, sections = [], []
+        for folder, path_type, fm_type, blocks, items, links in zip(*known, parsed.column("fm_type").to_pylist(), *(rows(parsed.column(c), n) for c, n in OUTLINED.items())):
+            start = next((b["idx"] for b in blocks if b["kind"] == "heading" and b["level"] == 1), -1)
+            first = next((b["idx"] for b in blocks if b["idx"] > start and b["kind"] == "heading" and b["level"] == 2), len(blocks))
+            intros.append("\n\n".join(b["md"] for b in blocks[start + 1 : first]))
+            sections.append(encode(_sections(blocks[first:], [x for x in items if x["block_idx"] > first], [x for x in links if x["block_idx"] > first and not x["is_image"]], of(folder, fm_type, path_type))))
+        return [pa.array(intros, pa.string()), pa.array(sections, pa.string())]
+
+    return tuple(f"{c}.{n}" for c, names in OUTLINED.items() for n in names), "__intro string, __sections string", run
+
+
+def _sections_json(schemas):
+    """A function of schema folder, type, blocks, items and links."""
+    declared = _declared(schemas)
 
     def run(folder, name, blocks, items, links):
         return json.dumps(_sections(blocks, items, links, declared.get((folder, name), {})), ensure_ascii=False, separators=(",", ":"))
@@ -99,14 +142,8 @@ def _sections_json(schemas):
     return F.udf(run, "string", useArrow=True)
 
 
-def document_json(docs: DataFrame, schemas=None) -> DataFrame:
-    """(rel_path, json) of resolved documents: path, type, frontmatter, title, intro, sections with content, typed
-    properties, items, links and subsections.
-
-    An empty intro and empty parts of sections are left out; type and title are null if there is none. Content is left
-    out where a section has items, items where they are the section's properties, sub-items where they are the item's.
-    """
-    fm = F.concat(F.lit("{"), F.array_join(F.concat(F.when(F.coalesce("fm_type", "doc_type").isNotNull(), F.array(F.concat(F.lit('"type":'), _quoted(F.coalesce("fm_type", "doc_type"))))).otherwise(F.array().cast("array<string>")), F.transform("fm", lambda e: F.concat(_quoted(e.key), F.lit(":"), e.json))), ","), F.lit("}"))
+def _outlined(docs: DataFrame, schemas) -> DataFrame:
+    """Intro and sections of documents that are parsed already."""
     start = F.coalesce(F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 1)), F.lit(0)).idx, F.lit(-1))
     first = F.coalesce(F.get(F.filter("blocks", lambda b: (b.kind == "heading") & (b.level == 2) & (b.idx > F.col("__start"))), F.lit(0)).idx, F.size("blocks"))
     intro = F.array_join(F.transform(F.filter("blocks", lambda b: (b.idx > F.col("__start")) & (b.idx < F.col("__first"))), lambda b: b.md), "\n\n")
@@ -117,7 +154,18 @@ def document_json(docs: DataFrame, schemas=None) -> DataFrame:
     folder = F.col("schema_dir") if "schema_dir" in docs.columns else F.lit(".")
 
     rows = docs.withColumn("__start", start).withColumn("__first", first).withColumn("__intro", intro)
-    rows = rows.withColumn("__sections", _sections_json(schemas)(folder, F.col("doc_type"), body, items, links))
+    return rows.withColumn("__sections", _sections_json(schemas)(folder, F.col("doc_type"), body, items, links))
+
+
+def document_json(docs: DataFrame, schemas=None) -> DataFrame:
+    """(rel_path, json) of resolved documents: path, type, frontmatter, title, intro, sections with content, typed
+    properties, items, links and subsections.
+
+    An empty intro and empty parts of sections are left out; type and title are null if there is none. Content is left
+    out where a section has items, items where they are the section's properties, sub-items where they are the item's.
+    """
+    fm = F.concat(F.lit("{"), F.array_join(F.concat(F.when(F.coalesce("fm_type", "doc_type").isNotNull(), F.array(F.concat(F.lit('"type":'), _quoted(F.coalesce("fm_type", "doc_type"))))).otherwise(F.array().cast("array<string>")), F.transform("fm", lambda e: F.concat(_quoted(e.key), F.lit(":"), e.json))), ","), F.lit("}"))
+    rows = docs if "__sections" in docs.columns else _outlined(docs, schemas)
     whole = _object([
         ("path", _quoted(F.col("rel_path")), F.lit(True)), ("type", _quoted(F.col("doc_type")), F.lit(True)), ("frontmatter", fm, F.col("fm_present")), ("title", _quoted(F.col("title")), F.lit(True)),
         ("intro", _quoted(F.col("__intro")), F.col("__intro") != ""), ("sections", F.col("__sections"), F.lit(True)),
@@ -130,7 +178,7 @@ def reachable(docs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     One frontier join for each level: links ⋈ frontier, semi-joined with what exists, anti-joined with what was seen.
     """
-    edges = materialise(tables.links(docs).where("NOT is_image AND target LIKE '%.md'").select("rel_path", "target").distinct())
+    edges = materialise(tables.links(docs).where("NOT is_image AND target LIKE '%.md'").select("rel_path", "target"))
     there = docs.select(F.col("rel_path").alias("target"))
     seen = materialise(seeds.select("rel_path").distinct().withColumn("depth", F.lit(0)))
     frontier = seen

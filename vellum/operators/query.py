@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vellum.functions.columns import glob_to_regex, property_equals
 from vellum.operators import tables
-from vellum.operators.resolve import resolve, with_path_type
+from vellum.operators.resolve import one, resolve, schema_dir, with_path_type
 
 DATE_FIELDS = ("date", "created", "published", "updated")
 
@@ -64,12 +64,15 @@ class Query:
     def last(self, n: int) -> Query:
         return replace(self, last_=n)
 
-    def matches(self, columns: tuple[str, ...] = ()) -> DataFrame:
-        """Matching documents. Contents are parsed only for predicates and ``columns`` that need it.
+    def matches(self, columns: tuple[str, ...] = (), more: tuple | None = None) -> DataFrame:
+        """Matching documents. Contents are parsed only for predicates and ``columns`` that need it, and bodies only for
+        what of them these need; ``columns`` and ``more`` are those of ``tables.parse``.
 
         With ``last`` they come newest first; without it no order is paid for (sort by ``newest`` where it is shown).
         """
         rows = with_path_type(self.corpus, self.schemas)
+        if more:
+            rows = rows.withColumn("schema_dir", schema_dir(one(self.schemas), F.col("rel_path")))
         if self.glob is not None:
             rows = rows.where(F.col("basename").rlike(glob_to_regex(self.glob, separator=False)))
         if self.type_name:  # a path that says another type is out at once
@@ -86,9 +89,10 @@ class Query:
 
         if not needs and not self.type_name and self.days_ is None:
             rows = cut(rows)
-            return tables.parse(rows) if columns and not self.parsed else rows
+            return tables.parse(rows, columns, more) if (columns or more) and not self.parsed else rows
         if not self.parsed:
-            rows = tables.parse(rows)
+            body = (*columns, *(("body_text",) if self.needle is not None else ()), *(("links.url",) if self.link is not None else ()))
+            rows = tables.parse(rows, body, more)
         rows = resolve(rows, self.schemas)
         if self.type_name:
             rows = rows.where((F.col("doc_type") == self.type_name) | (F.lit(not needs) & (F.col("path_type") == self.type_name)))
@@ -111,10 +115,11 @@ class Query:
         return self.matches().agg(F.count(F.lit(1)).alias("n"))
 
     def markdown(self) -> DataFrame:
-        rows = self.matches(("body",))
+        rows = self.matches(("blocks.md",))
         return rows.select("rel_path", F.concat(F.lit("## "), "rel_path", F.lit("\n\n"), F.array_join(F.transform("blocks", lambda b: b.md), "\n\n")).alias("markdown"))
 
     def json(self) -> DataFrame:
-        from vellum.operators.json_output import document_json
+        from vellum.operators.json_output import document_json, outline
 
-        return document_json(resolve(self.matches(("body",)), self.schemas), self.schemas)
+        rows = self.matches() if self.parsed else self.matches(("title",), outline(self.schemas))
+        return document_json(resolve(rows, self.schemas), self.schemas)

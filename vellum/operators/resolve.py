@@ -8,7 +8,7 @@ from vellum.functions.columns import glob_to_regex
 from vellum.sources.schema import Schema
 
 
-def _one(schemas: Schema | dict[str, Schema]) -> dict[str, Schema]:
+def one(schemas: Schema | dict[str, Schema]) -> dict[str, Schema]:
     return {".": schemas} if isinstance(schemas, Schema) else schemas
 
 
@@ -34,13 +34,13 @@ def path_types(schemas: dict[str, Schema], path: Column) -> Column:
 
 def with_path_type(files: DataFrame, schemas) -> DataFrame:
     """Adds path_types and path_type (the only match), from the path alone."""
-    schemas = _one(schemas)
+    schemas = one(schemas)
     return files.withColumn("path_types", path_types(schemas, F.col("rel_path"))).withColumn("path_type", F.when(F.size("path_types") == 1, F.col("path_types")[0]))
 
 
 def resolve(docs: DataFrame, schemas) -> DataFrame:
     """Adds schema_dir, resolution (explicit, path, opted_out, conflict, unknown) and doc_type."""
-    schemas = _one(schemas)
+    schemas = one(schemas)
     docs = docs if "path_types" in docs.columns else with_path_type(docs, schemas)
     at = schema_dir(schemas, F.col("rel_path"))
     known = F.lit(False)

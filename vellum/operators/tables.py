@@ -3,103 +3,164 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+SECTION = "section_idx:int,section_title:string"
 PARSED = (
     "fm_present boolean, fm_error string, fm_type string, fm array<struct<pos:int,key:string,kind:string,json:string,vals:array<string>,kinds:array<string>>>, title string, h1_line int, body_text string, "
-    "blocks array<struct<idx:int,kind:string,level:int,line:int,ordered:boolean,text:string,md:string>>, "
-    "links array<struct<block_idx:int,line:int,text:string,url:string,is_image:boolean>>, "
-    "items array<struct<block_idx:int,item_id:int,parent:int,depth:int,ordered:boolean,text:string,md:string,has_children:boolean>>, "
+    f"blocks array<struct<idx:int,kind:string,level:int,line:int,ordered:boolean,text:string,md:string,{SECTION}>>, "
+    f"links array<struct<block_idx:int,line:int,text:string,url:string,is_image:boolean,{SECTION}>>, "
+    f"items array<struct<block_idx:int,item_id:int,parent:int,depth:int,ordered:boolean,text:string,md:string,has_children:boolean,{SECTION}>>, "
     "malformed array<struct<line:int,url:string>>"
 )
+#: Columns that don't depend on the body.
+FRONT = ("fm_present", "fm_error", "fm_type", "fm")
+#: What goes to Python workers and comes from them at a time, whatever the size of a document.
+ROWS, BYTES = 2048, 4 << 20
 
 
 def _parsed(content: str | None) -> dict:
-    import json
-
     from vellum.functions import markdown as M
+    from vellum.functions.batches import entry
 
     d = M.Document(content or "")
-    word = lambda v: "true" if v is True else "false" if v is False else "" if v is None else v if isinstance(v, str) else json.dumps(v)
     items: list[dict] = []
+    inside: dict = {"section_idx": None, "section_title": None}
 
     def add(block: dict, at: int, parent: int | None, depth: int) -> None:
         for i in block["items"]:
             inner = [c for c in i["children"] if c["kind"] == "list"]
             me = len(items)
-            items.append({"block_idx": at, "item_id": me, "parent": parent, "depth": depth, "ordered": block["ordered"], "text": M.plain(i["inlines"]), "md": M.markup(i["inlines"]), "has_children": bool(inner)})
+            items.append({"block_idx": at, "item_id": me, "parent": parent, "depth": depth, "ordered": block["ordered"], "text": M.plain(i["inlines"]), "md": M.markup(i["inlines"]), "has_children": bool(inner)} | inside)
             for c in inner:
                 add(c, at, me, depth + 1)
 
     blocks, links = [], []
     for k, b in enumerate(d.blocks):
         inl = b.get("inlines")
-        blocks.append({"idx": k, "kind": b["kind"], "level": b.get("level"), "line": b["line"], "ordered": b.get("ordered"), "text": M.plain(inl) if inl is not None else "\n".join(M.block_text(b)), "md": "\n".join(M.render_block(b))})
-        links += [{"block_idx": k, "line": n, "text": t, "url": u, "is_image": i} for n, t, u, i in M.block_links(b)]
+        text = M.plain(inl) if inl is not None else "\n".join(M.block_text(b))
+        if b["kind"] == "heading" and b["level"] <= 2:
+            inside = {"section_idx": k, "section_title": text} if b["level"] == 2 else {"section_idx": None, "section_title": None}
+        blocks.append({"idx": k, "kind": b["kind"], "level": b.get("level"), "line": b["line"], "ordered": b.get("ordered"), "text": text, "md": "\n".join(M.render_block(b))} | inside)
+        links += [{"block_idx": k, "line": n, "text": t, "url": u, "is_image": i} | inside for n, t, u, i in M.block_links(b)]
         if b["kind"] == "list":
             add(b, k, None, 0)
     title, line = d.title()
-    as_list = lambda v: v if isinstance(v, list) else [v]
-    fm = [{"pos": n, "key": k, "kind": M.kind_of(v), "json": json.dumps(v, ensure_ascii=False), "vals": [word(x) for x in as_list(v)], "kinds": [M.kind_of(x) for x in as_list(v)]} for n, (k, v) in enumerate(d.fields.items())]
+    fm = [dict(zip(("key", "kind", "json", "vals", "kinds"), entry(k, v))) | {"pos": n} for n, (k, v) in enumerate(d.fields.items())]
     return {"fm_present": bool(d.front_present), "fm_error": d.front_error, "fm_type": d.doc_type, "fm": fm, "title": title, "h1_line": line, "body_text": "".join(t + "\n" for b in d.blocks for t in M.block_text(b)), "blocks": blocks, "links": links, "items": items, "malformed": [{"line": n, "url": u} for n, u in M.malformed_links(content or "")]}
 
 
-def parse(corpus: DataFrame) -> DataFrame:
+def _columns(wanted: tuple[str, ...] | None):
+    """The type of the parsed columns: front matter, and all others or those wanted, by name or name.field."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    out = StructType()
+    for f in StructType.fromDDL(PARSED):
+        own = None if wanted is None else [w.partition(".")[2] for w in wanted if w.partition(".")[0] == f.name]
+        if own is None or f.name in FRONT or "" in own:
+            out.add(f)
+        elif own:
+            out.add(f.name, ArrayType(StructType([x for x in f.dataType.elementType if x.name in own]), True))
+    names = {f.name for f in out}
+    for w in wanted or ():
+        name, _, part = w.partition(".")
+        if name not in names or part and part not in out[name].dataType.elementType.names:
+            raise ValueError(f"there is no parsed column '{w}'")
+    return out
+
+
+def parsed_arrays(contents: pa.Array, arrow: pa.Schema, front) -> list[pa.Array]:
+    """The columns of a schema for some contents: plain documents at once, each of the others by itself."""
+    from vellum.functions.batches import Batch, front_arrays
+
+    if all(n in FRONT for n in arrow.names):
+        got = front_arrays([front.read(x or "") for x in contents.to_pylist()], arrow)
+        return [got[n] for n in arrow.names]
+    b = Batch(contents, front)
+    got = front_arrays(b.front, arrow)
+    out = [got[f.name] if f.name in FRONT else b.column(f) for f in arrow]
+    if b.plain.all():
+        return out
+    rest = [k for k, p in enumerate(b.plain.tolist()) if not p]
+    slow = pa.RecordBatch.from_pylist([_parsed(contents[k].as_py()) for k in rest], schema=arrow)
+    order = list(range(len(contents)))
+    for n, k in enumerate(rest):
+        order[k] = len(contents) + n
+    order = pa.array(order, pa.int64())
+    return [pa.concat_arrays([x, y]).take(order) for x, y in zip(out, slow.columns)]
+
+
+def narrowed(column: pa.Array, field: pa.Field) -> pa.Array:
+    """A column of structs with the fields of a type alone."""
+    if column.type == field.type:
+        return column
+    inner = field.type.value_type
+    return pa.ListArray.from_arrays(column.offsets, pa.StructArray.from_arrays([column.values.field(f.name) for f in inner], fields=list(inner)), type=field.type)
+
+
+def slices(batch: pa.RecordBatch, at: int):
+    """Parts of a batch of bounded rows and bytes of one column."""
+    import numpy as np
+
+    size = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), nan=0))
+    k = 0
+    while k < batch.num_rows:
+        base = size[k - 1] if k else 0
+        n = max(1, min(ROWS, int(np.searchsorted(size, base + BYTES, "right")) - k))
+        yield batch.slice(k, n)
+        k += n
+
+
+def parse(corpus: DataFrame, columns: tuple[str, ...] | None = None, more: tuple | None = None) -> DataFrame:
     """The corpus with parsed columns instead of content, one pass over each file.
 
-    Filter by path columns before: what is below isn't parsed. Null contents are empty documents.
+    Filter by path columns before: what is below isn't parsed. Null contents are empty documents. ``columns``: what is
+    needed beyond front matter, by name or name.field ("items.text"); all by default. With none, bodies aren't parsed.
+    ``more``: columns it needs likewise, the DDL of columns to add, and a function to these of the batch and its parsed
+    columns, run in the same workers.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     keep = [c for c in corpus.columns if c != "content"]
     rows = corpus.select(*keep, "content").withColumn("size_bytes", F.octet_length("content"))
-    schema = rows.drop("content").limit(0)
-    names = [*schema.columns]
-    from pyspark.sql.types import StructType
+    schema = rows.drop("content").schema
+    names, parsed_type = [*schema.names], _columns(columns)
+    given, added, extend = more or ((), "", None)
+    added = StructType.fromDDL(added) if added else StructType()
+    arrow = to_arrow_schema(_columns(None if columns is None else (*columns, *given)))
+    out_schema, added_names = to_arrow_schema(parsed_type), added.names
 
-    parsed_type = StructType.fromDDL(PARSED) if hasattr(StructType, "fromDDL") else None
-    out = StructType([*schema.schema.fields, *parsed_type.fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
 
-    arrow = to_arrow_schema(parsed_type)
+        from vellum.functions.batches import Front
 
-    def run(batches):
+        front = Front()
         for b in batches:
             at = b.schema.get_field_index("content")
-            for k in range(0, b.num_rows, 500):
-                some = b.slice(k, 500)
-                got = pa.RecordBatch.from_pylist([_parsed(x) for x in some.column(at).to_pylist()], schema=arrow)
-                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(n)) for n in names), *got.columns], [*names, *arrow.names])
+            for some in slices(b, at):
+                got = pa.RecordBatch.from_arrays(parsed_arrays(some.column(at), arrow, front), schema=arrow)
+                extra = extend(some, got) if extend else []
+                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(n)) for n in names), *(narrowed(got.column(f.name), f) for f in out_schema), *extra], [*names, *out_schema.names, *added_names])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, StructType([*schema.fields, *parsed_type.fields, *added.fields]))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Top-level blocks with the index and title of the level-2 section that they are in."""
-    b = docs.select("rel_path", F.explode("blocks").alias("b")).select("rel_path", "b.*")
-    own = W.partitionBy("rel_path").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    h2 = (F.col("kind") == "heading") & (F.col("level") == 2)
-    top = (F.col("kind") == "heading") & (F.col("level") <= 2)
-    section = F.last(F.when(top, F.when(h2, F.col("idx")).otherwise(F.lit(-1))), ignorenulls=True).over(own)
-    title = F.last(F.when(top, F.when(h2, F.col("text")).otherwise(F.lit(""))), ignorenulls=True).over(own)
-    return b.withColumn("section_idx", F.nullif(section, F.lit(-1))).withColumn("section_title", F.nullif(title, F.lit("")))
-
-
-def _with_section(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """section_idx and section_title by the blocks array itself: no join, no shuffle."""
-    heads = F.filter("blocks", lambda x: (x.kind == "heading") & (x.level <= 2) & (x.idx <= F.col("block_idx")))
-    last = F.element_at(heads, -1)
-    inside = (F.size(heads) > 0) & (last.level == 2)
-    return rows.withColumn("section_idx", F.when(inside, last.idx)).withColumn("section_title", F.when(inside, last.text)).drop("blocks")
+    return docs.select("rel_path", F.explode("blocks").alias("b")).select("rel_path", "b.*").withColumn("section_title", F.nullif("section_title", F.lit("")))
 
 
 def links(docs: DataFrame) -> DataFrame:
     from vellum.functions.columns import link_target
 
-    rows = docs.select("rel_path", "dir", "blocks", F.posexplode("links").alias("link_ord", "x")).select("rel_path", "dir", "blocks", "link_ord", "x.*")
-    return _with_section(rows, docs).withColumn("target", link_target(F.col("url"), F.col("dir"))).drop("dir")
+    rows = docs.select("rel_path", "dir", F.posexplode("links").alias("link_ord", "x")).select("rel_path", "dir", "link_ord", "x.*")
+    return rows.withColumn("target", link_target(F.col("url"), F.col("dir"))).drop("dir")
 
 
 def items(docs: DataFrame) -> DataFrame:
-    return _with_section(docs.select("rel_path", "blocks", F.explode("items").alias("x")).select("rel_path", "blocks", "x.*"), docs)
+    return docs.select("rel_path", F.explode("items").alias("x")).select("rel_path", "x.*")
 
 
 def fields(docs: DataFrame) -> DataFrame:

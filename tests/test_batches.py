@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from vellum.functions.batches import Batch, Front
-from vellum.operators import json_output, tables
+from vellum.operators import json_output, tables, validate
 from vellum.operators.query import Query
 from vellum.operators.resolve import resolve
 from vellum.plans import registry
@@ -68,7 +68,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r_types", "x_fields", "q_property_eq", "q_property_multi", "q_property_number", "q_count_cap", "q_days_asof"])
+@pytest.mark.parametrize("name", ["r_types", "v_field_enum", "x_fields", "q_property_eq", "q_property_multi", "q_property_number", "q_count_cap", "q_days_asof"])
 def test_front_matter_queries_parse_no_bodies(spark, name):
     plan = _plan(registry.QUERIES[name](spark, SF))
     parsed = [x for x in plan.split("\n") if "MapInArrow" in x]
@@ -82,7 +82,7 @@ def test_body_queries_parse_once_what_they_need(spark, name, other):
     assert len(parsed) == 1 and other not in parsed[0] and "ArrowEvalPython" not in plan
 
 
-@pytest.mark.parametrize("name", ["v_link_broken", "v_backlink_missing", "j_bfs_depth2"])
+@pytest.mark.parametrize("name", ["v_link_broken", "v_backlink_missing", "j_bfs_depth2", "agg_diagnostics"])
 def test_link_queries_keep_links_alone(spark, name, monkeypatch):
     kept = []
     for module in (registry, json_output):
@@ -92,6 +92,16 @@ def test_link_queries_keep_links_alone(spark, name, monkeypatch):
     assert kept and not {"blocks", "items", "body_text"} & {c for columns in kept for c in columns}
 
 
+def test_rules_take_one_pass(spark):
+    s = schema({"t": "structure:\n  title: required\n  sections:\n    - {title: A, bullets: unordered, properties: {n: {type: integer, required: true}}}\n    - {title: B, template: '- [x](y)', links: {target_type: t}}\n", "u": "fields:\n  n: {type: integer, required: true}\n"})
+    docs = resolve(tables.parse(_files(spark, [("a.md", "---\ntype: t\n---\n## C\n\n## B\n\n- z\n\n## A\n\n1. k\n   - n: q\n2. l\n\npara\n"), ("b.md", "---\ntype: u\n---\n")])), s)
+    within = validate.with_hits(docs, s)
+    found = validate._found(within, within.hits)
+    plan = _plan(found)
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Union" not in plan
+    assert sorted((r.rel_path, r.code) for r in found.collect()) == [("a.md", c) for c in ("InvalidFieldType", "MissingH1", "MissingRequiredField", "SectionNotBullets", "SectionOutOfOrder", "SectionsOutOfOrder", "TemplateMismatch", "UnexpectedSection", "WrongListType")] + [("b.md", "MissingRequiredField")]
+
+
 def test_json_is_the_same_where_it_is_parsed(spark):
     s = schema({"t": "paths: ['p/*.md']\nstructure:\n  sections:\n    - {title: A, properties: {n: {type: integer}}}\n"})
     text = "# T\n\nintro\n\n## A\n\n- x\n  - n: 5\n  - m: [l](u)\n\n### B\n\nbody ![i](j)\n\n## C\n\n[k](l.md)\n"

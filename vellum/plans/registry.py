@@ -175,7 +175,9 @@ def _types_of(spark, d):
 
 
 def _codes(spark, d):
-    return validate.check(_both(spark, d), _schema()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    files = corpus.orders(spark, d).unionByName(corpus.customers(spark, d))
+    docs = materialise(validate.with_hits(_once(files), _schema()).select(*validate.LINKED))
+    return validate.check(docs, _schema()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: name: (query, SQL)
@@ -192,7 +194,7 @@ _ALL = {
     "r_types": (_types_of, f"SELECT * FROM (SELECT 'order' AS doc_type, 'explicit' AS resolution, count(*) AS n FROM orders UNION ALL SELECT 'customer', 'path', count(*) FROM customer UNION ALL SELECT 'log', 'path', count(DISTINCT user_id) FROM events UNION ALL SELECT 'prose', 'explicit', count(*) FROM documents) WHERE n > 0"),
     "x_body_text": (lambda s, d: _parsed(corpus.documents(s, d), "body_text").select("rel_path", "body_text"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, {BODY} AS body_text FROM documents"),
     "q_grep_ci": (lambda s, d: Query(corpus.documents(s, d), _schema()).grep("The AND").paths(), f"SELECT 'documents/' || doc_id || '.md' AS rel_path FROM documents WHERE contains(lower({BODY}), 'the and')"),
-    "v_size_warning": (lambda s, d: validate.sizes_and_types(_docs(s, corpus.documents(s, d), ()), _schema()).select("rel_path", "code"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'FileTooLarge' AS code FROM documents WHERE octet_length(encode(coalesce(text, ''))) + CASE WHEN coalesce(text, '') = '' THEN 0 WHEN {PARAGRAPH} THEN length(text) - length(regexp_replace(text, {MARKED}, '', 'g')) ELSE 2 * {TICKS} + 2 END + octet_length(encode('---' || chr(10) || 'type: prose' || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || '---' || chr(10))) + 1 > 4000"),
+    "v_size_warning": (lambda s, d: validate.sizes_and_types(_once(corpus.documents(s, d), ()), _schema()).select("rel_path", "code"), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'FileTooLarge' AS code FROM documents WHERE octet_length(encode(coalesce(text, ''))) + CASE WHEN coalesce(text, '') = '' THEN 0 WHEN {PARAGRAPH} THEN length(text) - length(regexp_replace(text, {MARKED}, '', 'g')) ELSE 2 * {TICKS} + 2 END + octet_length(encode('---' || chr(10) || 'type: prose' || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || '---' || chr(10))) + 1 > 4000"),
     "j_json": (lambda s, d: Query(corpus.documents(s, d), _schema()).json().select("rel_path", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.frontmatter.lang").alias("lang"), F.get_json_object("json", "$.intro").alias("intro")), f"SELECT 'documents/' || doc_id || '.md' AS rel_path, 'prose' AS type, lang, CASE WHEN coalesce(text, '') = '' THEN NULL WHEN {PARAGRAPH} THEN text ELSE {FENCED} END AS intro FROM documents"),
     "x_fields": (lambda s, d: tables.fields(_parsed(corpus.orders(s, d))).where("key IN ('cust', 'rush', 'status')").select("rel_path", "key", "kind", "json"), f"SELECT {O_PATH} AS rel_path, 'cust' AS key, 'int' AS kind, CAST(o_custkey AS VARCHAR) AS json FROM orders UNION ALL SELECT {O_PATH}, 'rush', 'bool', 'true' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT {O_PATH}, 'status', 'string', '\"' || o_orderstatus || '\"' FROM orders"),
     "x_items": (lambda s, d: tables.items(_parsed(corpus.orders(s, d), "items.depth", "items.text", "items.has_children", "items.section_title")).where("depth = 0 AND section_title = 'Items'").select("rel_path", "text", "has_children"), f"SELECT {O_PATH} AS rel_path, 'Part ' || l_partkey AS text, true AS has_children FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
@@ -203,20 +205,20 @@ _ALL = {
     "j_title": (lambda s, d: _parsed(corpus.customers(s, d), "title").select("rel_path", "title"), f"SELECT {C_PATH} AS rel_path, {TITLE} AS title FROM customer"),
     "j_sections": (lambda s, d: _orders(s, d).json().select("rel_path", F.get_json_object("json", "$.sections[0].items").alias("items"), F.get_json_object("json", "$.sections[1].links[0].url").alias("url")), f"SELECT {O_PATH} AS rel_path, '[' || string_agg('{{\"text\":\"Part ' || l_partkey || '\",\"properties\":{{\"quantity\":' || CAST(l_quantity AS BIGINT) || ',\"flag\":\"' || l_returnflag || '\"}}}}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) || ']' AS items, '../customers/' || o_custkey || '.md' AS url FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_custkey"),
     "j_bfs_depth2": (_bfs, f"WITH o AS (SELECT {O_PATH} AS p, o_orderkey, o_custkey FROM orders), s AS (SELECT * FROM o WHERE o_orderkey = 1) SELECT p AS rel_path, CAST(0 AS BIGINT) AS depth FROM s UNION ALL SELECT {C_PATH}, 1 FROM s JOIN customer ON c_custkey = s.o_custkey UNION ALL SELECT o.p, 2 FROM s JOIN customer ON c_custkey = s.o_custkey JOIN o ON o.o_custkey = c_custkey WHERE o.o_orderkey % 2 = 0"),
-    "v_field_enum": (lambda s, d: _diag(validate.fields(_docs(s, corpus.orders(s, d), ()), _schema())), f"SELECT {O_PATH} AS rel_path, 'InvalidFieldType' AS code, CAST(1 AS BIGINT) AS line, 'field ''status'': invalid value ''P'' (allowed: F, O)' AS message FROM orders WHERE o_orderstatus = 'P'"),
-    "v_fields_customer": (lambda s, d: _diag(validate.fields(_docs(s, corpus.customers(s, d), ()), _schema())), f"""SELECT {C_PATH} AS rel_path, 'MissingRequiredField' AS code, CAST(1 AS BIGINT) AS line, 'missing required field ''nation''' AS message FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 11 <> 0
+    "v_field_enum": (lambda s, d: _diag(validate.fields(_once(corpus.orders(s, d), ()), _schema())), f"SELECT {O_PATH} AS rel_path, 'InvalidFieldType' AS code, CAST(1 AS BIGINT) AS line, 'field ''status'': invalid value ''P'' (allowed: F, O)' AS message FROM orders WHERE o_orderstatus = 'P'"),
+    "v_fields_customer": (lambda s, d: _diag(validate.fields(_once(corpus.customers(s, d), ()), _schema())), f"""SELECT {C_PATH} AS rel_path, 'MissingRequiredField' AS code, CAST(1 AS BIGINT) AS line, 'missing required field ''nation''' AS message FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 11 <> 0
 UNION ALL SELECT {C_PATH}, 'InvalidFieldType', 1, 'field ''nation'': expected integer, got string' FROM customer WHERE c_custkey % 11 = 0
 UNION ALL SELECT {C_PATH}, 'InvalidFieldType', 1, 'field ''segment'': invalid value ''' || c_mktsegment || ''' (allowed: BUILDING, MACHINERY, FURNITURE, HOUSEHOLD)' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD')"""),
-    "v_title_mismatch": (lambda s, d: validate.titles(_docs(s, corpus.customers(s, d)), _schema()).select("rel_path", "code", "message"), f"SELECT {C_PATH} AS rel_path, 'H1Mismatch' AS code, 'H1 ''Customer ' || c_custkey || ''' does not match expected ''' || c_custkey || '''' AS message FROM customer WHERE c_custkey % 7 = 0"),
-    "v_entries_order": (lambda s, d: validate.date_headings(_docs(s, corpus.logs(s, d)), _schema()).select("rel_path", "code"), f"WITH h AS (SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS k, lag(strftime(ts, '%Y-%m-%d %H:%M')) OVER (PARTITION BY user_id ORDER BY {LOG_ORDER}, event_id) AS p FROM events) SELECT DISTINCT 'log/' || user_id || '/2024-01.md' AS rel_path, 'EntriesOutOfOrder' AS code FROM h WHERE p < k"),
+    "v_title_mismatch": (lambda s, d: validate.titles(_once(corpus.customers(s, d)), _schema()).select("rel_path", "code", "message"), f"SELECT {C_PATH} AS rel_path, 'H1Mismatch' AS code, 'H1 ''Customer ' || c_custkey || ''' does not match expected ''' || c_custkey || '''' AS message FROM customer WHERE c_custkey % 7 = 0"),
+    "v_entries_order": (lambda s, d: validate.date_headings(_once(corpus.logs(s, d)), _schema()).select("rel_path", "code"), f"WITH h AS (SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS k, lag(strftime(ts, '%Y-%m-%d %H:%M')) OVER (PARTITION BY user_id ORDER BY {LOG_ORDER}, event_id) AS p FROM events) SELECT DISTINCT 'log/' || user_id || '/2024-01.md' AS rel_path, 'EntriesOutOfOrder' AS code FROM h WHERE p < k"),
     "v_link_broken": (lambda s, d: validate.broken_links(_known(s, d)).where("rel_path LIKE 'orders/%'").select("rel_path", "message"), f"SELECT {O_PATH} AS rel_path, 'broken link: ''../customers/' || o_custkey || '.md''' AS message FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL OR c_custkey % 10 = 3"),
     "v_backlink_missing": (lambda s, d: validate.section_links(_both(s, d, LINKS), _schema()).select("rel_path", "code", "message"), f"SELECT {O_PATH} AS rel_path, 'MissingBacklink' AS code, 'link to ''../customers/' || o_custkey || '.md'' requires a backlink in section ''Orders''' AS message FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 1"),
-    "v_sections": (lambda s, d: validate.sections(_docs(s, corpus.suppliers(s, d)), _schema()).groupBy("code", "message").agg(F.count(F.lit(1)).alias("n")), f"SELECT * FROM (SELECT 'MissingSection' AS code, 'required section ''Facts'' is missing' AS message, count(*) AS n FROM {S} WHERE k % 17 = 0 UNION ALL SELECT 'UnexpectedSection', 'unexpected section ''Extra'' (allowed: Facts, Notes, Old Rules, Rules)', count(*) FROM {S} WHERE k % 11 = 0 UNION ALL SELECT 'SectionOutOfOrder', 'section ''Facts'' appears out of order', count(*) FROM {S} WHERE k % 13 = 0 AND k % 17 <> 0 UNION ALL SELECT 'SectionsOutOfOrder', 'sections are out of order', count(*) FROM {S} WHERE k % 13 = 0 AND k % 17 <> 0 UNION ALL SELECT 'WrongListType', 'section ''Notes'': expected unordered list', count(*) FROM {S} WHERE k % 3 = 0 UNION ALL SELECT 'SectionNotBullets', 'section ''Notes'': only bullet lists are allowed here', count(*) FROM {S} WHERE k % 3 <> 0 AND k % 7 = 0) WHERE n > 0"),
-    "v_intro": (lambda s, d: _diag(validate.intros(_docs(s, corpus.suppliers(s, d)), _schema())), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'SectionNotBullets' AS code, CAST(6 AS BIGINT) AS line, 'intro: only bullet lists are allowed here' AS message FROM {S} WHERE k % 2 = 1"),
-    "v_properties": (lambda s, d: _diag(validate.properties(_docs(s, corpus.suppliers(s, d)), _schema())).drop("line"), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'MissingRequiredField' AS code, 'missing required field ''Facts/code''' AS message FROM {S} WHERE k % 6 = 0 AND k % 17 <> 0 UNION ALL SELECT 'suppliers/' || k || '.md', 'InvalidFieldType', 'field ''Facts/balance'': must be a number (got ''none'')' FROM {S} WHERE k % 5 = 0 AND k % 17 <> 0"),
-    "v_managed": (lambda s, d: validate.managed_sections(_docs(s, corpus.suppliers(s, d)), _schema()).select("rel_path", "code"), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'ManagedSectionNeedsUpdate' AS code FROM {S} WHERE k % 19 = 0 OR k % 9 = 0 OR k % 8 = 0"),
-    "v_malformed": (lambda s, d: validate.spaced_links(_docs(s, corpus.suppliers(s, d))).select("rel_path", "code", "message"), "SELECT 'suppliers/' || s_suppkey || '.md' AS rel_path, 'MalformedLink' AS code, 'link ''a b.md'' contains an unencoded space (use %20 or rename the file)' AS message FROM supplier WHERE s_suppkey % 4 = 0"),
-    "v_unreadable": (lambda s, d: validate.sizes_and_types(_docs(s, corpus.suppliers(s, d)), _schema()).select("rel_path", "code", "line", F.substring_index("message", ":", 1).alias("message")), "SELECT 'suppliers/' || s_suppkey || '.md' AS rel_path, 'UnknownType' AS code, 1 AS line, 'frontmatter parse error' AS message FROM supplier WHERE s_suppkey % 23 = 0"),
+    "v_sections": (lambda s, d: validate.sections(_once(corpus.suppliers(s, d)), _schema()).groupBy("code", "message").agg(F.count(F.lit(1)).alias("n")), f"SELECT * FROM (SELECT 'MissingSection' AS code, 'required section ''Facts'' is missing' AS message, count(*) AS n FROM {S} WHERE k % 17 = 0 UNION ALL SELECT 'UnexpectedSection', 'unexpected section ''Extra'' (allowed: Facts, Notes, Old Rules, Rules)', count(*) FROM {S} WHERE k % 11 = 0 UNION ALL SELECT 'SectionOutOfOrder', 'section ''Facts'' appears out of order', count(*) FROM {S} WHERE k % 13 = 0 AND k % 17 <> 0 UNION ALL SELECT 'SectionsOutOfOrder', 'sections are out of order', count(*) FROM {S} WHERE k % 13 = 0 AND k % 17 <> 0 UNION ALL SELECT 'WrongListType', 'section ''Notes'': expected unordered list', count(*) FROM {S} WHERE k % 3 = 0 UNION ALL SELECT 'SectionNotBullets', 'section ''Notes'': only bullet lists are allowed here', count(*) FROM {S} WHERE k % 3 <> 0 AND k % 7 = 0) WHERE n > 0"),
+    "v_intro": (lambda s, d: _diag(validate.intros(_once(corpus.suppliers(s, d)), _schema())), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'SectionNotBullets' AS code, CAST(6 AS BIGINT) AS line, 'intro: only bullet lists are allowed here' AS message FROM {S} WHERE k % 2 = 1"),
+    "v_properties": (lambda s, d: _diag(validate.properties(_once(corpus.suppliers(s, d)), _schema())).drop("line"), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'MissingRequiredField' AS code, 'missing required field ''Facts/code''' AS message FROM {S} WHERE k % 6 = 0 AND k % 17 <> 0 UNION ALL SELECT 'suppliers/' || k || '.md', 'InvalidFieldType', 'field ''Facts/balance'': must be a number (got ''none'')' FROM {S} WHERE k % 5 = 0 AND k % 17 <> 0"),
+    "v_managed": (lambda s, d: validate.managed_sections(_once(corpus.suppliers(s, d)), _schema()).select("rel_path", "code"), f"SELECT 'suppliers/' || k || '.md' AS rel_path, 'ManagedSectionNeedsUpdate' AS code FROM {S} WHERE k % 19 = 0 OR k % 9 = 0 OR k % 8 = 0"),
+    "v_malformed": (lambda s, d: validate.spaced_links(_once(corpus.suppliers(s, d))).select("rel_path", "code", "message"), "SELECT 'suppliers/' || s_suppkey || '.md' AS rel_path, 'MalformedLink' AS code, 'link ''a b.md'' contains an unencoded space (use %20 or rename the file)' AS message FROM supplier WHERE s_suppkey % 4 = 0"),
+    "v_unreadable": (lambda s, d: validate.sizes_and_types(_once(corpus.suppliers(s, d)), _schema()).select("rel_path", "code", "line", F.substring_index("message", ":", 1).alias("message")), "SELECT 'suppliers/' || s_suppkey || '.md' AS rel_path, 'UnknownType' AS code, 1 AS line, 'frontmatter parse error' AS message FROM supplier WHERE s_suppkey % 23 = 0"),
     "f_managed": (_fixed_suppliers, f"SELECT 'suppliers/' || k || '.md' AS rel_path, true AS rules, k % 10 = 0 AND k % 19 <> 0 AND k % 9 <> 0 AND k % 8 <> 0 AS own_rule, k % 9 = 0 AND k % 19 <> 0 AND false AS old FROM {S}"),
     "f_titles": (_fixed_titles, f"SELECT {C_PATH} AS rel_path, CAST(c_custkey AS VARCHAR) AS title FROM customer"),
     "f_sort_entries": (_fixed_heads, "SELECT 'log/' || user_id || '/2024-01.md' AS rel_path, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M') DESC) - 1 AS n, strftime(ts, '%Y-%m-%d %H:%M') AS at FROM events"),

@@ -64,6 +64,13 @@ def test_parts_of_batches_are_bounded():
     assert max(sum(len(x or "") for x in p.column(0).to_pylist()) for p in parts) <= tables.BYTES
 
 
+def test_no_large_batches_go_to_workers(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    registry.QUERIES["j_json"](spark, SF)
+    assert int(spark.conf.get(key)) <= tables.ROWS
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 

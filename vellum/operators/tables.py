@@ -16,7 +16,7 @@ PARSED = (
 #: Columns that don't depend on the body.
 FRONT = ("fm_present", "fm_error", "fm_type", "fm")
 #: What goes to Python workers and comes from them at a time, whatever the size of a document.
-ROWS, BYTES = 2048, 4 << 20
+ROWS, BYTES = 1024, 1 << 20
 
 
 def _parsed(content: str | None) -> dict:
@@ -82,7 +82,7 @@ def parsed_arrays(contents: pa.Array, arrow: pa.Schema, front) -> list[pa.Array]
     if b.plain.all():
         return out
     rest = [k for k, p in enumerate(b.plain.tolist()) if not p]
-    slow = pa.RecordBatch.from_pylist([_parsed(contents[k].as_py()) for k in rest], schema=arrow)
+    slow = pa.RecordBatch.from_pylist([{n: x[n] for n in arrow.names} for x in (_parsed(contents[k].as_py()) for k in rest)], schema=arrow)
     order = list(range(len(contents)))
     for n, k in enumerate(rest):
         order[k] = len(contents) + n
@@ -122,6 +122,9 @@ def parse(corpus: DataFrame, columns: tuple[str, ...] | None = None, more: tuple
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", corpus.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ROWS:  # a worker holds what comes to it whole
+        conf.set(key, str(ROWS))
     keep = [c for c in corpus.columns if c != "content"]
     rows = corpus.select(*keep, "content").withColumn("size_bytes", F.octet_length("content"))
     schema = rows.drop("content").schema
